@@ -50,6 +50,22 @@ def clip_cer(ref: Column, hyp: Column) -> Column:
     return F.when(F.length(ref) > 0, F.levenshtein(ref, hyp) / F.length(ref)).otherwise(1.0)
 
 
+@pandas_udf(T.StringType())
+def _two_places_udf(x: pd.Series) -> pd.Series:
+    return pd.Series([None if v != v else f"{v:.2f}" for v in x], dtype=object)
+
+
+def two_places(x: Column) -> Column:
+    """Two decimals, rounded on the binary value as C and Python do.
+
+    Java rounds the shortest decimal instead, which differs on ties only; just
+    those rows go through Arrow.
+    """
+    part = F.pmod(x * 100, F.lit(1.0))
+    tie = F.abs(part - 0.5) < 1e-6
+    return F.coalesce(_two_places_udf(F.when(tie, x)), F.format_string("%.2f", x))
+
+
 def _codes(strings: pd.Series, width: int, fill: int) -> np.ndarray:
     out = np.full((len(strings), max(width, 1)), fill, dtype=np.int64)
     for i, s in enumerate(strings):

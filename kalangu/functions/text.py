@@ -30,20 +30,24 @@ _NEEDS_COMPOSING = r"[^\x{0}-\x{2FF}\x{1E00}-\x{1EFF}]"
 _NEEDS_PYTHON_STRIP = r"[^\x{0}-\x{24F}\x{300}-\x{36F}\x{1E00}-\x{1EFF}]"
 
 
+def _each(s: pd.Series, fn) -> pd.Series:
+    return pd.Series([None if t is None or t is pd.NA or t != t else fn(t) for t in s], dtype=object)
+
+
 @pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    return _each(s, lambda t: unicodedata.normalize("NFC", t))
 
 
 @pandas_udf(T.BooleanType())
 def _is_nfc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.is_normalized("NFC", t), na_action="ignore")
+    return _each(s, lambda t: unicodedata.is_normalized("NFC", t))
 
 
 @pandas_udf(T.BooleanType())
 def _roundtrip_udf(s: pd.Series) -> pd.Series:
     form = unicodedata.normalize
-    return s.map(lambda t: form("NFC", form("NFD", t)) == form("NFC", t), na_action="ignore")
+    return _each(s, lambda t: form("NFC", form("NFD", t)) == form("NFC", t))
 
 
 def _without_marks(text: str) -> str:
@@ -53,7 +57,7 @@ def _without_marks(text: str) -> str:
 
 @pandas_udf(T.StringType())
 def _strip_udf(s: pd.Series) -> pd.Series:
-    return s.map(_without_marks, na_action="ignore")
+    return _each(s, _without_marks)
 
 
 def _only_if(text: Column, pattern: str) -> Column:

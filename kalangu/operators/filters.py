@@ -54,45 +54,46 @@ def _first_failure(rules: list[tuple[str, Column]]) -> Column:
     return out.otherwise("pass")
 
 
-def metadata_result(duration: Column, transcript: Column, accent: Column,
-                    limits: MetadataLimits = MetadataLimits()) -> Column:
+def metadata_pass(df: DataFrame, limits: MetadataLimits = MetadataLimits(), out: str = "pass1",
+                  duration: str = "duration", transcript: str = "transcript",
+                  accent: str = "accent") -> DataFrame:
     """Pass 1: the first failing rule on duration, transcript and speech rate.
 
-    Detail fields that the deciding rule does not report are null.
+    Detail fields that the deciding rule does not report are null. Shared
+    figures are columns of their own, so each is computed once per row.
     """
-    secs = F.coalesce(duration, F.lit(0.0))
-    text = X.strip(F.coalesce(transcript, F.lit("")))
-    label = F.lower(X.strip(F.coalesce(accent, F.lit(""))))
-    n_words, word_rate, char_rate = X.speech_rates(text, secs)
-    reason = _first_failure([
+    df = df.withColumns({"_secs": F.coalesce(F.col(duration), F.lit(0.0)),
+                         "_text": X.strip(F.coalesce(F.col(transcript), F.lit("")))})
+    df = df.withColumn("_words", X.word_count(F.col("_text")))
+    secs, text = F.col("_secs"), F.col("_text")
+    floor = F.greatest(secs, F.lit(1e-6))
+    word_rate, char_rate = F.col("_words") / floor, F.length(text) / floor
+    df = df.withColumn("_reason", _first_failure([
         ("too_short", secs < limits.min_duration),
         ("too_long", secs > limits.max_duration),
         ("empty_transcript", F.length(text) < limits.min_chars),
         ("impossible_speech_rate", (word_rate < limits.min_words_per_sec)
          | (word_rate > limits.max_words_per_sec)),
         ("transcript_too_long", char_rate > limits.max_chars_per_sec),
-    ])
+    ]))
+    reason = F.col("_reason")
 
     def shown(value: Column, *reasons: str) -> Column:
         return F.when(reason.isin(*reasons), value)
 
-    return _result(
+    label = F.lower(X.strip(F.coalesce(F.col(accent), F.lit(""))))
+    result = _result(
         reason == "pass", reason,
         duration=shown(secs, "pass", "too_short", "too_long", "impossible_speech_rate"),
         chars=shown(F.length(text), "empty_transcript"),
-        words=shown(n_words, "pass"),
+        words=shown(F.col("_words"), "pass"),
         words_per_sec=shown(F.round(word_rate, 3), "pass", "impossible_speech_rate"),
         chars_per_sec=shown(F.round(char_rate, 3), "transcript_too_long"),
         domain=shown(X.infer_domain(text, limits.keywords), "pass"),
         accent=shown(label, "pass"),
-        accent_listed=shown(X.accent_listed(accent, limits.accents), "pass"),
+        accent_listed=shown(X.accent_listed(F.col(accent), limits.accents), "pass"),
         speaker_id=F.lit(None).cast("string"), kept=F.lit(None).cast("int"))
-
-
-def metadata_pass(df: DataFrame, limits: MetadataLimits = MetadataLimits(), out: str = "pass1",
-                  duration: str = "duration", transcript: str = "transcript",
-                  accent: str = "accent") -> DataFrame:
-    return df.withColumn(out, metadata_result(F.col(duration), F.col(transcript), F.col(accent), limits))
+    return df.withColumn(out, result).drop("_secs", "_text", "_words", "_reason")
 
 
 def cap_per_speaker(df: DataFrame, key: str, speaker: str = "speaker_id", cap: int = 200,
@@ -123,81 +124,76 @@ def cap_per_speaker(df: DataFrame, key: str, speaker: str = "speaker_id", cap: i
             .drop("_spk", "_h", "_last"))
 
 
-def audio_result(samples: Column, sample_rate: Column, limits: AudioLimits = AudioLimits(),
-                 measures: Column | None = None) -> Column:
+def audio_pass(df: DataFrame, limits: AudioLimits = AudioLimits(), out: str = "pass2",
+               samples: str = "samples", sample_rate: str = "sample_rate") -> DataFrame:
     """Pass 2: the first failing rule on level, clipping, SNR and silence.
 
-    ``measures`` is the struct of :func:`kalangu.functions.audio.quality_measures`,
-    by default computed here.
+    The measures are taken in one vectorised pass over the samples of a clip.
     """
-    m = A.quality_measures(samples, A.frame_size(sample_rate, limits.frame_ms)) if measures is None else measures
+    df = df.withColumn("_m", A.quality_measures(
+        F.col(samples), A.frame_size(F.col(sample_rate), limits.frame_ms)))
+    m, rate = F.col("_m"), F.col(sample_rate)
     n = F.coalesce(m["n_samples"], F.lit(0))
-    rms_db, peak_db = A.dbfs(m["rms"]), A.dbfs(m["peak"])
-    snr = F.when(m["n_frames"] > 1, 20.0 * F.log10(
-        F.greatest(m["frame_max"], F.lit(1e-9)) / (m["frame_min"] + 1e-9))).otherwise(0.0)
-    reason = _first_failure([
+    df = df.withColumns({
+        "_n": n, "_rms": A.dbfs(m["rms"]), "_peak": A.dbfs(m["peak"]),
+        "_snr": F.when(m["n_frames"] > 1, 20.0 * F.log10(
+            F.greatest(m["frame_max"], F.lit(1e-9)) / (m["frame_min"] + 1e-9))).otherwise(0.0)})
+    n, snr = F.col("_n"), F.col("_snr")
+    df = df.withColumn("_reason", _first_failure([
         ("corrupt_audio", n == 0),
         ("too_few_samples", n < limits.min_samples),
-        ("silent", rms_db < limits.min_rms_dbfs),
+        ("silent", F.col("_rms") < limits.min_rms_dbfs),
         ("clipped", m["clip_frac"] > limits.max_clip_frac),
         ("low_snr", snr < limits.min_snr_db),
         ("mostly_silence", m["silence_frac"] > limits.max_silence_frac),
-    ])
+    ]))
+    reason = F.col("_reason")
     levels = ["silent", "clipped", "low_snr", "mostly_silence", "pass"]
 
     def known_from(first: str, value: Column) -> Column:
         return F.when(reason.isin(*levels[levels.index(first):]), value)
 
-    return _result(
+    result = _result(
         reason == "pass", reason,
-        sample_rate=F.when(n > 0, sample_rate),
-        duration_sec=F.when(n > 0, F.round(n / F.greatest(sample_rate, F.lit(1)), 4)),
+        sample_rate=F.when(n > 0, rate),
+        duration_sec=F.when(n > 0, F.round(n / F.greatest(rate, F.lit(1)), 4)),
         n_samples=F.when(reason == "too_few_samples", n),
-        rms_db=known_from("silent", F.round(rms_db, 3)),
-        peak_db=known_from("silent", F.round(peak_db, 3)),
+        rms_db=known_from("silent", F.round("_rms", 3)),
+        peak_db=known_from("silent", F.round("_peak", 3)),
         clip_frac=known_from("clipped", F.round(m["clip_frac"], 6)),
         snr_db=known_from("low_snr", F.round(snr, 3)),
         silence_frac=known_from("mostly_silence", F.round(m["silence_frac"], 4)))
+    return df.withColumn(out, result).drop("_m", "_n", "_rms", "_peak", "_snr", "_reason")
 
 
-def audio_pass(df: DataFrame, limits: AudioLimits = AudioLimits(), out: str = "pass2",
-               samples: str = "samples", sample_rate: str = "sample_rate") -> DataFrame:
-    """Adds the pass-2 result; the measures are taken once per clip."""
-    measured = df.withColumn("_m", A.quality_measures(
-        F.col(samples), A.frame_size(F.col(sample_rate), limits.frame_ms)))
-    return measured.withColumn(out, audio_result(
-        F.col(samples), F.col(sample_rate), limits, F.col("_m"))).drop("_m")
-
-
-def transcript_result(ref: Column, hyp: Column, detected: Column, max_cer: float = 0.40,
-                      language: str = "en", error: Column | None = None,
-                      flag_language: bool = True) -> Column:
+def transcript_pass(df: DataFrame, out: str = "pass3", ref: str = "transcript", hyp: str = "hypothesis",
+                    detected: str = "detected_language", max_cer: float = 0.40, language: str = "en",
+                    flag_language: bool = True) -> DataFrame:
     """Pass 3: character error rate of a given hypothesis against the transcript.
 
-    A null hypothesis is 'asr_error'. ``flag_language=False`` is the batch form
-    without the code-switching flag.
+    A null hypothesis is 'asr_error'. A clip in another language than expected
+    is flagged as code-switched, not rejected; ``flag_language=False`` is the
+    batch form without that part.
     """
-    r, h = X.normalize_transcript(ref, language), X.normalize_transcript(hyp, language)
-    cer = M.clip_cer(r, h)
-    reason = (F.when(hyp.isNull(), "asr_error")
-              .when(cer > max_cer, F.format_string("transcript_mismatch_cer_%.2f", cer))
-              .otherwise("pass"))
-    scored = hyp.isNotNull()
-    lang = F.coalesce(detected, F.lit(language))
-    return _result(
+    df = df.withColumns({"_r": X.normalize_transcript(F.col(ref), language),
+                         "_h": X.normalize_transcript(F.col(hyp), language)})
+    df = df.withColumn("_cer", M.clip_cer(F.col("_r"), F.col("_h")))
+    scored = F.col(hyp).isNotNull()
+    df = df.withColumn("_reason", F.when(~scored, "asr_error")
+                       .when(F.col("_cer") > max_cer, F.concat(
+                           F.lit("transcript_mismatch_cer_"), M.two_places(F.col("_cer"))))
+                       .otherwise("pass"))
+    reason, lang = F.col("_reason"), F.coalesce(F.col(detected), F.lit(language))
+    result = _result(
         reason == "pass", reason,
-        cer=F.when(scored, F.round(cer, 4)),
-        hypothesis=F.substring(hyp, 1, 200),
+        cer=F.when(scored, F.round("_cer", 4)),
+        # the stored details show the start of a hypothesis; all of it is scored
+        hypothesis=F.substring(F.col(hyp), 1, 200),
         detected_language=F.when(scored, lang) if flag_language else F.lit(None).cast("string"),
         is_code_switched=(F.when((reason == "pass") & (lang != language), True)
                           if flag_language else F.lit(None).cast("boolean")),
-        error=F.when(~scored, F.coalesce(error, F.lit("no hypothesis")) if error is not None
-                     else F.lit("no hypothesis")))
-
-
-def transcript_pass(df: DataFrame, out: str = "pass3", ref: str = "transcript", hyp: str = "hypothesis",
-                    detected: str = "detected_language", **kw) -> DataFrame:
-    return df.withColumn(out, transcript_result(F.col(ref), F.col(hyp), F.col(detected), **kw))
+        error=F.when(~scored, "no hypothesis"))
+    return df.withColumn(out, result).drop("_r", "_h", "_cer", "_reason")
 
 
 def merge_results(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:

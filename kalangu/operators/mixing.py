@@ -40,10 +40,14 @@ def weight_bounds(weights: DataFrame, group: str = "language") -> DataFrame:
     return weights.withColumns({"lo": hi - F.col("weight"), "hi": F.when(last, 1.0).otherwise(hi)})
 
 
-def pick_group(u: Column, bounds: DataFrame, group: str = "language") -> Column:
-    """struct<group, n, weight> whose interval holds ``u``; the table is one scalar array."""
+def pick_group(df: DataFrame, u: Column, bounds: DataFrame, group: str = "language", out: str = "pick") -> DataFrame:
+    """Adds struct<group, n, weight> of the interval that holds ``u``.
+
+    The few intervals reach the rows as one scalar array, not as a join.
+    """
     table = bounds.agg(F.sort_array(F.collect_list(F.struct("hi", group, "n", "weight"))).alias("b")).scalar()
-    return F.filter(table, lambda b: u < b["hi"])[0]
+    df = df.withColumns({"_t": table, "_u": u})
+    return df.withColumn(out, F.filter("_t", lambda b: F.col("_u") < b["hi"])[0]).drop("_t", "_u")
 
 
 def mixed_plan(pool: DataFrame, key: str, total: int, temperature: float = 0.3, seed: int = 42,
@@ -58,7 +62,7 @@ def mixed_plan(pool: DataFrame, key: str, total: int, temperature: float = 0.3,
     weights = sampling_weights(language_counts(pool, group), temperature, group)
     bounds = weight_bounds(weights, group)
     draws = pool.sparkSession.range(total).withColumnRenamed("id", "draw")
-    draws = draws.withColumn("_g", pick_group(seeded_uniform(F.col("draw"), seed), bounds, group))
+    draws = pick_group(draws, seeded_uniform(F.col("draw"), seed), bounds, group, "_g")
     n = F.col("_g")["n"]
     slot = F.least(F.floor(seeded_uniform(F.col("draw"), seed + 1) * n), n - 1) + 1
     copies = F.greatest(F.lit(1), F.ceil(F.lit(float(total)) * F.col("_g")["weight"] / n / rows_per_copy))

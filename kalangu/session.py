@@ -58,3 +58,13 @@ def through_table(df: DataFrame, label: str = "cut") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster when the input arrives in too few partitions.
+
+    For costly per-row work on a few large files or row groups. An input that
+    already has a partition per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

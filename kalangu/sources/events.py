@@ -38,19 +38,20 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    name = F.col("_metadata.file_name")
+    # a Spark-written x_events.jsonl is a folder: its name counts, not the part's
+    named = F.regexp_extract("_metadata.file_path", r"/([^/]+)\.jsonl(/|$)", 1)
+    stem = F.when(named != "", named).otherwise(F.regexp_replace("_metadata.file_name", r"\.[^.]+$", ""))
     rows = lines.select(
-        "value", name.alias("file"),
+        "value", stem.alias("file"),
         (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % (1 << 33))
         .alias("pos"))
     rows = rows.filter(X.strip(F.col("value")) != "")
     parsed = rows.withColumn("e", F.from_json("value", S.EVENT, {"mode": "PERMISSIVE"}))
     good = parsed.filter(F.json_object_keys("value").isNotNull())
-    stem = F.regexp_replace("file", r"\.[^.]+$", "")
     return good.select(
-        *[F.coalesce(F.col("e.run_id"), stem).alias("run_id") if f == "run_id" else F.col(f"e.{f}").alias(f)
+        *[F.coalesce(F.col("e.run_id"), F.col("file")).alias("run_id") if f == "run_id" else F.col(f"e.{f}").alias(f)
           for f in S.EVENT.names],
-        "pos", "file", F.regexp_replace(stem, "_events", "").alias("stage_name"))
+        "pos", "file", F.regexp_replace("file", "_events", "").alias("stage_name"))
 
 
 def read_all_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from kalangu.functions.binding import let
 from kalangu.functions.hashing import hash_to_unit, seeded_hash, seeded_uniform
 
 
@@ -102,9 +103,11 @@ def quality_measures(samples: pd.Series, frame: pd.Series) -> pd.DataFrame:
 
 def limit_peak(samples: Column, ceiling: float = 0.99) -> Column:
     """Scale down so that the peak does not exceed the ceiling."""
-    top = peak(samples)
-    factor = F.when(top > ceiling, F.lit(ceiling) / top).otherwise(1.0)
-    return F.transform(samples, lambda x: (x.cast("double") * factor).cast("float"))
+    def scale(top: Column) -> Column:
+        return F.when(top > ceiling, F.lit(ceiling) / top).otherwise(1.0)
+
+    return let(lambda factor: F.transform(samples, lambda x: (x.cast("double") * factor).cast("float")),
+               let(scale, peak(samples)))
 
 
 def truncate(samples: Column, sample_rate: Column, max_sec: float) -> Column:
@@ -158,10 +161,12 @@ def add_noise(samples: Column, key: Column, snr: Column, seed: int = 42) -> Colu
     The noise of sample i is drawn from (seed, key, i): the same on every run.
     """
     power = F.greatest(F.pow(rms(samples), 2), F.lit(1e-9)) / F.pow(F.lit(10.0), snr / 10.0)
-    sigma = F.sqrt(power)
-    return F.transform(samples, lambda x, i: F.greatest(F.lit(-1.0), F.least(
-        F.lit(1.0),
-        x.cast("double") + sigma * _gaussian(F.concat_ws(":", key.cast("string"), i.cast("string")), seed))))
+
+    def noisy(sigma: Column) -> Column:
+        return F.transform(samples, lambda x, i: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double")
+                           + sigma * _gaussian(F.concat_ws(":", key.cast("string"), i.cast("string")), seed))))
+
+    return let(noisy, F.sqrt(power))
 
 
 def augmentation_plan(key: Column, seed: int = 42, p_speed: float = 0.3, p_telephony: float = 0.5,

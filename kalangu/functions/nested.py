@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kalangu import schema as S
+from kalangu.functions.binding import let
+from kalangu.functions.rounding import two_places
 
 
 def ranked_labels(scores: Column) -> Column:
@@ -23,8 +25,8 @@ def top_label(scores: Column) -> Column:
 def map_mean(values: Column) -> Column:
     """Mean of the non-null values of a map; null when there are none."""
     present = F.filter(F.map_values(values), lambda v: v.isNotNull())
-    total = F.aggregate(present, F.lit(0.0), lambda a, v: a + v.cast("double"))
-    return F.when(F.size(present) > 0, total / F.size(present))
+    return let(lambda p: F.when(F.size(p) > 0, F.aggregate(
+        p, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(p)), present)
 
 
 def nan_to_null(x: Column) -> Column:
@@ -34,10 +36,10 @@ def nan_to_null(x: Column) -> Column:
 def format_wer(wer: Column, fallback: Column) -> Column:
     """'EN: 0.09 | HA: 0.14', else the fallback to 3 places, else a dash."""
     entries = F.filter(F.map_entries(wer), lambda e: e["value"].isNotNull())
-    shown = F.array_join(F.transform(entries, lambda e: F.format_string(
-        "%s: %.2f", F.upper(e["key"]), e["value"])), " | ")
-    return F.coalesce(F.when(F.size(entries) > 0, shown), F.format_string("%.3f", fallback)
-                      if fallback is not None else F.lit(None), F.lit("—"))
+    shown = F.array_join(F.transform(entries, lambda e: F.concat(
+        F.upper(e["key"]), F.lit(": "), two_places(e["value"].cast("double"), ties_up=True))), " | ")
+    plain = F.when(fallback.isNotNull(), F.format_string("%.3f", fallback))
+    return F.coalesce(F.when(F.size(entries) > 0, shown), plain, F.lit("—"))
 
 
 def wer_value(event_json: Column) -> Column:

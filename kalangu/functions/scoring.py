@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from kalangu.functions import text as X
+from kalangu.functions.binding import let
 
 COUNTS = ("hits", "substitutions", "deletions", "insertions")
 
@@ -25,24 +26,28 @@ def _symbol(index: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def word_symbols(ref: Column, hyp: Column) -> tuple[Column, Column]:
-    """Two word arrays as two strings with one character per word."""
-    vocab = F.array_distinct(F.concat(ref, hyp))
-    return tuple(
-        F.array_join(F.transform(side, lambda w: _symbol(F.array_position(vocab, w))), "")
-        for side in (ref, hyp))
+def word_symbols(ref: Column, hyp: Column) -> Column:
+    """Two word arrays as an array of two strings with one character per word."""
+    def encode(r: Column, h: Column) -> Column:
+        return let(lambda r, h, vocab: let(spell, r, h, vocab, F.transform(vocab, lambda _, i: _symbol(i))),
+                   r, h, F.array_distinct(F.concat(r, h)))
+
+    def spell(r: Column, h: Column, vocab: Column, symbols: Column) -> Column:
+        return F.array(*[F.array_join(F.transform(side, lambda w: F.get(
+            symbols, F.array_position(vocab, w).cast("int") - 1)), "") for side in (r, h)])
+
+    return let(encode, ref, hyp)
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Levenshtein distance between two word arrays."""
-    r, h = word_symbols(ref, hyp)
-    return F.levenshtein(r, h)
+    return let(lambda s: F.levenshtein(F.get(s, F.lit(0)), F.get(s, F.lit(1))), word_symbols(ref, hyp))
 
 
 def clip_wer(ref: Column, hyp: Column) -> Column:
     """Word errors over reference words; null when the reference is empty."""
-    r, h = X.words(ref), X.words(F.coalesce(hyp, F.lit("")))
-    return F.when(F.size(r) > 0, word_distance(r, h) / F.size(r))
+    return let(lambda r, h: F.when(F.size(r) > 0, word_distance(r, h) / F.size(r)),
+               X.words(ref), X.words(F.coalesce(hyp, F.lit(""))))
 
 
 def clip_cer(ref: Column, hyp: Column) -> Column:
@@ -50,22 +55,6 @@ def clip_cer(ref: Column, hyp: Column) -> Column:
     return F.when(F.length(ref) > 0, F.levenshtein(ref, hyp) / F.length(ref)).otherwise(1.0)
 
 
-@pandas_udf(T.StringType())
-def _two_places_udf(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v != v else f"{v:.2f}" for v in x], dtype=object)
-
-
-def two_places(x: Column) -> Column:
-    """Two decimals, rounded on the binary value as C and Python do.
-
-    Java rounds the shortest decimal instead, which differs on ties only; just
-    those rows go through Arrow.
-    """
-    part = F.pmod(x * 100, F.lit(1.0))
-    tie = F.abs(part - 0.5) < 1e-6
-    return F.coalesce(_two_places_udf(F.when(tie, x)), F.format_string("%.2f", x))
-
-
 def _codes(strings: pd.Series, width: int, fill: int) -> np.ndarray:
     out = np.full((len(strings), max(width, 1)), fill, dtype=np.int64)
     for i, s in enumerate(strings):
@@ -139,8 +128,8 @@ def _blocks(ref: pd.Series, hyp: pd.Series, cells: int = 1 << 20):
 
 @pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in COUNTS]))
 def _align_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    out = np.zeros((len(ref), 4), int)
     ref, hyp = ref.fillna(""), hyp.fillna("")
+    out = np.zeros((len(ref), 4), int)
     n, m = ref.str.len().to_numpy(int), hyp.str.len().to_numpy(int)
     for at in _blocks(ref, hyp):
         cost, subs, _ = align(ref.iloc[at], hyp.iloc[at])
@@ -151,9 +140,15 @@ def _align_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=list(COUNTS))
 
 
-def align_words(ref: Column, hyp: Column) -> Column:
-    """hits / substitutions / deletions / insertions of two word arrays."""
-    return _align_udf(*word_symbols(ref, hyp))
+def with_alignment(df: DataFrame, ref: Column, hyp: Column, out: str = "alignment") -> DataFrame:
+    """Adds struct<hits, substitutions, deletions, insertions> of two word arrays.
+
+    Declared not deterministic, although it is, so that the optimizer does
+    not copy the call once per field that is used of its result.
+    """
+    return (df.withColumn("_pair", word_symbols(ref, hyp))
+            .withColumn(out, _align_udf.asNondeterministic()(F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))))
+            .drop("_pair"))
 
 
 @pandas_udf(T.ArrayType(T.StructType([
@@ -183,26 +178,27 @@ def _tag_errors_udf(ref: pd.Series, hyp: pd.Series, ref_tags: pd.Series, hyp_tag
     return pd.Series([[dict(zip(("language", "words", "tag_errors"), e)) for e in o] for o in out])
 
 
-def tag_errors(ref: Column, hyp: Column) -> Column:
-    """Per language of the reference: words, and words whose tag is lost.
+def with_tag_errors(df: DataFrame, ref: str, hyp: str, out: str = "tags") -> DataFrame:
+    """Adds, per language of the reference, words and words whose tag is lost.
 
     ``ref`` and ``hyp`` are array<struct<word,language>>. A deleted or
     substituted word counts as a tag error, as does a match with another tag.
     """
-    r, h = (F.transform(s, lambda w: F.lower(w["word"])) for s in (ref, hyp))
-    rs, hs = word_symbols(r, h)
-    return _tag_errors_udf(rs, hs, ref["language"], hyp["language"])
+    r, h = (F.transform(F.col(s), lambda w: F.lower(w["word"])) for s in (ref, hyp))
+    return (df.withColumn("_pair", word_symbols(r, h))
+            .withColumn(out, _tag_errors_udf.asNondeterministic()(
+                F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1)), F.col(ref)["language"], F.col(hyp)["language"]))
+            .drop("_pair"))
 
 
 # --- verdicts ----------------------------------------------------------------
 
 def is_garbage(hyp: Column, ref: Column, foreign_share: float = 0.1) -> Column:
     """Looks like a loop or another script. A blank hypothesis does not."""
-    n_ref, n_hyp = X.word_count(ref), X.word_count(hyp)
+    longer = let(lambda n_ref, n_hyp: n_hyp > F.greatest(n_ref * 3, n_ref + 10),
+                 X.word_count(ref), X.word_count(hyp))
     return (X.strip(hyp) != "") & (
-        (X.non_latin_ratio(hyp) > foreign_share)
-        | hyp.rlike(r"([a-z])\1{3}")
-        | (n_hyp > F.greatest(n_ref * 3, n_ref + 10)))
+        (X.non_latin_ratio(hyp) > foreign_share) | hyp.rlike(r"([a-z])\1{3}") | longer)
 
 
 def delta_wer(wer_a: Column, wer_b: Column) -> Column:
@@ -223,9 +219,9 @@ def verdict_narrow(wer_a: Column, wer_b: Column, hyp_b: Column, ref: Column,
                    band: float = 0.05, foreign_share: float = 0.1) -> Column:
     """Verdict with the narrow band; a broken hypothesis decides first."""
     delta = delta_wer(wer_a, wer_b)
-    n_ref, n_hyp = X.word_count(ref), X.word_count(hyp_b)
-    broken = ((X.non_latin_ratio(hyp_b) > foreign_share)
-              | (n_hyp > F.greatest(n_ref * 2, n_ref + 5))
+    longer = let(lambda n_ref, n_hyp: n_hyp > F.greatest(n_ref * 2, n_ref + 5),
+                 X.word_count(ref), X.word_count(hyp_b))
+    broken = ((X.non_latin_ratio(hyp_b) > foreign_share) | longer
               | hyp_b.rlike(r"([a-z ])\1{3}"))
     return (F.when(delta.isNull(), "UNKNOWN")
             .when(broken, "CATASTROPHIC")
@@ -236,9 +232,9 @@ def verdict_narrow(wer_a: Column, wer_b: Column, hyp_b: Column, ref: Column,
 
 def failure_mode(ref: Column, hyp_a: Column, hyp_b: Column, foreign_share: float = 0.1) -> Column:
     """First matching mode of a regressed clip."""
-    n_a, n_b, n_ref = X.word_count(hyp_a), X.word_count(hyp_b), X.word_count(ref)
-    growth = F.when(hyp_a == "", 1.0).otherwise(n_b / F.greatest(n_a, F.lit(1)))
-    return (F.when(X.non_latin_ratio(hyp_b) > foreign_share, "wrong_lang")
-            .when(n_b < n_ref * 0.5, "truncated")
-            .when(growth > 1.4, "longer")
-            .otherwise("other"))
+    def by_length(n_a: Column, n_b: Column, n_ref: Column) -> Column:
+        growth = F.when(hyp_a == "", 1.0).otherwise(n_b / F.greatest(n_a, F.lit(1)))
+        return F.when(n_b < n_ref * 0.5, "truncated").when(growth > 1.4, "longer").otherwise("other")
+
+    return F.when(X.non_latin_ratio(hyp_b) > foreign_share, "wrong_lang").otherwise(
+        let(by_length, X.word_count(hyp_a), X.word_count(hyp_b), X.word_count(ref)))

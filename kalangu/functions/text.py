@@ -64,9 +64,15 @@ def _only_if(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), text)
 
 
-def nfc(text: Column) -> Column:
-    """Unicode NFC."""
-    return F.coalesce(_nfc_udf(_only_if(text, _NEEDS_COMPOSING)), text)
+def nfc(text: Column, once: bool = False) -> Column:
+    """Unicode NFC.
+
+    ``once`` keeps the optimizer from merging the expression into later ones
+    (it is declared not deterministic, although it is). Use it in a select of
+    its own when another Arrow function follows.
+    """
+    fn = _nfc_udf.asNondeterministic() if once else _nfc_udf
+    return F.coalesce(fn(_only_if(text, _NEEDS_COMPOSING)), text)
 
 
 def is_nfc(text: Column) -> Column:
@@ -117,9 +123,9 @@ def word_count(text: Column) -> Column:
     return F.size(words(F.coalesce(text, F.lit(""))))
 
 
-def normalize_text(text: Column) -> Column:
+def normalize_text(text: Column, once: bool = False) -> Column:
     """NFC and collapsed whitespace; case, marks and punctuation stay."""
-    return collapse(nfc(text))
+    return collapse(nfc(text, once))
 
 
 def normalize_words(word: Column) -> Column:
@@ -155,11 +161,11 @@ def normalize_basic(text: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(text), rf"(?U)[^{WORD_CHAR}\s]", " "))
 
 
-def scoring_text(text: Column, mode: str = "tone_sensitive") -> Column:
-    """Form compared by the corpus scores: normalised, lower case."""
+def scoring_text(text: Column, mode: str = "tone_sensitive", once: bool = False) -> Column:
+    """Form compared by the corpus scores: normalised, lower case. For ``once`` see :func:`nfc`."""
     if mode not in ("tone_sensitive", "tone_stripped"):
         raise ValueError(f"unknown mode {mode!r}")
-    base = normalize_text(text)
+    base = normalize_text(text, once)
     return F.lower(strip_tone_marks(base) if mode == "tone_stripped" else base)
 
 

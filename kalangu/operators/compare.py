@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from kalangu.functions import scoring as M
@@ -29,10 +29,9 @@ def score_pairs(pairs: DataFrame, variant: str = "narrow") -> DataFrame:
 
 
 def verdict_counts(scored: DataFrame) -> DataFrame:
-    """verdict, n, pct of all clips. The window is over the five verdicts."""
+    """verdict, n, pct of all clips. The window spans the five verdicts, not the clips."""
     counts = scored.groupBy("verdict").agg(F.count("*").alias("n"))
-    total = scored.agg(F.count("*").alias("t")).scalar()
-    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, 2))
+    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 2))
 
 
 def side_averages(scored: DataFrame) -> DataFrame:
@@ -75,9 +74,14 @@ def regressed_by(scored: DataFrame, column: str, k: int | None = None) -> DataFr
 
 
 def failure_modes(scored: DataFrame) -> DataFrame:
-    """Failure modes among clips with a positive delta."""
-    return scored.filter(F.col("delta") > 0).groupBy(
-        M.failure_mode(F.col("ref"), F.col("hyp_a"), F.col("hyp_b")).alias("mode")).agg(F.count("*").alias("n"))
+    """Failure modes among clips with a positive delta.
+
+    A filter on the delta would be pushed below the scores and compute them
+    twice; counting the regressions only needs one evaluation.
+    """
+    worse = F.col("delta") > 0
+    mode = F.when(worse, M.failure_mode(F.col("ref"), F.col("hyp_a"), F.col("hyp_b")))
+    return (scored.groupBy(mode.alias("mode")).agg(F.count_if(worse).alias("n")).filter("n > 0"))
 
 
 def ab_totals(scored: DataFrame) -> DataFrame:
@@ -95,11 +99,15 @@ def top_by_delta(scored: DataFrame, key: str, k: int = 10, worst: bool = True,
     ``missing`` is the sort value of a null or zero delta, as some reports
     define one (-999 or 0); by default a null comes last and 0 is 0.
     """
-    rows = scored if verdicts is None else scored.filter(F.col("verdict").isin(*verdicts))
     d = F.col("delta")
     if missing is not None:
         d = F.when(d.isNull() | (d == 0), F.lit(float(missing))).otherwise(d)
-    return rows.orderBy(d.desc_nulls_last() if worst else d.asc_nulls_last(), F.col(key)).limit(k)
+    if verdicts is None:
+        return scored.orderBy(d.desc_nulls_last() if worst else d.asc_nulls_last(), F.col(key)).limit(k)
+    # wanted rows first, the others cut after the limit: each score is computed once
+    rows = scored.withColumn("_in", F.col("verdict").isin(*verdicts))
+    top = rows.orderBy(F.desc("_in"), d.desc_nulls_last() if worst else d.asc_nulls_last(), F.col(key)).limit(k)
+    return top.filter("_in").drop("_in")
 
 
 def file_sizes_of_regressed(scored: DataFrame, files: DataFrame) -> DataFrame:

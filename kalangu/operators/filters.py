@@ -16,6 +16,7 @@ from kalangu.functions import audio as A
 from kalangu.functions import scoring as M
 from kalangu.functions import text as X
 from kalangu.functions.hashing import seeded_hash
+from kalangu.functions.rounding import two_places
 from kalangu.operators.scale import first_per_key, top_per_key
 
 
@@ -130,7 +131,8 @@ def audio_pass(df: DataFrame, limits: AudioLimits = AudioLimits(), out: str = "p
 
     The measures are taken in one vectorised pass over the samples of a clip.
     """
-    df = df.withColumn("_m", A.quality_measures(
+    # not deterministic in name only: one call per clip, whatever is used of it
+    df = df.withColumn("_m", A.quality_measures.asNondeterministic()(
         F.col(samples), A.frame_size(F.col(sample_rate), limits.frame_ms)))
     m, rate = F.col("_m"), F.col(sample_rate)
     n = F.coalesce(m["n_samples"], F.lit(0))
@@ -181,7 +183,7 @@ def transcript_pass(df: DataFrame, out: str = "pass3", ref: str = "transcript",
     scored = F.col(hyp).isNotNull()
     df = df.withColumn("_reason", F.when(~scored, "asr_error")
                        .when(F.col("_cer") > max_cer, F.concat(
-                           F.lit("transcript_mismatch_cer_"), M.two_places(F.col("_cer"))))
+                           F.lit("transcript_mismatch_cer_"), two_places(F.col("_cer"))))
                        .otherwise("pass"))
     reason, lang = F.col("_reason"), F.coalesce(F.col(detected), F.lit(language))
     result = _result(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kalangu import constants as C
 from kalangu.functions import scoring as M
 from kalangu.functions import text as X
-from kalangu.operators.scale import equi_join, floor_percentiles
+from kalangu.operators.scale import floor_percentiles
 
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:
@@ -45,11 +45,10 @@ def word_error_report(pairs: DataFrame, by: list[str] = (), mode: str = "tone_se
     Zeros for an empty input. Per-clip counts are summed with partial
     aggregation, so one language holding most clips is no bottleneck.
     """
-    texts = pairs.select(*by, X.scoring_text(F.col(ref), mode).alias("_r"),
-                         X.scoring_text(F.coalesce(F.col(hyp), F.lit("")), mode).alias("_h"))
-    scored = texts.select(
-        *by, M.align_words(X.words(F.col("_r")), X.words(F.col("_h"))).alias("_a"),
-        F.levenshtein("_r", "_h").alias("_ce"), F.length("_r").alias("_cn"))
+    texts = pairs.select(*by, X.scoring_text(F.col(ref), mode, once=True).alias("_r"),
+                         X.scoring_text(F.coalesce(F.col(hyp), F.lit("")), mode, once=True).alias("_h"))
+    scored = M.with_alignment(texts, X.words(F.col("_r")), X.words(F.col("_h")), "_a").select(
+        *by, "_a", F.levenshtein("_r", "_h").alias("_ce"), F.length("_r").alias("_cn"))
     names = ["hits", "substitutions", "deletions", "insertions"]
     total = {n: F.coalesce(F.sum(F.col("_a")[n]), F.lit(0)) for n in names}
     sums = scored.groupBy(*by).agg(
@@ -69,9 +68,9 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def error_rates(pairs: DataFrame, by: list[str] = (), ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Micro WER and CER without the split into kinds: native expressions only."""
-    r, h = X.words(F.col(ref)), X.words(F.coalesce(F.col(hyp), F.lit("")))
     scored = pairs.select(
-        *by, M.word_distance(r, h).alias("we"), F.size(r).alias("wn"),
+        *by, M.word_distance(X.words(F.col(ref)), X.words(F.coalesce(F.col(hyp), F.lit("")))).alias("we"),
+        X.word_count(F.col(ref)).alias("wn"),
         F.levenshtein(F.col(ref), F.coalesce(F.col(hyp), F.lit(""))).alias("ce"), F.length(ref).alias("cn"))
     return scored.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("we").alias("word_errors"), F.sum("wn").alias("ref_words"),
@@ -82,7 +81,7 @@ def error_rates(pairs: DataFrame, by: list[str] = (), ref: str = "ref", hyp: str
 
 def code_switched_languages(pairs: DataFrame, ref: str = "ref_tagged", hyp: str = "hyp_tagged") -> DataFrame:
     """Per reference language: words, tag_errors and their ratio."""
-    per = pairs.select(F.explode(M.tag_errors(F.col(ref), F.col(hyp))).alias("e")).select("e.*")
+    per = M.with_tag_errors(pairs, ref, hyp).select(F.explode("tags").alias("e")).select("e.*")
     return per.groupBy("language").agg(
         F.sum("words").alias("words"), F.sum("tag_errors").alias("tag_errors")).withColumn(
         "wer", F.col("tag_errors") / F.col("words"))
@@ -97,9 +96,8 @@ def code_switched_wer(pairs: DataFrame, ref: str = "ref_tagged", hyp: str = "hyp
     def words(col: str) -> Column:
         return F.transform(F.col(col), lambda w: X.normalize_words(w["word"]))
 
-    scored = pairs.select(
-        M.word_distance(words(ref), words(hyp)).alias("errors"), F.size(ref).alias("n"),
-        M.tag_errors(F.col(ref), F.col(hyp)).alias("tags"))
+    scored = M.with_tag_errors(pairs, ref, hyp).select(
+        M.word_distance(words(ref), words(hyp)).alias("errors"), F.size(ref).alias("n"), "tags")
     # one row per pair and language; the pair's own figures ride on the first
     per = scored.select("errors", "n", F.posexplode_outer("tags")).groupBy(F.col("col.language").alias("language")).agg(
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("errors"))).alias("errors"),
@@ -146,14 +144,11 @@ def tier_stats(clips: DataFrame, wer: str = "wer", hyp: str = "hyp", min_duratio
         F.explode(duration_tiers(F.coalesce(F.col("duration"), F.lit(0.0)), min_duration)).alias("tier"),
         F.col(wer).alias("w"), (X.strip(F.col(hyp)) == "").alias("blank"), "is_garbage")
     n = F.col("n")
-    picks = floor_percentiles(tiered, ["tier"], "w", {
+    stats = floor_percentiles(tiered, ["tier"], "w", {
         "p25": _at(n, 0.25), "p75": _at(n, 0.75), "p95": _at(n, 0.95),
-        "mid_lo": F.floor((n - 1) / 2), "mid_hi": F.floor(n / 2)})
-    flat = tiered.groupBy("tier").agg(
-        F.avg("w").alias("mean"), F.count_if("blank").alias("empty_hyps"),
-        F.count_if("is_garbage").alias("garbage_hyps"),
-        F.count_if(F.col("w") > 1.0).alias("wer_over_100pct"))
-    return picks.join(flat, "tier").select(
+        "mid_lo": F.floor((n - 1) / 2), "mid_hi": F.floor(n / 2)},
+        {"empty_hyps": F.col("blank"), "garbage_hyps": F.col("is_garbage"), "wer_over_100pct": F.col("w") > 1.0})
+    return stats.select(
         "tier", "n", F.round("mean", 4).alias("mean_wer"),
         F.round((F.col("mid_lo") + F.col("mid_hi")) / 2, 4).alias("median_wer"),
         F.round("p25", 4).alias("p25_wer"), F.round("p75", 4).alias("p75_wer"),
@@ -166,15 +161,11 @@ def _at(n: Column, p: float) -> Column:
 
 def distribution_stats(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """n, mean, floor-index median and percentiles, min, max (1 place)."""
-    by = list(by)
     n = F.col("n")
-    picks = floor_percentiles(df, by, value, {
+    stats = floor_percentiles(df, list(by), value, {
         "median": F.floor(n / 2), "p25": F.floor(n / 4), "p75": F.floor(n * 3 / 4), "p95": _at(n, 0.95)})
-    flat = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    joined = equi_join(picks, flat, by, "inner") if by else picks.join(flat)
-    return joined.select(*by, "n", *[F.round(c, 1).alias(c) for c in
-                                     ("mean", "median", "p25", "p75", "p95", "min", "max")])
+    return stats.select(*by, "n", *[F.round(c, 1).alias(c) for c in
+                                    ("mean", "median", "p25", "p75", "p95", "min", "max")])
 
 
 def word_frequencies(df: DataFrame, text: str = "text", stopwords=C.STOPWORDS, k: int | None = 30) -> DataFrame:
@@ -187,13 +178,11 @@ def word_frequencies(df: DataFrame, text: str = "text", stopwords=C.STOPWORDS, k
 
 def text_stats(df: DataFrame, text: str = "text", by: list[str] = ()) -> DataFrame:
     """Words per text: mean (1 place) and floor-index median, p75, p95."""
-    by = list(by)
     counted = df.select(*by, X.word_count(F.col(text)).alias("w"))
     n = F.col("n")
-    picks = floor_percentiles(counted, by, "w", {
+    stats = floor_percentiles(counted, list(by), "w", {
         "median": F.floor(n / 2), "p75": F.floor(n * 3 / 4), "p95": _at(n, 0.95)})
-    flat = counted.groupBy(*by).agg(F.round(F.avg("w"), 1).alias("mean"))
-    return equi_join(picks, flat, by, "inner") if by else picks.join(flat)
+    return stats.select(*by, "n", F.round("mean", 1).alias("mean"), "median", "p75", "p95")
 
 
 def split_mismatch(df: DataFrame, split: str = "split", short: float = 3.0) -> DataFrame:
@@ -223,10 +212,10 @@ def dev_score(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame
     """Micro WER of basically normalised texts: n, skipped empty references, wer."""
     texts = pairs.select(X.normalize_basic(F.col(ref)).alias("ref"),
                          X.normalize_basic(F.coalesce(F.col(hyp), F.lit(""))).alias("hyp"))
-    r, h = X.words(F.col("ref")), X.words(F.col("hyp"))
-    usable = F.size(r) > 0
-    s = texts.agg(F.count_if(usable).alias("scored"), F.count_if(~usable).alias("skipped"),
-                  F.sum(F.when(usable, M.word_distance(r, h))).alias("e"), F.sum(F.size(r)).alias("n"))
+    words = texts.select(X.words(F.col("ref")).alias("r"), X.words(F.col("hyp")).alias("h"))
+    usable = F.size("r") > 0
+    s = words.agg(F.count_if(usable).alias("scored"), F.count_if(~usable).alias("skipped"),
+                  F.sum(F.when(usable, M.word_distance(F.col("r"), F.col("h")))).alias("e"), F.sum(F.size("r")).alias("n"))
     return s.select("scored", "skipped", _ratio(F.col("e"), F.col("n")).alias("wer"))
 
 

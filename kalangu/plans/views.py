@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalangu.functions import text as X
+from kalangu.functions.binding import let
 from kalangu.functions.timing import epoch_seconds
 from kalangu.session import spread
 
@@ -35,8 +36,10 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 
 def cut_words(words: Column, size: int = UTTERANCE_WORDS) -> Column:
     """All words in consecutive runs of ``size``."""
-    n = F.ceil(F.size(words) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(words, i * size + 1, size)))
+    def runs(w: Column, n: Column) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(w, i * size + 1, size)))
+
+    return let(lambda w: let(runs, w, F.ceil(F.size(w) / size).cast("int")), words)
 
 
 def hypothesis_a(w: Column) -> Column:

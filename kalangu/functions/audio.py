@@ -19,11 +19,14 @@ def _sum(values: Column) -> Column:
 
 def mono(channels: Column) -> Column:
     """Mean over channels of an array<array<float>>."""
-    total = F.aggregate(
-        F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0))),
-        F.transform(channels[0], lambda x: x.cast("double")),
-        lambda acc, ch: F.zip_with(acc, ch, lambda a, b: a + b.cast("double")))
-    return F.transform(total, lambda x: (x / F.size(channels)).cast("float"))
+    def mean(ch: Column) -> Column:
+        total = F.aggregate(
+            F.slice(ch, F.lit(2), F.greatest(F.size(ch) - 1, F.lit(0))),
+            F.transform(F.get(ch, F.lit(0)), lambda x: x.cast("double")),
+            lambda acc, one: F.zip_with(acc, one, lambda a, b: a + b.cast("double")))
+        return F.transform(total, lambda x: (x / F.size(ch)).cast("float"))
+
+    return let(mean, channels)
 
 
 def duration_sec(samples: Column, sample_rate: Column) -> Column:
@@ -61,13 +64,18 @@ def frame_rms(samples: Column, frame: Column) -> Column:
 
 def snr_db(frames: Column) -> Column:
     """Loudest over quietest frame in dB; 0 for a single frame."""
-    ratio = F.greatest(F.array_max(frames), F.lit(1e-9)) / (F.array_min(frames) + 1e-9)
-    return F.when(F.size(frames) > 1, 20.0 * F.log10(ratio)).otherwise(0.0)
+    def ratio(x: Column) -> Column:
+        return F.greatest(F.array_max(x), F.lit(1e-9)) / (F.array_min(x) + 1e-9)
+
+    return let(lambda x: F.when(F.size(x) > 1, 20.0 * F.log10(ratio(x))).otherwise(0.0), frames)
 
 
 def silence_share(frames: Column, floor_db: float = -50.0) -> Column:
-    quiet = F.filter(frames, lambda x: x < F.lit(10 ** (floor_db / 20.0)))
-    return F.when(F.size(frames) > 0, F.size(quiet) / F.size(frames)).otherwise(1.0)
+    def share(all_frames: Column) -> Column:
+        quiet = F.filter(all_frames, lambda x: x < F.lit(10 ** (floor_db / 20.0)))
+        return F.when(F.size(all_frames) > 0, F.size(quiet) / F.size(all_frames)).otherwise(1.0)
+
+    return let(share, frames)
 
 
 QUALITY_TYPE = T.StructType([

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -11,34 +13,52 @@ from kalangu.operators.scale import equi_join, running_min, top_per_key
 RUN_KEYS = ["stage_name", "run_id"]
 
 
-def summary_aggregates(order: list[str]) -> list[Column]:
-    """Aggregates that fold the events of a run; usable in batch and stream.
+def event_order(ts: Column, pos: Column) -> Column:
+    """One number that orders events by time (to the microsecond), then position.
 
-    ``order`` is a total order of the events of a run. All partials are
-    constant in size, so a run of any length folds map-side.
+    A number, unlike a struct, keeps the folds below in hash aggregation: no
+    task has to sort its events by run.
     """
-    at = F.struct(*order)
-    kind = F.col("type")
+    micros = F.round(ts * 1e6).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10) ** 19) + pos.cast("decimal(19,0)")
 
-    def last(value: Column, *types: str, where: Column | None = None) -> Column:
-        use = kind.isin(*types) if types else F.lit(True)
-        use = use if where is None else use & where
-        return F.max_by(F.struct(value.alias("v")), F.when(use, at))["v"]
 
-    wer = map_mean(F.col("wer"))
-    return [
-        F.coalesce(last(F.when(kind == "train_end", "completed").otherwise("error"), "train_end", "error"),
-                   F.lit("running")).alias("status"),
-        F.coalesce(F.max(F.when(kind == "step", F.coalesce("step", F.lit(0)))), F.lit(0)).cast("long").alias("step"),
-        F.coalesce(last(F.coalesce("total_steps", F.lit(0)), "train_start"), F.lit(0)).cast("long").alias("total_steps"),
-        nan_to_null(last(F.col("loss"), "step")).alias("train_loss"),
-        nan_to_null(last(F.col("eval_loss"), "eval")).alias("val_loss"),
-        nan_to_null(last(wer, "eval", where=wer.isNotNull())).alias("wer"),
-        F.min_by("ts", at).alias("created_at"), F.max_by("ts", at).alias("updated_at")]
+_STATUS = {1: "completed", 2: "error"}
+
+
+def fold_events(events: DataFrame, keys: list[str], order: list[str] = ("ts", "pos")) -> DataFrame:
+    """Summaries of runs; the same fold for a table and for a stream.
+
+    Every partial result is a few numbers, so a run of any length is folded
+    where its events are read.
+    """
+    kind = F.col("type")
+    df = events.withColumn("_at", event_order(F.col(order[0]), F.col(order[1])))
+    df = df.withColumn("_wer", map_mean(F.col("wer")))
+    at = F.col("_at")
+
+    def last(column: str, *types: str) -> Column:
+        return F.max_by(column, F.when(kind.isin(*types), at))
+
+    code = F.when(kind == "train_end", 1).when(kind == "error", 2)
+    folded = df.withColumn("_code", code).groupBy(*keys).agg(
+        last("_code", "train_end", "error").alias("_code"),
+        F.max(F.when(kind == "step", F.coalesce("step", F.lit(0)))).alias("step"),
+        last("total_steps", "train_start").alias("total_steps"),
+        last("loss", "step").alias("train_loss"), last("eval_loss", "eval").alias("val_loss"),
+        F.max_by("_wer", F.when((kind == "eval") & F.col("_wer").isNotNull(), at)).alias("wer"),
+        F.min_by("ts", at).alias("created_at"), F.max_by("ts", at).alias("updated_at"))
+    status = F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv])[F.col("_code")]
+    return folded.select(
+        *keys, F.coalesce(status, F.lit("running")).alias("status"),
+        F.coalesce("step", F.lit(0)).cast("long").alias("step"),
+        F.coalesce("total_steps", F.lit(0)).cast("long").alias("total_steps"),
+        *[nan_to_null(F.col(c)).alias(c) for c in ("train_loss", "val_loss", "wer")], "created_at", "updated_at")
 
 
 def run_summaries(events: DataFrame, order: list[str] = ("ts", "pos"), keys: list[str] = RUN_KEYS) -> DataFrame:
-    return events.groupBy(*keys).agg(*summary_aggregates(list(order)))
+    """One summary per run of an event table (stage_name, run_id)."""
+    return fold_events(events, list(keys), order)
 
 
 def newest_runs(summaries: DataFrame, k: int | None = None) -> DataFrame:
@@ -63,11 +83,11 @@ def runs_with_wer(summaries: DataFrame) -> DataFrame:
 
 def loss_series(events: DataFrame, order: list[str] = ("ts", "pos"), keys: list[str] = RUN_KEYS) -> DataFrame:
     """Per run and step: the last train loss and the last eval loss."""
-    at = F.struct(*order)
-    train = F.when((F.col("type") == "step") & F.col("loss").isNotNull(), at)
-    val = F.when((F.col("type") == "eval") & F.col("eval_loss").isNotNull(), at)
-    return (events.filter(train.isNotNull() | val.isNotNull())
-            .groupBy(*keys, F.coalesce("step", F.lit(0)).alias("step"))
+    is_train = (F.col("type") == "step") & F.col("loss").isNotNull()
+    is_val = (F.col("type") == "eval") & F.col("eval_loss").isNotNull()
+    wanted = events.filter(is_train | is_val).withColumn("_at", event_order(F.col(order[0]), F.col(order[1])))
+    train, val = F.when(is_train, F.col("_at")), F.when(is_val, F.col("_at"))
+    return (wanted.groupBy(*keys, F.coalesce("step", F.lit(0)).alias("step"))
             .agg(F.max_by("loss", train).alias("train_loss"), F.max_by("eval_loss", val).alias("val_loss")))
 
 

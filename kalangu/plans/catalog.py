@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("curation", "split", "text", "scoring", "comparison", "run", "audio")
+MODULES = ("curation", "split", "text", "scoring", "comparison", "run", "audio", "io", "stream")
 
 
 def query(name: str, sql: str | None = None):

@@ -63,8 +63,9 @@ def through_table(df: DataFrame, label: str = "cut") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over the cluster when the input arrives in too few partitions.
 
-    For costly per-row work on a few large files or row groups. An input that
-    already has a partition per core is left as it is.
+    For costly per-row work on a scan of a few large files or row groups. A
+    scan that already has a partition per core is left as it is. Give it a
+    scan, not a join: counting the partitions of a join runs it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

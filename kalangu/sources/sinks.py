@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalangu import constants as C
@@ -53,10 +54,20 @@ def stage(df: DataFrame, key: Column, path: str, compute: Callable[[DataFrame],
     """
     spark = df.sparkSession
     where = f"{path.rstrip('/')}/{fingerprint(df, key)}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    if not _written(spark, f"{where}-done"):
         if dry_run:
             return compute(df)
         compute(df).write.mode("overwrite").parquet(where)
+        spark.range(1).write.mode("overwrite").parquet(f"{where}-done")
     return spark.read.parquet(where)
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there. The marker of a stage is written after the stage itself."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True

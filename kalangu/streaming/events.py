@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kalangu import schema as S
-from kalangu.operators.runs import summary_aggregates
+from kalangu.operators.runs import event_order, fold_events
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def live_summaries(events: DataFrame, keys: list[str], order: list[str]) -> Data
 
     The state holds one row of fixed size per run.
     """
-    return events.groupBy(*keys).agg(*summary_aggregates(order))
+    return fold_events(events, keys, order)
 
 
 def keep_latest(updates: DataFrame, path: str, checkpoint: str, available_now: bool = True,
@@ -71,10 +71,10 @@ def append_stream(events: DataFrame, path: str, checkpoint: str, partition_by: l
 
 def latest_figures(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Latest step and losses per group, for periodic snapshots."""
-    at = F.struct(*order)
+    at = F.col("_at")
 
     def last(column: str, kind: str) -> Column:
         return F.max_by(column, F.when(F.col("type") == kind, at)).alias(f"last_{column}")
 
-    return events.groupBy(*keys).agg(
+    return events.withColumn("_at", event_order(F.col(order[0]), F.col(order[1]))).groupBy(*keys).agg(
         last("step", "step"), last("loss", "step"), last("eval_loss", "eval"), F.count("*").alias("events"))

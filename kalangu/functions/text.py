@@ -207,7 +207,7 @@ def stem(path: Column) -> Column:
 
 def parent_name(path: Column) -> Column:
     """Name of the enclosing folder, '' when there is none."""
-    return F.coalesce(F.element_at(F.split(path, "/"), -2), F.lit(""))
+    return F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit(""))
 
 
 def with_suffix(path: Column, suffix: str) -> Column:

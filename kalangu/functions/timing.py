@@ -8,7 +8,11 @@ RUN_ID = r"^(.*)_(\d{8}_\d{6})_([0-9a-f]{4})$"
 
 def epoch_seconds(ts_ntz: Column) -> Column:
     """Wall-clock UTC timestamp without zone to epoch seconds, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts_ntz) / 1e6
+    age = ts_ntz - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = {p: F.extract(F.lit(p), age) for p in ("DAY", "HOUR", "MINUTE", "SECOND")}
+    whole = (part["DAY"].cast("long") * 24 + part["HOUR"]) * 60 + part["MINUTE"]
+    micros = (part["SECOND"] * 1000000).cast("long")
+    return (whole * 60000000 + micros) / 1e6
 
 
 def clock_time(epoch: Column) -> Column:

@@ -143,7 +143,7 @@ def best_so_far(evals: DataFrame, metric: str, keys: list[str], order: list[str]
     :func:`kalangu.operators.scale.running_min`.
     """
     m = _signed(F.col(metric), mode)
-    fields = [*order, *carry]
+    fields = list(dict.fromkeys([*order, *carry]))
     mine = F.when(m.isNotNull(), F.struct(m.alias("m"), *fields))
     df = running_min(evals, keys, order, mine, _ten_minutes(order) if bucket is None else bucket, "_prev")
     is_best = m.isNotNull() & (F.col("_prev").isNull() | (m < F.col("_prev")["m"]))

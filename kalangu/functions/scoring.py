@@ -155,27 +155,27 @@ def with_alignment(df: DataFrame, ref: Column, hyp: Column, out: str = "alignmen
     T.StructField("language", T.StringType()), T.StructField("words", T.IntegerType()),
     T.StructField("tag_errors", T.IntegerType())])))
 def _tag_errors_udf(ref: pd.Series, hyp: pd.Series, ref_tags: pd.Series, hyp_tags: pd.Series) -> pd.Series:
+    ref_tags, hyp_tags = ref_tags.tolist(), hyp_tags.tolist()
+    code = {t: k for k, t in enumerate(sorted({t for tags in ref_tags for t in tags}))}
+    names, known = list(code), np.arange(len(code))
     out = [[] for _ in range(len(ref))]
     for at in _blocks(ref, hyp):
-        tags = sorted({t for k in at for t in ref_tags.iloc[k]})
-        code = {t: k for k, t in enumerate(tags)}
         rt = np.full((len(at), max(ref.iloc[at].str.len().max(), 1)), -1)
         ht = np.full((len(at), max(hyp.iloc[at].str.len().max(), 1)), -2)
         for row, k in enumerate(at):
-            rt[row, :len(ref_tags.iloc[k])] = [code[t] for t in ref_tags.iloc[k]]
-            ht[row, :len(hyp_tags.iloc[k])] = [code.get(t, -3) for t in hyp_tags.iloc[k]]
-        known = np.arange(len(tags))
+            rt[row, :len(ref_tags[k])] = [code[t] for t in ref_tags[k]]
+            ht[row, :len(hyp_tags[k])] = [code.get(t, -3) for t in hyp_tags[k]]
 
         def credit(i, j):
             same = rt[:, i] == ht[:, j]
             return (same[..., None] & (rt[:, i][..., None] == known)).astype(np.int64)
 
         _, _, right = align(ref.iloc[at], hyp.iloc[at], credit)
+        total = (rt[..., None] == known).sum(axis=1)
         for row, k in enumerate(at):
-            total = np.bincount(rt[row][rt[row] >= 0], minlength=len(tags))
-            out[k] = [(tags[t], int(total[t]), int(total[t] - right[row, t]))
-                      for t in known if total[t]]
-    return pd.Series([[dict(zip(("language", "words", "tag_errors"), e)) for e in o] for o in out])
+            out[k] = [{"language": names[t], "words": int(total[row, t]), "tag_errors": int(total[row, t] - right[row, t])}
+                      for t in np.flatnonzero(total[row])]
+    return pd.Series(out)
 
 
 def with_tag_errors(df: DataFrame, ref: str, hyp: str, out: str = "tags") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from kalangu.functions.binding import let
 from kalangu.functions.hashing import seeded_uniform
 from kalangu.operators.scale import hash_ranked
 
@@ -47,7 +48,8 @@ def pick_group(df: DataFrame, u: Column, bounds: DataFrame, group: str = "langua
     """
     table = bounds.agg(F.sort_array(F.collect_list(F.struct("hi", group, "n", "weight"))).alias("b")).scalar()
     df = df.withColumns({"_t": table, "_u": u})
-    return df.withColumn(out, F.filter("_t", lambda b: F.col("_u") < b["hi"])[0]).drop("_t", "_u")
+    pick = let(lambda t, u: F.get(F.filter(t, lambda b: u < b["hi"]), F.lit(0)), F.col("_t"), F.col("_u"))
+    return df.withColumn(out, pick).drop("_t", "_u")
 
 
 def mixed_plan(pool: DataFrame, key: str, total: int, temperature: float = 0.3, seed: int = 42,

@@ -89,32 +89,33 @@ def hash_cut(df: DataFrame, key: Column, count: Column, seed: int = 42, digits:
 
 
 def floor_percentiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column],
-                      sums: dict[str, Column] | None = None, buckets: int = 1024) -> DataFrame:
+                      sums: dict[str, Column] | None = None, buckets: int = 128) -> DataFrame:
     """Exact order statistics per group, in one pass over ``df``.
 
     ``picks`` maps an output name to a 0-based index as a function of ``n``
     (the group size); ``sums`` maps a name to a condition to count. No group is
     sorted whole: equal values are counted first, the counts are summed over
-    value ranges, and only then numbered within each range. Output: keys, n,
-    mean, min, max, one column per pick and per sum.
+    value ranges of about equally many distinct values (their edges may be
+    approximate, the result is not), and only then numbered within each range.
+    Output: keys, n, mean, min, max, one column per pick and per sum.
     """
     sums = sums or {}
     counts = (df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
               .groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count("*").alias("_c"), *[F.count_if(c).alias(f"_s_{k}") for k, c in sums.items()]))
-    ends = counts.groupBy(*keys).agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                              F.sum("_c").alias("n")).alias("_e"))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    ends = counts.groupBy(*keys).agg(F.struct(
+        F.percentile_approx("_v", shares, F.lit(1000)).alias("edges"), F.sum("_c").alias("n")).alias("_e"))
     placed = equi_join(counts, ends, keys, "inner") if keys else counts.withColumn("_e", ends.scalar())
-    spread = F.col("_e.hi") - F.col("_e.lo")
-    at = F.when(spread > 0, F.floor((F.col("_v") - F.col("_e.lo")) / spread * buckets)).otherwise(0)
-    placed = placed.withColumn("_b", at)
+    placed = placed.withColumns({"n": F.col("_e.n"), "_edges": F.col("_e.edges")})
+    placed = placed.withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_e", "_edges")
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
     earlier = W.partitionBy(*keys) if keys else W.partitionBy()
     before = earlier.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
     run = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = (equi_join(placed.withColumn("_in", F.sum("_c").over(run)), offsets, [*keys, "_b"], "inner")
-              .withColumn("n", F.col("_e.n")).withColumn("_end", F.col("_o") + F.col("_in")))
+              .withColumn("_end", F.col("_o") + F.col("_in")))
     start = F.col("_end") - F.col("_c")
     return summed.groupBy(*keys, "n").agg(
         (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"),

@@ -76,12 +76,10 @@ def _(spark, sf):
 
 
 @query("fixed_segments", with_views("wave", body=f"""SELECT vec_id, s AS segment, round(s * 20 / 640.0::DOUBLE, 2) AS start, round(least((s + 1) * 20 / 640.0::DOUBLE, 0.1::DOUBLE), 2) AS "end",
-    {shown_sql("samples[s*20+1:s*20+20]")} AS samples FROM (SELECT *, unnest(range(0, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 3 END))::INT AS s FROM wave)"""))
+    {shown_sql("samples[s*20+1:s*20+20]")} AS samples FROM (SELECT *, unnest(range(0, 4))::INT AS s FROM wave)"""))
 def _(spark, sf):
-    w = V.waveforms(spark, sf)
-    even, odd = w.filter("vec_id % 2 = 0"), w.filter("vec_id % 2 = 1")
-    cut = [B.segment_clips(x, "vec_id", only_above_sec=0.09, segment_sec=20 / 640, min_samples=m) for x, m in ((even, 4), (odd, 5))]
-    return cut[0].unionByName(cut[1]).withColumn("samples", shown("samples"))
+    out = B.segment_clips(V.waveforms(spark, sf), "vec_id", only_above_sec=0.09, segment_sec=20 / 640, min_samples=4)
+    return out.withColumn("samples", shown("samples"))
 
 
 @query("augmentation_plan", """SELECT vec_id, CASE WHEN u('speed') < 0.3 THEN [0.9, 1.0, 1.1][floor(u('speed_pick') * 3)::INT + 1]::DOUBLE END AS speed,
@@ -164,13 +162,13 @@ def _(spark, sf):
     return out.withColumn("loudest", F.round("loudest", 6))
 
 
-@query("combined_analysis", """SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'label_' || label END AS emotion, CASE WHEN vec_id % 3 = 0 THEN label END AS gender FROM embeddings""")
+@query("combined_analysis", """SELECT vec_id, CASE WHEN label < 5 THEN 'label_' || label END AS emotion, CASE WHEN label > 3 THEN label END AS gender FROM embeddings""")
 def _(spark, sf):
     from kalangu.operators.hooks import combine_analyses
 
     w = V.table(spark, sf, "embeddings").select("vec_id", "label")
-    emotion = w.filter("vec_id % 2 = 0").select("vec_id", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("top"))
-    gender = w.filter("vec_id % 3 = 0").select("vec_id", F.col("label").alias("top"))
+    emotion = w.filter("label < 5").select("vec_id", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("top"))
+    gender = w.filter("label > 3").select("vec_id", F.col("label").alias("top"))
     out = combine_analyses(w.select("vec_id"), "vec_id", emotion=emotion, gender=gender)
     return out.select("vec_id", F.col("emotion.top").alias("emotion"), F.col("gender.top").alias("gender"))
 

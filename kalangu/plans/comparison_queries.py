@@ -27,11 +27,11 @@ def scored(spark, sf, variant="narrow"):
     return K.score_pairs(pairs(spark, sf), variant)
 
 
-@query("paired_sides", with_views("utt_text", body="SELECT key, hyp_a, hyp_b FROM utt_text WHERE u % 2 = 0"))
+@query("paired_sides", with_views("utt_text", body="SELECT key, hyp_a, hyp_b FROM utt_text WHERE doc_id IN (SELECT doc_id FROM labels)"))
 def _(spark, sf):
     u = V.utterances(spark, sf)
     return J.pair_sides(u.select("key", F.col("hyp_a").alias("hyp")),
-                        u.filter("u % 2 = 0").select("key", F.col("hyp_b").alias("hyp")), "key")
+                        u.join(V.table(spark, sf, "labels"), "doc_id", "left_semi").select("key", F.col("hyp_b").alias("hyp")), "key")
 
 
 @query("narrow_verdicts", HEAD + "SELECT key, wer_a, wer_b, delta, g AS is_garbage, verdict FROM sc")

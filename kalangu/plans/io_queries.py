@@ -132,22 +132,21 @@ def _(spark, sf):
     return K.leaderboard(records.read_reports(spark, folder), ("en", "fr", "de")).withColumn("overall", F.round("overall", 6))
 
 
-@query("filter_cache_scan", """SELECT source || '/' || doc_id || '.flac' AS audio_path, toxic * 0.5::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS cer,
+@query("filter_cache_scan", """SELECT source || '/' || doc_id || '.flac' AS audio_path, toxic * 0.5::DOUBLE + CASE WHEN quality = 1 THEN 1 ELSE 0 END AS cer,
     'l' || quality AS detected_language FROM labels JOIN documents USING (doc_id)""")
 def _(spark, sf):
     root = fresh_path(spark, "filter_cache")
-    k = F.col("doc_id")
     lab = V.clips(spark, sf).join(V.table(spark, sf, "labels"), "doc_id")
     cer, lang = F.col("toxic") * 0.5, F.concat(F.lit("l"), F.col("quality").cast("string"))
-    # top level in one split, under details in the other; even keys are in both and the second counts
+    # top level in one split, under details in the other; good ones are in both and the second counts
     lab.select("audio_path", cer.alias("cer"), lang.alias("detected_language")).write.json(f"{root}/dev/transcript_results.jsonl")
-    lab.filter(k % 2 == 0).select(F.lit(True).alias("keep"), F.struct("audio_path", (cer + 1).alias("cer"), lang.alias("detected_language")).alias(
+    lab.filter("quality = 1").select(F.lit(True).alias("keep"), F.struct("audio_path", (cer + 1).alias("cer"), lang.alias("detected_language")).alias(
         "details")).write.json(f"{root}/test/transcript_results.jsonl")
     return records.read_filter_cache(spark, f"{root}/*/transcript_results.jsonl").select("audio_path", "cer", "detected_language")
 
 
 @query("speaker_map_scan", with_views("clips", body="""SELECT doc_id::VARCHAR AS stem, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'spk' || (doc_id % 40) END AS speaker_id,
-    CASE WHEN doc_id % 2 = 0 THEN '19-25' ELSE '26-40' END AS age_group, split AS split_origin FROM clips WHERE doc_id % 3 <> 0"""))
+    CASE WHEN doc_id % 2 = 0 THEN '19-25' ELSE '26-40' END AS age_group, split AS split_origin FROM clips WHERE doc_id IN (SELECT doc_id FROM labels)"""))
 def _(spark, sf):
     path = fresh_path(spark, "speaker_map")
     m = speaker_map(spark, sf)
@@ -168,14 +167,14 @@ def _(spark, sf):
 
 
 @query("lab_label_scan", """SELECT '/ie/sentences/wav/utt_' || doc_id || '.wav' AS audio_path, CASE doc_id % 8 WHEN 0 THEN 'happy' WHEN 1 THEN 'happy' WHEN 2 THEN 'angry'
-    WHEN 3 THEN 'sad' WHEN 4 THEN 'neutral' ELSE 'neutral' END AS label, 'iemocap' AS source FROM documents WHERE doc_id % 8 < 6 AND doc_id % 7 <> 0 AND doc_id % 3 <> 0""")
+    WHEN 3 THEN 'sad' WHEN 4 THEN 'neutral' ELSE 'neutral' END AS label, 'iemocap' AS source FROM documents WHERE doc_id % 8 < 6 AND doc_id % 7 <> 0 AND doc_id IN (SELECT doc_id FROM labels)""")
 def _(spark, sf):
     k = F.col("doc_id")
     code = F.element_at(F.array(*map(F.lit, ("hap", "exc", "ang", "sad", "neu", "fru", "oth", "xxx"))), (k % 8 + 1).cast("int"))
     d = V.table(spark, sf, "documents")
     lines = d.select(F.lit("/ie").alias("folder"), F.when(k % 7 == 0, "short line").otherwise(
         F.concat(F.lit(" utt_"), k.cast("string"), F.lit("\t12.5 "), code, F.lit(" extra"))).alias("value"))
-    audio = d.filter(k % 3 != 0).select(F.concat(F.lit("/ie/sentences/wav/utt_"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
+    audio = V.table(spark, sf, "labels").select(F.concat(F.lit("/ie/sentences/wav/utt_"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
     return J.with_existing_files(records.lab_labels(lines), audio)
 
 

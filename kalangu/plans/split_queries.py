@@ -15,9 +15,9 @@ from kalangu.sources import ingest, records
 
 
 def speaker_map(spark, sf):
-    """Speaker attributes for two thirds of the clips, some with an empty speaker."""
+    """Speaker attributes for the clips that have labels, some with an empty speaker."""
     k = F.col("doc_id")
-    return V.clips(spark, sf).filter(k % 3 != 0).select(
+    return V.clips(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left_semi").select(
         k.cast("string").alias("stem"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("spk"), (k % 40).cast("string")))
         .alias("speaker_id"), F.when(k % 2 == 0, "19-25").otherwise("26-40").alias("age_group"),
         F.when(k % 4 == 0, "").otherwise("f").alias("gender"), F.col("split").alias("split_origin"))
@@ -25,7 +25,7 @@ def speaker_map(spark, sf):
 
 _MAP = """m AS (SELECT doc_id::VARCHAR AS stem, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'spk' || (doc_id % 40) END AS speaker_id,
     CASE WHEN doc_id % 2 = 0 THEN '19-25' ELSE '26-40' END AS age_group, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'f' END AS gender,
-    split AS split_origin FROM clips WHERE doc_id % 3 <> 0)"""
+    split AS split_origin FROM clips WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
 @query("speaker_merge", f"""{with_views("clips", body="").rstrip()}, {_MAP}
@@ -69,12 +69,12 @@ def leaky(spark, sf):
     c = V.table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_custkey") % 11 == 0, "unknown").when(F.col("o_custkey") % 13 == 0, F.lit(None))
         .otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("speaker_id"),
-        (F.col("o_orderkey") % 10 < 3).alias("in_train"))
+        (F.col("o_orderstatus") == "F").alias("in_train"))
     return c.filter("in_train"), c.filter("not in_train")
 
 
 _LEAKY = """o AS (SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN 'unknown' WHEN o_custkey % 13 = 0 THEN NULL
-    ELSE 'c' || o_custkey END AS speaker_id, o_orderkey % 10 < 3 AS in_train FROM orders),
+    ELSE 'c' || o_custkey END AS speaker_id, o_orderstatus = 'F' AS in_train FROM orders),
     t AS (SELECT DISTINCT speaker_id FROM o WHERE in_train AND speaker_id <> 'unknown'),
     d AS (SELECT * FROM o WHERE NOT in_train)"""
 
@@ -124,18 +124,18 @@ def per_clip(spark, sf):
 
 
 @query("enrich_by_file_name", """SELECT p.page_id || '.flac' AS audio, p.page_id % 7 / 10.0::DOUBLE AS wer,
-    coalesce(d.source, '') AS dialect, coalesce(d.lang, '') AS language FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id AND d.doc_id % 2 = 0""")
+    coalesce(d.source, '') AS dialect, coalesce(d.lang, '') AS language FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id AND d.doc_id IN (SELECT doc_id FROM labels)""")
 def _(spark, sf):
-    side = V.clips(spark, sf).filter("doc_id % 2 = 0")
+    side = V.clips(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left_semi")
     return J.enrich_by_basename(per_clip(spark, sf), side, ["dialect", "language"], "doc_id")
 
 
 @query("reused_clip_list", """SELECT d.doc_id::BIGINT AS idx, d.doc_id || '.flac' AS audio, lang AS language FROM pages p
-    JOIN documents d ON d.doc_id = p.page_id WHERE d.doc_id % 2 = 0""")
+    JOIN documents d ON d.doc_id = p.page_id WHERE d.doc_id IN (SELECT doc_id FROM labels)""")
 def _(spark, sf):
     prev = V.table(spark, sf, "pages").select(
         F.col("page_id").alias("idx"), F.concat(F.col("page_id").cast("string"), F.lit(".flac")).alias("audio"))
-    side = V.clips(spark, sf).filter("doc_id % 2 = 0")
+    side = V.clips(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left_semi")
     return J.reuse_clip_list(prev, side, "doc_id").select("idx", "audio", "language")
 
 
@@ -213,12 +213,12 @@ def _(spark, sf):
     return J.union_all(d, e)
 
 
-@query("speakers_beyond_train", """SELECT source FROM documents WHERE doc_id % 10 >= 8 AND source NOT IN ('src1', 'src2')
-    EXCEPT SELECT source FROM documents WHERE doc_id % 10 < 8 AND doc_id % 20 > 10""")
+@query("returned_not_accepted_parts", """SELECT l_partkey AS speaker_id FROM lineitem WHERE l_returnflag = 'R'
+    EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", "source")
-    rest = d.filter("doc_id % 10 >= 8").filter(~F.col("source").isin("src1", "src2")).select("source")
-    return rest.subtract(d.filter("doc_id % 10 < 8 and doc_id % 20 > 10").select("source"))
+    """Set difference of two key sets of one table."""
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("speaker_id"), "l_returnflag")
+    return rows.filter("l_returnflag = 'R'").select("speaker_id").subtract(rows.filter("l_returnflag = 'A'").select("speaker_id"))
 
 
 # --- ingest ----------------------------------------------------------------------------

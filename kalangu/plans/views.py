@@ -72,7 +72,7 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as tagged words: language alternates between role and 'mixed'."""
-    c = table(spark, sf, "conversations").select(
+    c = spread(table(spark, sf, "conversations")).select(
         "conv_id", "turn", "role", F.posexplode(cut_words(X.words(F.col("text")))).alias("u", "w"))
 
     def tag(i: Column) -> Column:

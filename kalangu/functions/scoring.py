@@ -20,10 +20,14 @@ from kalangu.functions.binding import let
 COUNTS = ("hits", "substitutions", "deletions", "insertions")
 
 
+_ASCII = "".join(map(chr, range(33, 127)))
+
+
 def _symbol(index: Column) -> Column:
-    """One code point per index, skipping the surrogates; room for a million."""
+    """One character per index: ASCII first, then any code point but the surrogates."""
     cp = index + F.lit(19968) + F.when(index >= 35328, 2048).otherwise(0)
-    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    return F.when(index < len(_ASCII), F.substring(F.lit(_ASCII), index + 1, 1)).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
 
 
 def word_symbols(ref: Column, hyp: Column) -> Column:
@@ -46,8 +50,12 @@ def word_distance(ref: Column, hyp: Column) -> Column:
 
 def clip_wer(ref: Column, hyp: Column) -> Column:
     """Word errors over reference words; null when the reference is empty."""
-    return let(lambda r, h: F.when(F.size(r) > 0, word_distance(r, h) / F.size(r)),
-               X.words(ref), X.words(F.coalesce(hyp, F.lit(""))))
+    return let(words_wer, X.words(ref), X.words(F.coalesce(hyp, F.lit(""))))
+
+
+def words_wer(ref: Column, hyp: Column) -> Column:
+    """:func:`clip_wer` of two word arrays."""
+    return F.when(F.size(ref) > 0, word_distance(ref, hyp) / F.size(ref))
 
 
 def clip_cer(ref: Column, hyp: Column) -> Column:
@@ -193,10 +201,14 @@ def with_tag_errors(df: DataFrame, ref: str, hyp: str, out: str = "tags") -> Dat
 
 # --- verdicts ----------------------------------------------------------------
 
-def is_garbage(hyp: Column, ref: Column, foreign_share: float = 0.1) -> Column:
-    """Looks like a loop or another script. A blank hypothesis does not."""
+def is_garbage(hyp: Column, ref: Column, foreign_share: float = 0.1,
+               counts: tuple[Column, Column] | None = None) -> Column:
+    """Looks like a loop or another script. A blank hypothesis does not.
+
+    ``counts`` are the words of ref and hyp where they are known already.
+    """
     longer = let(lambda n_ref, n_hyp: n_hyp > F.greatest(n_ref * 3, n_ref + 10),
-                 X.word_count(ref), X.word_count(hyp))
+                 *(counts or (X.word_count(ref), X.word_count(hyp))))
     return (X.strip(hyp) != "") & (
         (X.non_latin_ratio(hyp) > foreign_share) | hyp.rlike(r"([a-z])\1{3}") | longer)
 
@@ -216,11 +228,12 @@ def verdict_wide(delta: Column, garbage_b: Column, band: float = 0.10) -> Column
 
 
 def verdict_narrow(wer_a: Column, wer_b: Column, hyp_b: Column, ref: Column,
-                   band: float = 0.05, foreign_share: float = 0.1) -> Column:
+                   band: float = 0.05, foreign_share: float = 0.1,
+                   counts: tuple[Column, Column] | None = None) -> Column:
     """Verdict with the narrow band; a broken hypothesis decides first."""
     delta = delta_wer(wer_a, wer_b)
     longer = let(lambda n_ref, n_hyp: n_hyp > F.greatest(n_ref * 2, n_ref + 5),
-                 X.word_count(ref), X.word_count(hyp_b))
+                 *(counts or (X.word_count(ref), X.word_count(hyp_b))))
     broken = ((X.non_latin_ratio(hyp_b) > foreign_share) | longer
               | hyp_b.rlike(r"([a-z ])\1{3}"))
     return (F.when(delta.isNull(), "UNKNOWN")

@@ -19,13 +19,17 @@ def score_pairs(pairs: DataFrame, variant: str = "narrow") -> DataFrame:
     the wide one, each as its report defines it.
     """
     a, b = (F.coalesce(F.col(c), F.lit("")) for c in ("hyp_a", "hyp_b"))
-    df = pairs.withColumns({"_a": M.clip_wer(F.col("ref"), a), "_b": M.clip_wer(F.col("ref"), b),
-                            "is_garbage": M.is_garbage(b, F.col("ref"))})
+    # every text is split into words once
+    df = pairs.withColumns({"_rw": X.words(F.col("ref")), "_aw": X.words(a), "_bw": X.words(b)})
+    counts = (F.size("_rw"), F.size("_bw"))
+    df = df.withColumns({
+        "_a": M.words_wer(F.col("_rw"), F.col("_aw")), "_b": M.words_wer(F.col("_rw"), F.col("_bw")),
+        "is_garbage": M.is_garbage(b, F.col("ref"), counts=counts)})
     df = df.withColumns({"wer_a": F.round("_a", 4), "wer_b": F.round("_b", 4),
                          "delta": F.round(M.delta_wer(F.col("_a"), F.col("_b")), 4)})
-    verdict = (M.verdict_narrow(F.col("_a"), F.col("_b"), b, F.col("ref")) if variant == "narrow"
+    verdict = (M.verdict_narrow(F.col("_a"), F.col("_b"), b, F.col("ref"), counts=counts) if variant == "narrow"
                else M.verdict_wide(F.col("delta"), F.col("is_garbage")))
-    return df.withColumn("verdict", verdict).drop("_a", "_b")
+    return df.withColumn("verdict", verdict).drop("_a", "_b", "_rw", "_aw", "_bw")
 
 
 def verdict_counts(scored: DataFrame) -> DataFrame:

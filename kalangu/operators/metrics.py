@@ -121,8 +121,10 @@ def code_switched_wer(pairs: DataFrame, ref: str = "ref_tagged", hyp: str = "hyp
 def per_clip_scores(clips: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Adds wer (4 places, null for an empty reference) and is_garbage."""
     h = F.coalesce(F.col(hyp), F.lit(""))
-    return clips.withColumns({"wer": F.round(M.clip_wer(F.col(ref), h), 4),
-                              "is_garbage": M.is_garbage(h, F.col(ref))})
+    split = clips.withColumns({"_rw": X.words(F.col(ref)), "_hw": X.words(h)})
+    return split.withColumns({
+        "wer": F.round(M.words_wer(F.col("_rw"), F.col("_hw")), 4),
+        "is_garbage": M.is_garbage(h, F.col(ref), counts=(F.size("_rw"), F.size("_hw")))}).drop("_rw", "_hw")
 
 
 def duration_tiers(duration: Column, min_duration: float = 0.0) -> Column:

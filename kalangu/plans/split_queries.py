@@ -213,11 +213,11 @@ def _(spark, sf):
     return J.union_all(d, e)
 
 
-@query("returned_not_accepted_parts", """SELECT l_partkey AS speaker_id FROM lineitem WHERE l_returnflag = 'R'
-    EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
+@query("returned_not_accepted_orders", """SELECT l_orderkey AS speaker_id FROM lineitem WHERE l_returnflag = 'R'
+    EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'""")
 def _(spark, sf):
     """Set difference of two key sets of one table."""
-    rows = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("speaker_id"), "l_returnflag")
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("speaker_id"), "l_returnflag")
     return rows.filter("l_returnflag = 'R'").select("speaker_id").subtract(rows.filter("l_returnflag = 'A'").select("speaker_id"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import pieces
+from kalangu.llm import pieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """SimHash fingerprint of every document and its near-duplicate group at four bits."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document by the merge agenda, and the digests of ids and decoded text."""

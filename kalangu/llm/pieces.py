@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _PUNCT = r"!-/:-@\[-`{-~"
 #: spans remembered per worker; the memory is emptied when it is full
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: spans up to this length are merged side by side, one row of a matrix each
 SHORT = 32
 _NEVER = np.float32(np.inf)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import pieces, simhash
+from kalangu.llm import pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Probability that each document is toxic, learned from labels that are not held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
 @query
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """SimHash fingerprint of every document and its near-duplicate group at four bits."""

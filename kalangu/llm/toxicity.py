@@ -11,7 +11,7 @@
 3. Each match gets a score from the words around it: inside quotation marks or
    beside words of reporting it counts less, beside words of address,
    exclamations or other matches it counts more.
-4. A logistic model over four sums of those scores gives the probability.
+4. A logistic model over six numbers made of those scores gives the probability.
 
 The lexicon and the model are fitted on a bounded number of labelled rows
 (``train_rows``); every text is scored whole.
@@ -41,7 +41,7 @@ REPORTING = frozenset("said says say wrote writes called calls quote quoted quot
 ADDRESS = frozenset("you your you're youre u ur yourself tu te vous toi du dich dir ihr usted ustedes eres".split())
 #: used where there are no labelled rows to learn from
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser")
-SEED_WEIGHTS = (-3.0, 1.5, 0.8, 0.5, 0.5)
+SEED_WEIGHTS = (-3.0, 1.5, 0.8, 0.5, 0.0, 0.5, 0.5)
 _DIGITS = str.maketrans("013457@$", "oleastas")
 
 
@@ -138,6 +138,8 @@ class Model:
     """What is fitted: terms, near words that are clean, and the weights of the logistic model."""
 
     terms: list[str] = field(default_factory=lambda: list(SEED_TERMS))
+    #: 0 to 1 per term: how rarely it stands in clean texts
+    trust: list[float] = field(default_factory=lambda: [1.0] * len(SEED_TERMS))
     clean: frozenset[str] = frozenset()
     weights: tuple[float, ...] = SEED_WEIGHTS
 
@@ -146,55 +148,53 @@ class Reader:
     """Finds the matches of a model in texts and sums their window scores."""
 
     def __init__(self, model: Model) -> None:
-        self.automaton, self.clean = Automaton(model.terms), model.clean
+        self.automaton, self.clean, self.trust = Automaton(model.terms), model.clean, model.trust
         self.memory: dict[str, int] = {}
 
     def code(self, token: str) -> int:
-        """0: no match, 1: a term itself, 2 and 3: with one or two errors."""
+        """0 without a match, else 1 + 3 * term + errors."""
         w = bare(token)
         found = self.automaton.match(w)
-        return 0 if found is None or found[1] and w in self.clean else found[1] + 1
+        return 0 if found is None or found[1] and w in self.clean else 1 + 3 * found[0] + found[1]
 
-    def sums(self, text: str) -> tuple[float, float, float, float, int]:
-        """Sums over exact and misspelt matches, the best window, the quoted sum, and the number of matches."""
-        memory, tokens = self.memory, text.split()
+    def features(self, text: str | None) -> tuple[list[float], int]:
+        """Exact, misspelt, best window, quoted, different terms and density, as logarithms; the number of matches."""
+        memory, tokens = self.memory, (text or "").split()
         codes = list(map(memory.get, tokens))
         if None in codes:
             if len(memory) > REMEMBERED:
                 memory.clear()
-            for t in {t for t, c in zip(tokens, codes) if c is None}:
-                memory[t] = self.code(t)
-            codes = [c if c is not None else memory[t] for t, c in zip(tokens, codes)]
-        if not any(codes):
-            return 0.0, 0.0, 0.0, 0.0, 0
-        hits = [i for i, c in enumerate(codes) if c]
+            fresh = {t: self.code(t) for t, c in zip(tokens, codes) if c is None}
+            memory.update(fresh)
+            codes = [fresh[t] if c is None else c for t, c in zip(tokens, codes)]
+        hits = [i for i, c in enumerate(codes) if c] if any(codes) else []
         exact = near = best = quoted = 0.0
+        different: dict[int, float] = {}
         for i in hits:
             lo, hi = max(0, i - WINDOW), i + WINDOW + 1
-            around = tokens[lo:i] + tokens[i + 1:hi]
-            words = {bare(t) for t in around}
+            term, errors = divmod(codes[i] - 1, 3)
+            words = {bare(t) for t in tokens[lo:i] + tokens[i + 1:hi]}
             before = sum(t.count(q) for t in tokens[lo:i] for q in QUOTES)
             own = tokens[i]
             in_quotes = before % 2 == 1 or own[0] in QUOTES or own.rstrip(".,;:!?")[-1:] in QUOTES
-            value = 1.0
+            value = self.trust[term]
             if in_quotes or words & REPORTING:
+                quoted += value
                 value *= 0.35
-                quoted += 1
             if words & ADDRESS:
                 value *= 1.5
             if own.endswith("!") or any(t.endswith("!") for t in tokens[i + 1:i + 3]):
                 value *= 1.2
-            others = sum(1 for j in range(lo, min(hi, len(codes))) if codes[j]) - 1
+            others = len({codes[j] for j in range(lo, min(hi, len(codes))) if codes[j]} - {codes[i]})
             best = max(best, value * (1 + 0.5 * others))
-            if codes[i] == 1:
-                exact += value
+            if errors:
+                value *= 0.7 if errors == 1 else 0.4
+                near += value
             else:
-                near += value * (0.7 if codes[i] == 2 else 0.4)
-        return exact, near, best, quoted, len(hits)
-
-    def features(self, text: str | None) -> tuple[list[float], int]:
-        exact, near, best, quoted, n = self.sums(text or "")
-        return [math.log1p(exact), math.log1p(near), math.log1p(best), math.log1p(quoted)], n
+                exact += value
+            different[term] = max(different.get(term, 0.0), value)
+        sums = (exact, near, best, quoted, sum(different.values()), 100 * (exact + near) / max(20, len(tokens)))
+        return [math.log1p(v) for v in sums], len(hits)
 
 
 def held_out(id: Column) -> Column:
@@ -254,10 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     base, share = t / n, F.col("t") / F.col("n")
     excess = F.col("n") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     found = (counts.filter((F.length("word") > 2) & (F.col("t") >= 3) & (share > max(0.5, 3 * base)) & (excess > math.log(words / 0.05)))
-             .orderBy(excess.desc(), "word").limit(max_terms).select("word").collect())
+             .orderBy(excess.desc(), "word").limit(max_terms).select("word", "t", "n").collect())
     terms = [r.word for r in found]
     if not terms:
-        return Model(weights=SEED_WEIGHTS)
+        return Model()
+    trust = [min(1.0, max(0.05, math.log((r.t + 0.5) / (r.n - r.t + 0.5)) / 4)) for r in found]
 
     @F.arrow_udf("boolean")
     def near(words: pa.Array) -> pa.Array:
@@ -266,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     # words of the bounded training texts near a term and at home in clean texts
     clean = frozenset(r.word for r in counts.filter((F.col("n") - F.col("t") >= 2) & near("word")).select("word").collect())
-    model = Model(terms, clean)
+    model = Model(terms, trust, clean)
     cells = (rows.withColumn("f", _features(model, "text")).groupBy("f.x", "toxic").count().collect())
     x, y, m = (np.array(v, float) for v in ([r.x for r in cells], [r.toxic for r in cells], [r["count"] for r in cells]))
     model.weights = _logistic(x, y, m)
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def _features(model: Model, text: str) -> Column:
-    """struct<x array<double>, n int>: the four features, rounded, and the number of matches."""
+    """struct<x array<double>, n int>: the six features, rounded, and the number of matches."""
     @F.arrow_udf("struct<x array<double>, n int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader(model)

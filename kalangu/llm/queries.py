@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import pieces, simhash, toxicity
+from kalangu.llm import pieces, privacy, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +35,16 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op7_privacy(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: pattern spans, and terms that give their entities away."""
+    found = privacy.find(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(privacy.KINDS[:4])],
+                        F.sha2(privacy.listed(base), 256).alias("base_sha256"), privacy.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document by the merge agenda, and the digests of ids and decoded text."""

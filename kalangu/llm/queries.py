@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import pieces, privacy, simhash, toxicity
+from kalangu.llm import mixing, pieces, privacy, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,37 @@ def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     coded = pieces.encode_and_decode(docs, packed=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the mix of sources holds each document, at most four passes over any source."""
+    return mixing.plan(table(spark, sf, "documents")).withColumn("weight", F.round("weight", 9))
+
+
+ORACLE["op10_mixing"] = r"""
+WITH RECURSIVE r AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+         md5('42:' || doc_id) AS h, substr(md5('42:' || doc_id), 1, 3) AS block FROM documents),
+b AS MATERIALIZED (SELECT source, block, sum(n_tokens)::BIGINT AS held FROM r GROUP BY ALL),
+s AS MATERIALIZED (SELECT source, sum(held)::BIGINT AS t FROM b GROUP BY ALL),
+m AS MATERIALIZED (SELECT max(t)::DOUBLE AS most, max(t)::DOUBLE / min(t)::DOUBLE AS spread FROM s WHERE t > 0),
+bisect(i, good, bad) AS (
+  SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(spread, 1 - (good + bad) / 2) <= 4 THEN (good + bad) / 2 ELSE good END,
+         CASE WHEN pow(spread, 1 - (good + bad) / 2) <= 4 THEN bad ELSE (good + bad) / 2 END
+  FROM bisect, m WHERE i < 50),
+a AS MATERIALIZED (SELECT CASE WHEN spread <= 4 THEN 0.0::DOUBLE ELSE good END AS a FROM bisect, m WHERE i = 50),
+goal AS MATERIALIZED (
+  SELECT source, t, pow(t::DOUBLE / most, a) / sum(pow(t::DOUBLE / most, a)) OVER () AS weight,
+         floor(t * pow(most / t, 1 - a) + 0.5)::BIGINT AS budget FROM s, m, a WHERE t > 0),
+cut AS MATERIALIZED (
+  SELECT b.*, coalesce(weight, 0) AS weight, coalesce(budget // t, 1) AS whole, coalesce(budget % t, 0)
+    - (sum(held) OVER (PARTITION BY source ORDER BY md5('42:' || coalesce(source, '') || '/' || block), block) - held) AS room
+  FROM b LEFT JOIN goal USING (source))
+SELECT doc_id, r.source, n_tokens, r.block, round(weight, 9) AS weight, (whole + CASE
+    WHEN room <= 0 THEN 0 WHEN room >= held THEN (held > 0)::INT
+    WHEN sum(n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY h RANGE UNBOUNDED PRECEDING) <= room THEN 1
+    ELSE 0 END)::INT AS copies
+FROM r JOIN cut ON r.source IS NOT DISTINCT FROM cut.source AND r.block = cut.block"""

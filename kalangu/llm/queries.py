@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, simhash, toxicity
+from kalangu.llm import mixing, pieces, privacy, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,13 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
 
 
+@query
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule statistics of every document and whether it is kept."""
+    rated = quality.rate(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 @query
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """SimHash fingerprint of every document and its near-duplicate group at four bits."""

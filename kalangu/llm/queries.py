@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, quality, simhash, toxicity
+from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,16 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document: pattern spans, and values that are costly to guess."""
+    found = secrets.find(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])],
+                        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_privacy(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every document: pattern spans, and terms that give their entities away."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, toxicity
+from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,13 @@ def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op5_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the 13-word windows that a smaller id has too."""
+    kept = substrings.deduplicate(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("deduplicated", 256).alias("kept_sha256"))
+
+
 @query
 def op7_privacy(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every document: pattern spans, and terms that give their entities away."""

@@ -116,10 +116,10 @@ def _windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
     for texts, numbers in batches:
         starts, hashes = [], []
         for text, some in zip(texts.to_pylist(), numbers.to_pylist()):
-            words = words_of(text)
+            words = words_of(text) if some else []
             n = len(words) - SPAN + 1
             wanted = np.zeros(max(0, n), bool)
-            places = _cover(len(words) - ANCHOR + 1)[np.array(some, "i8")]
+            places = _cover(len(words) - ANCHOR + 1)[np.array(some or [], "i8")]
             for t in range(PERIOD):
                 at = places - t
                 wanted[at[(at >= 0) & (at < n)]] = True
@@ -153,7 +153,9 @@ def covered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
               .filter(F.col("low") < F.col("high")).groupBy("id").agg(F.collect_list("k").alias("ks")))
     shared = through_table(shared, "anchors")
     windows = F.arrow_udf(_windows, ArrayType(StructType([StructField("at", IntegerType()), StructField("hash", LongType())])))
-    found = single.join(shared, "id").select("id", F.explode(windows("text", "ks")).alias("w")).select("id", "w.at", "w.hash")
+    # as deduplicate() joins: one exchange of the texts serves both
+    texts = docs.select(f"`{id}`", f"`{text}`").join(shared.withColumnRenamed("id", "__id"), F.col(f"`{id}`") == F.col("__id"), "left")
+    found = texts.select(F.col("__id").alias("id"), F.explode(windows(F.col(f"`{text}`"), "ks")).alias("w")).select("id", "w.at", "w.hash")
     gone = (found.withColumn("low", F.min("id").over(same)).filter(F.col("low") < F.col("id"))
             .groupBy("id").agg(F.collect_set("at").alias("starts")))
     return gone.select("id", "starts", F.lit(False).alias("whole")).union(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity
+from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +69,12 @@ def op7_privacy(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2(privacy.listed(base), 256).alias("base_sha256"), privacy.listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op8_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of every document and its edited text, and the likeness of both pairs."""
+    return versions.compare(table(spark, sf, "documents"))
+
+
 @query
 def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document by the merge agenda, and the digests of ids and decoded text."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity, versions
+from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity, versions, warc
+from kalangu.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +60,14 @@ def op5_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("deduplicated", 256).alias("kept_sha256"))
 
 
+@query
+def op6_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives and read back: size and digest of its payload, and what it revisits."""
+    path = fresh_path(spark, "archives")
+    warc.write(table(spark, sf, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 @query
 def op7_privacy(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every document: pattern spans, and terms that give their entities away."""
@@ -116,3 +125,24 @@ SELECT doc_id, r.source, n_tokens, r.block, round(weight, 9) AS weight, (whole +
     WHEN sum(n_tokens) OVER (PARTITION BY r.source, r.block ORDER BY h RANGE UNBOUNDED PRECEDING) <= room THEN 1
     ELSE 0 END)::INT AS copies
 FROM r JOIN cut ON r.source IS NOT DISTINCT FROM cut.source AND r.block = cut.block"""
+
+
+ORACLE["op5_substrings"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+  FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS low FROM p) WHERE low < doc_id),
+k AS MATERIALIZED (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+ORACLE["op6_archives"] = """
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(h, (k // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - k % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to, 'ok' AS status
+FROM (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+        min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)"""

@@ -42,7 +42,7 @@ ADDRESS = frozenset("you your you're youre u ur yourself tu te vous toi du dich
 #: used where there are no labelled rows to learn from
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser")
 SEED_WEIGHTS = (-3.0, 1.5, 0.8, 0.5, 0.0, 0.5, 0.5)
-_DIGITS = str.maketrans("013457@$", "oleastas")
+_DIGITS = str.maketrans("013457@$", "oieastas")
 
 
 def bare(token: str) -> str:

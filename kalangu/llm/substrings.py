@@ -9,19 +9,17 @@ anchors are hashed and compared over the corpus, three in seven positions.
 
 1. Texts whose words equal those of a smaller id go as a whole (if they have a
    window); the first of them stands for all.
-2. Anchors of the others meet by hash; those found in more than one document
-   stay.
+2. Anchors of the others meet by hash, each once per document; those found in
+   more than one document stay.
 3. They are extended: every window that holds such an anchor is hashed as a
    whole, meets by that hash, and goes if a smaller id has it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -100,66 +98,74 @@ def _whole(texts: pa.Array) -> pa.Array:
                                        pa.array(np.ascontiguousarray(halves[:, 1]).view("i8"), pa.int64())], ["n", "h1", "h2"])
 
 
+def _anchor_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashes of the anchors of a text that has a window, in order of position."""
+    found = runs(_word_hashes(words), ANCHOR) if len(words) >= SPAN else np.empty(0, "u8")
+    return (found[_cover(len(found))] >> np.uint64(64 - ANCHOR_BITS)).view("i8")
+
+
 @F.arrow_udf(ArrayType(LongType()))
 def _anchors(texts: pa.Array) -> pa.Array:
-    """Hashes of the anchors of each text that has a window, in order of position."""
+    """The different anchors of each text."""
+    return _lists([np.unique(_anchor_hashes(words_of(t))) for t in texts.to_pylist()], pa.int64())
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _windows(texts: pa.Array, anchors: pa.Array) -> pa.Array:
+    """The different windows of each text that hold one of the given anchors."""
     rows = []
-    for text in texts.to_pylist():
-        words = words_of(text)
-        found = runs(_word_hashes(words), ANCHOR) if len(words) >= SPAN else np.empty(0, "u8")
-        rows.append((found[_cover(len(found))] >> np.uint64(64 - ANCHOR_BITS)).view("i8"))
+    for text, some in zip(texts.to_pylist(), anchors.to_pylist()):
+        words = words_of(text) if some else []
+        n = len(words) - SPAN + 1
+        if n < 1:
+            rows.append(np.empty(0, "i8"))
+            continue
+        places = _cover(len(words) - ANCHOR + 1)
+        places = places[np.isin(_anchor_hashes(words), np.array(some, "i8"))]
+        wanted = np.zeros(n, bool)
+        for t in range(PERIOD):
+            at = places - t
+            wanted[at[(at >= 0) & (at < n)]] = True
+        rows.append(np.unique(runs(_word_hashes(words), SPAN)[wanted]).view("i8"))
     return _lists(rows, pa.int64())
 
 
-def _windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """(start, hash) of each window that holds one of the given anchors (numbers in the cover)."""
-    for texts, numbers in batches:
-        starts, hashes = [], []
-        for text, some in zip(texts.to_pylist(), numbers.to_pylist()):
-            words = words_of(text) if some else []
-            n = len(words) - SPAN + 1
-            wanted = np.zeros(max(0, n), bool)
-            places = _cover(len(words) - ANCHOR + 1)[np.array(some or [], "i8")]
-            for t in range(PERIOD):
-                at = places - t
-                wanted[at[(at >= 0) & (at < n)]] = True
-            at = np.flatnonzero(wanted)
-            starts.append(at.astype("i4"))
-            hashes.append(runs(_word_hashes(words), SPAN)[at].view("i8"))
-        start, value = _lists(starts, pa.int32()), _lists(hashes, pa.int64())
-        yield pa.ListArray.from_arrays(start.offsets, pa.StructArray.from_arrays([start.values, value.values], ["at", "hash"]))
-
-
-def _removed(n: int, starts: list[int] | None, whole: bool) -> np.ndarray:
-    gone = np.zeros(n, bool)
-    if whole:
-        gone[:] = True
-    for at in starts or ():
-        gone[at:at + SPAN] = True
+def _removed(words: list[bytes], hashes: list[int] | None, whole: bool) -> np.ndarray:
+    """Which words go: all, or those in a window of one of the given hashes."""
+    gone = np.full(len(words), whole)
+    if hashes and not whole:
+        for at in np.flatnonzero(np.isin(runs(_word_hashes(words), SPAN).view("i8"), np.array(hashes, "i8"))).tolist():
+            gone[at:at + SPAN] = True
     return gone
 
 
+def _met(rows: DataFrame, low: str = "low") -> DataFrame:
+    """(id, hash, low) of the rows whose hash more than one id has; ``low`` is the smallest of those.
+
+    Smallest and largest id are aggregated before and after the shuffle, and
+    the join back is a plain equi-join of rows with one row per hash, so a hash
+    that many documents share is split like any skewed join key.
+    """
+    ends = rows.groupBy("hash").agg(F.min("id").alias(low), F.max("id").alias("high")).filter(F.col(low) < F.col("high"))
+    return rows.join(ends.drop("high"), "hash")
+
+
 def covered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, starts, whole): documents that lose words, with the windows they lose, or all words."""
+    """(id, hashes, whole): documents that lose words, with the windows they lose, or all words."""
     rows = docs.filter(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     sizes = through_table(rows.select("id", _whole("text").alias("w")).select("id", "w.*").filter(F.col("n") >= SPAN), "sizes")
     first = sizes.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     copies = sizes.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id").distinct()
     copies = through_table(copies, "copies")
     single = rows.join(copies, "id", "left_anti")
-    anchors = single.select("id", F.posexplode(_anchors("text")).alias("k", "hash"))
-    same = Window.partitionBy("hash")
-    shared = (anchors.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same))
-              .filter(F.col("low") < F.col("high")).groupBy("id").agg(F.collect_list("k").alias("ks")))
-    shared = through_table(shared, "anchors")
-    windows = F.arrow_udf(_windows, ArrayType(StructType([StructField("at", IntegerType()), StructField("hash", LongType())])))
-    # as deduplicate() joins: one exchange of the texts serves both
-    texts = docs.select(f"`{id}`", f"`{text}`").join(shared.withColumnRenamed("id", "__id"), F.col(f"`{id}`") == F.col("__id"), "left")
-    found = texts.select(F.col("__id").alias("id"), F.explode(windows(F.col(f"`{text}`"), "ks")).alias("w")).select("id", "w.at", "w.hash")
-    gone = (found.withColumn("low", F.min("id").over(same)).filter(F.col("low") < F.col("id"))
-            .groupBy("id").agg(F.collect_set("at").alias("starts")))
-    return gone.select("id", "starts", F.lit(False).alias("whole")).union(
-        copies.select("id", F.lit(None).cast("array<int>"), F.lit(True)))
+    anchors = _met(single.select("id", F.explode(_anchors("text")).alias("hash")))
+    shared = through_table(anchors.groupBy(F.col("id").alias("__id")).agg(F.collect_list("hash").alias("anchors")), "anchors")
+    texts = docs.select(f"`{id}`", f"`{text}`").join(shared, F.col(f"`{id}`") == F.col("__id"), "left")
+    found = texts.select(F.col("__id").alias("id"), F.explode(_windows(F.col(f"`{text}`"), F.col("anchors"))).alias("hash"))
+    gone = (_met(through_table(found, "windows")).filter(F.col("low") < F.col("id"))
+            .groupBy("id").agg(F.collect_set("hash").alias("hashes")))
+    return gone.select("id", "hashes", F.lit(False).alias("whole")).union(
+        copies.select("id", F.lit(None).cast("array<bigint>"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str = "deduplicated") -> DataFrame:
@@ -171,14 +177,14 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: st
     lose nothing. Every row gives one row; other columns pass through, those
     named like an output are replaced; an empty table gives an empty result.
     """
-    gone = covered(docs, id, text).select(F.col("id").alias("__id"), F.col("starts").alias("__starts"), F.col("whole").alias("__whole"))
+    gone = covered(docs, id, text).select(F.col("id").alias("__id"), F.col("hashes").alias("__hashes"), F.col("whole").alias("__whole"))
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
-    def keep(texts: pa.Array, starts: pa.Array, whole: pa.Array) -> pa.Array:
+    def keep(texts: pa.Array, hashes: pa.Array, whole: pa.Array) -> pa.Array:
         sizes, removed, kept = [], [], []
-        for t, s, w in zip(texts.to_pylist(), starts.to_pylist(), whole.to_pylist()):
+        for t, h, w in zip(texts.to_pylist(), hashes.to_pylist(), whole.to_pylist()):
             words = words_of(t)
-            lost = _removed(len(words), s, bool(w))
+            lost = _removed(words, h, bool(w))
             sizes.append(len(words))
             removed.append(int(lost.sum()))
             kept.append((b" ".join(words[k] for k in np.flatnonzero(~lost)) if removed[-1] else b" ".join(words)).decode())
@@ -186,6 +192,6 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: st
                                           ["n_words", "n_removed", "kept"])
 
     joined = docs.join(gone, F.col(f"`{id}`") == F.col("__id"), "left")
-    return (joined.withColumn("__kept", keep(F.col(f"`{text}`"), "__starts", "__whole"))
+    return (joined.withColumn("__kept", keep(F.col(f"`{text}`"), "__hashes", "__whole"))
             .withColumns({"n_words": F.col("__kept.n_words"), "n_removed": F.col("__kept.n_removed"), out: F.col("__kept.kept")})
-            .drop("__id", "__starts", "__whole", "__kept"))
+            .drop("__id", "__hashes", "__whole", "__kept"))

@@ -155,7 +155,9 @@ def covered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     rows = docs.filter(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     sizes = through_table(rows.select("id", _whole("text").alias("w")).select("id", "w.*").filter(F.col("n") >= SPAN), "sizes")
     first = sizes.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    copies = sizes.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id").distinct()
+    copies = sizes.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("first")).select("id")
+    # rows that share an id may differ: they go by their windows
+    copies = copies.join(rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "id", "left_anti")
     copies = through_table(copies, "copies")
     single = rows.join(copies, "id", "left_anti")
     anchors = _met(single.select("id", F.explode(_anchors("text")).alias("hash")))

@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         return Model()
     base, share = t / n, F.col("t") / F.col("n")
     excess = F.col("n") * (share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
-    found = (counts.filter((F.length("word") > 2) & (F.col("t") >= 3) & (share > max(0.5, 3 * base)) & (excess > math.log(words / 0.05)))
+    found = (counts.filter((F.length("word") > 2) & (F.col("t") >= 3) & (share > max(0.5, 3 * base / (1 + 2 * base))) & (excess > math.log(words / 0.05)))
              .orderBy(excess.desc(), "word").limit(max_terms).select("word", "t", "n").collect())
     terms = [r.word for r in found]
     if not terms:

@@ -216,7 +216,9 @@ def fit(stats: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "q
              .groupBy(F.col(f"`{id}`").alias("lid")).agg(F.min(F.col(f"`{label}`").cast("int")).alias("good")))
     known = through_table(stats.join(marks, F.col("id") == F.col("lid")).filter(
         ~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("id", "good", *STATS), "labelled")
-    rows = known.orderBy(F.xxhash64("id"), "id", *STATS).limit(train_rows).select("good", *STATS).toPandas()
+    # through a table: collecting a sorted limit would send the first rows of every task to the driver
+    first = known.orderBy(F.xxhash64("id"), "id", *STATS).limit(train_rows).select("good", *STATS)
+    rows = through_table(first, "sample").toPandas()
     good = rows["good"].to_numpy() > 0
     if good.sum() < 2:
         return Model(None)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kalangu.session import through_table
+
 KINDS = ("assign", "access", "hex", "guess")
 WORDS = 20_000
 LEAST_BITS = 45.0
@@ -152,8 +154,10 @@ def word_ranks(docs: DataFrame, text: str = "text", words: int = WORDS) -> dict[
     """Ranks of the ``words`` most frequent ASCII words of all texts, ties by the word."""
     found = F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit("[a-z]{3,24}"), F.lit(0))
     top = (docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-           .orderBy(F.desc("n"), "w").limit(words).select("w").collect())
-    return {r.w: k for k, r in enumerate(top, 1)}
+           .orderBy(F.desc("n"), "w").limit(words))
+    # through a table: collecting a sorted limit would send the first rows of every task to the driver
+    rows = sorted(through_table(top, "ranks").collect(), key=lambda r: (-r.n, r.w))
+    return {r.w: k for k, r in enumerate(rows, 1)}
 
 
 def find(docs: DataFrame, text: str = "text", out: str = "spans", words: int = WORDS, least_bits: float = LEAST_BITS) -> DataFrame:

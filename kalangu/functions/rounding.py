@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 
 
 def two_places(x: Column, ties_up: bool = False) -> Column:
-    """Two decimals of a value from 0 to 2048.
+    """Two decimals of a value from 0 on.
 
     A value that is exactly halfway goes to the even digit, or up with
-    ``ties_up``.
+    ``ties_up``. From 2 ** 32 on doubles hold no third decimal to speak of, and
+    the formatter's own rounding stands.
     """
-    k = F.round(x * 1000).cast("long")
-    near_tie = (k % 10 == 5) & (F.abs(x * 1000 - k) < 1e-6)
+    known = F.when(x < float(1 << 32), x).otherwise(F.lit(0.0))
+    k = F.round(known * 1000).cast("long")
+    near_tie = (x < float(1 << 32)) & (k % 10 == 5) & (F.abs(known * 1000 - k) < F.greatest(F.lit(1e-6), known * 1e-12))
+
     # scaling by a power of two is exact, so both sides are whole numbers
-    power = F.when(x < 8, F.lit(1 << 60)).otherwise(F.lit(1 << 52)).cast("decimal(20,0)")
-    scaled = (x * F.when(x < 8, F.lit(float(1 << 60))).otherwise(F.lit(float(1 << 52)))).cast("long")
+    def by_size(of) -> Column:
+        return (F.when(x < 8, of(60)).when(x < 2048, of(52)).when(x < float(1 << 21), of(41)).otherwise(of(30)))
+
+    power = by_size(lambda e: F.lit(1 << e)).cast("decimal(20,0)")
+    scaled = (known * by_size(lambda e: F.lit(float(1 << e)))).cast("long")
     excess = F.signum((scaled.cast("decimal(20,0)") * F.lit(1000).cast("decimal(5,0)")
-                       - k.cast("decimal(8,0)") * power).cast("double"))
+                       - k.cast("decimal(14,0)") * power).cast("double"))
     down = F.floor(k / 10).cast("long")
     half = F.lit(True) if ties_up else down % 2 == 1
     cents = down + F.when((excess > 0) | ((excess == 0) & half), 1).otherwise(0)

@@ -245,3 +245,8 @@ def inventory(extras: dict[str, str] = C.ALPHABET_EXTRAS, bigrams=C.HAUSA_BIGRAM
     """Sorted non-ASCII letters and bigrams of the supported alphabets."""
     letters = {unicodedata.normalize("NFC", c) for s in extras.values() for c in s}
     return sorted(letters | set(bigrams))
+
+
+def plain_path(uri: Column) -> Column:
+    """A file's URI as its path: without a local scheme, percent-encoding undone."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))

@@ -170,12 +170,13 @@ def audio_pass(df: DataFrame, limits: AudioLimits = AudioLimits(), out: str = "p
 
 def transcript_pass(df: DataFrame, out: str = "pass3", ref: str = "transcript", hyp: str = "hypothesis",
                     detected: str = "detected_language", max_cer: float = 0.40, language: str = "en",
-                    flag_language: bool = True) -> DataFrame:
+                    flag_language: bool = True, shown_chars: int | None = None) -> DataFrame:
     """Pass 3: character error rate of a given hypothesis against the transcript.
 
     A null hypothesis is 'asr_error'. A clip in another language than expected
     is flagged as code-switched, not rejected; ``flag_language=False`` is the
-    batch form without that part.
+    batch form without that part. The hypothesis is scored and stored whole;
+    ``shown_chars`` cuts the stored one for display.
     """
     df = df.withColumns({"_r": X.normalize_transcript(F.col(ref), language),
                          "_h": X.normalize_transcript(F.col(hyp), language)})
@@ -189,8 +190,7 @@ def transcript_pass(df: DataFrame, out: str = "pass3", ref: str = "transcript",
     result = _result(
         reason == "pass", reason,
         cer=F.when(scored, F.round("_cer", 4)),
-        # the stored details show the start of a hypothesis; all of it is scored
-        hypothesis=F.substring(F.col(hyp), 1, 200),
+        hypothesis=F.col(hyp) if shown_chars is None else F.substring(F.col(hyp), 1, shown_chars),
         detected_language=F.when(scored, lang) if flag_language else F.lit(None).cast("string"),
         is_code_switched=(F.when((reason == "pass") & (lang != language), True)
                           if flag_language else F.lit(None).cast("boolean")),

@@ -232,10 +232,19 @@ def skipped_references(pairs: DataFrame, ref: str = "ref") -> DataFrame:
 
 
 def character_inventory(df: DataFrame, text: str = "text", known: list[str] | None = None) -> DataFrame:
-    """Counts of non-ASCII letters, each flagged in or out of the inventory."""
+    """Counts of non-ASCII letters and of the inventory's bigrams, each flagged in or out of the inventory.
+
+    Bigrams are looked for in lower case and may overlap.
+    """
     known = X.inventory() if known is None else known
+    pairs = sorted({k for k in known if len(k) == 2})
     letters = df.select(F.explode(F.split(F.regexp_replace(
         X.nfc(F.col(text)), r"[\x{0}-\x{7F}]|[^\p{L}]", ""), "")).alias("char")).filter("char <> ''")
+    if pairs:
+        # the pattern looks ahead for the second letter, so a letter may belong to two bigrams
+        low = F.lower(X.nfc(F.col(text)))
+        found = [F.array_repeat(F.lit(p), F.regexp_count(low, F.lit(f"{p[0]}(?={p[1]})"))) for p in pairs]
+        letters = letters.union(df.select(F.explode(F.flatten(F.array(*found))).alias("char")))
     return letters.groupBy("char").agg(F.count("*").alias("n")).withColumn(
         "in_inventory", F.col("char").isin(*known))
 

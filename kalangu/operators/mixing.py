@@ -15,7 +15,9 @@ def sampling_weights(counts: DataFrame, temperature: float = 0.3, group: str = "
     """weight = n^t / sum(n^t) per group; an empty input fails the query."""
     if not 0.0 < temperature <= 1.0:
         raise ValueError(f"temperature must be in (0, 1], got {temperature}")
-    total = counts.agg(F.sum(F.pow(F.col(n).cast("double"), F.lit(temperature))).alias("t")).scalar()
+    # a scalar subquery runs whether or not there are rows to put it in
+    total = counts.agg(F.when(F.count("*") > 0, F.sum(F.pow(F.col(n).cast("double"), F.lit(temperature)))).otherwise(
+        F.raise_error(F.lit("counts must be non-empty")).cast("double")).alias("t")).scalar()
     return counts.withColumn("weight", F.pow(F.col(n).cast("double"), F.lit(temperature)) / total)
 
 

@@ -92,11 +92,17 @@ def loss_series(events: DataFrame, order: list[str] = ("ts", "pos"), keys: list[
 
 
 def compare_runs(summaries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Two run summaries side by side for every (run_a, run_b) of ``pairs``."""
+    """Two run summaries side by side for every (stage_a, run_a, stage_b, run_b) of ``pairs``.
+
+    Summaries are per stage and run, so a run id alone does not name one.
+    """
     cols = ["status", "step", "train_loss", "val_loss", "wer"]
-    a = summaries.select(F.col("run_id").alias("run_a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = summaries.select(F.col("run_id").alias("run_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return pairs.join(a, "run_a").join(b, "run_b")
+
+    def side(x: str) -> DataFrame:
+        return summaries.select(F.col("stage_name").alias(f"stage_{x}"), F.col("run_id").alias(f"run_{x}"),
+                                *[F.col(c).alias(f"{c}_{x}") for c in cols])
+
+    return pairs.join(side("a"), ["stage_a", "run_a"]).join(side("b"), ["stage_b", "run_b"])
 
 
 def last_events(events: DataFrame, keys: list[str], n: int = 500, order: list[str] = ("ts", "pos")) -> DataFrame:

@@ -57,7 +57,7 @@ def _(spark, sf):
 @query("split_by_language", with_views("clips", body="SELECT language, count(*) AS n, round(sum(duration), 4) AS secs FROM clips GROUP BY ALL"))
 def _(spark, sf):
     path = fresh_path(spark, "by_language")
-    MF.write_by_language(manifest(spark, sf), path, parts=4)
+    MF.write_by_language(manifest(spark, sf), path)
     out = spark.read.parquet(path)
     return out.groupBy("language").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("secs"))
 
@@ -261,5 +261,5 @@ def _(spark, sf):
 
     rows = V.clips(spark, sf)
     for _ in range(2):  # the second time the stored result is read
-        out = sinks.stage(rows, F.col("audio_path"), path, compute)
+        out = sinks.stage(rows, path, compute)
     return out.groupBy(F.col("pass1.reason").alias("reason")).agg(F.count("*").alias("n")).withColumn("runs", F.lit(len(runs)))

@@ -48,14 +48,16 @@ def _(spark, sf):
     return E.loss_series(V.run_events(spark, sf))
 
 
-@query("run_comparison", with_views("runs", body="""SELECT a.run_id AS run_a, b.run_id AS run_b, a.step AS step_a, b.step AS step_b,
+@query("run_comparison", with_views("runs", body="""SELECT a.stage_name AS stage_a, a.run_id AS run_a, b.stage_name AS stage_b, b.run_id AS run_b, a.step AS step_a, b.step AS step_b,
     a.val_loss AS val_loss_a, b.val_loss AS val_loss_b, a.status AS status_a, b.status AS status_b FROM runs a JOIN runs b
     ON substr(b.run_id, 5)::INT = substr(a.run_id, 5)::INT + 1"""))
 def _(spark, sf):
     s = summaries(spark, sf)
     n = F.substring("run_id", 5, 12).cast("int")
-    pairs = s.select(F.col("run_id").alias("run_a"), F.concat(F.lit("run_"), (n + 1).cast("string")).alias("run_b"))
-    return E.compare_runs(s, pairs).select("run_a", "run_b", *[f"{c}_{x}" for c in ("step", "val_loss", "status") for x in "ab"])
+    pairs = s.select(
+        F.col("stage_name").alias("stage_a"), F.col("run_id").alias("run_a"),
+        F.concat(F.lit("stage"), ((n + 1) % 4).cast("string")).alias("stage_b"), F.concat(F.lit("run_"), (n + 1).cast("string")).alias("run_b"))
+    return E.compare_runs(s, pairs).select("stage_a", "run_a", "stage_b", "run_b", *[f"{c}_{x}" for c in ("step", "val_loss", "status") for x in "ab"])
 
 
 @query("best_checkpoints", with_views("evals", body="""SELECT run_id, checkpoint, coalesce(metric < prev OR (metric IS NOT NULL AND prev IS NULL), FALSE) AS is_best FROM

@@ -25,7 +25,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Lenient scan: malformed and blank lines are skipped, a missing path is empty.
 
     ``pos`` orders the lines of a file (byte block, then position in it), for
-    folds that follow file order among equal timestamps.
+    folds that follow file order among equal timestamps. Its leading bits come
+    from the name of the file, so the parts of one folder share no value.
     """
     try:
         lines = spark.read.text(path)
@@ -37,21 +38,29 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(lines)
 
 
+def file_stem() -> Column:
+    """Name without extension of the file a row comes from; of a folder x.jsonl, as Spark writes it, the folder's."""
+    named = F.regexp_extract(X.plain_path(F.col("_metadata.file_path")), r"/([^/]+)\.jsonl(/|$)", 1)
+    return F.when(named != "", named).otherwise(F.regexp_replace(X.plain_path(F.col("_metadata.file_name")), r"\.[^.]+$", ""))
+
+
+def stage_of(file: Column) -> Column:
+    return F.regexp_replace(file, "_events", "")
+
+
 def _parsed(lines: DataFrame) -> DataFrame:
-    # a Spark-written x_events.jsonl is a folder: its name counts, not the part's
-    named = F.regexp_extract("_metadata.file_path", r"/([^/]+)\.jsonl(/|$)", 1)
-    stem = F.when(named != "", named).otherwise(F.regexp_replace("_metadata.file_name", r"\.[^.]+$", ""))
-    rows = lines.select(
-        "value", stem.alias("file"),
-        (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % (1 << 33))
-        .alias("pos"))
+    # bits from the left: 22 of the file, 16 of the block in megabytes, 25 of the line in its task
+    of_file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 22)) * F.lit(1 << 41)
+    of_block = F.pmod(F.floor(F.col("_metadata.file_block_start") / (1 << 20)), F.lit(1 << 16)) * F.lit(1 << 25)
+    rows = lines.select("value", file_stem().alias("file"), (
+        of_file + of_block + F.monotonically_increasing_id() % (1 << 25)).cast("long").alias("pos"))
     rows = rows.filter(X.strip(F.col("value")) != "")
     parsed = rows.withColumn("e", F.from_json("value", S.EVENT, {"mode": "PERMISSIVE"}))
     good = parsed.filter(F.json_object_keys("value").isNotNull())
     return good.select(
         *[F.coalesce(F.col("e.run_id"), F.col("file")).alias("run_id") if f == "run_id" else F.col(f"e.{f}").alias(f)
           for f in S.EVENT.names],
-        "pos", "file", F.regexp_replace("file", "_events", "").alias("stage_name"))
+        "pos", "file", stage_of(F.col("file")).alias("stage_name"))
 
 
 def read_all_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -49,8 +49,9 @@ def read_manifest(spark: SparkSession, path: str, extended: bool = False) -> Dat
 
 
 def iter_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Lenient scan: typed columns with null for whatever is absent."""
-    return spark.read.schema(S.MANIFEST_EXTENDED).json(path)
+    """Lenient scan: columns may be absent or unknown, defaults are filled in; a line that is not JSON fails the query."""
+    rows = spark.read.schema(S.MANIFEST_EXTENDED).option("mode", "FAILFAST").json(path)
+    return rows.withColumn("_row", F.struct("*")).select(*_defaults("_row", S.MANIFEST_EXTENDED))
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "json") -> None:
@@ -63,15 +64,13 @@ def write_manifest(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
     df.write.mode(mode).format(fmt).save(path)
 
 
-def write_by_language(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
-                      parts: int = 64) -> None:
+def write_by_language(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> None:
     """Split a manifest into one folder per language.
 
-    Rows are spread over ``parts`` tasks per language, so that one dominant
-    language is not written by a single task.
+    Rows are rebalanced on the language: Spark splits what a dominant language
+    holds into tasks of the advisory size and puts small languages together.
     """
-    spread = df.repartition(F.col("language"), F.pmod(F.xxhash64("audio_path"), F.lit(parts)))
-    spread.write.partitionBy("language").mode(mode).format(fmt).save(path)
+    df.hint("rebalance", "language").write.partitionBy("language").mode(mode).format(fmt).save(path)
 
 
 def split_by_language(df: DataFrame, languages: list[str]) -> dict[str, DataFrame]:

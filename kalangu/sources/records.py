@@ -34,24 +34,27 @@ def cache_entries(raw: DataFrame) -> DataFrame:
                       field("detected_language"), "_order").filter(F.coalesce("audio_path", F.lit("")) != "")
 
 
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_SPEAKER_ENTRY = rf'{_STRING}\s*+:\s*+\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+
+
 def read_speaker_map(spark: SparkSession, path: str) -> DataFrame:
     """Speaker map keyed by file stem, from one or more JSON objects.
 
-    The object is split at entry ends, so a large file is read by many tasks.
-    An entry that cannot be parsed fails the query. Entries of one stem: the
-    last in file order counts.
+    Entries are found by a pattern that knows strings, so braces in a value do
+    no harm. A file is read by one task; a large map comes as many files. What
+    is no entry fails the query. Entries of one stem: the last in file order
+    counts.
     """
-    parts = spark.read.option("lineSep", "}").text(path).select(
-        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"))
-    # "{"a": {...", ",\n "b": {...", ..., "\n" and the closing rest
-    body = F.regexp_replace("value", r"^[\s,{]+", "")
-    entries = parts.withColumn("body", body).filter(F.col("body") != "")
-    as_map = F.from_json(F.concat(F.lit("{"), F.col("body"), F.lit("}}")), f"map<string,{S.SPEAKER_ENTRY.simpleString()}>")
-    checked = F.coalesce(as_map, F.raise_error(F.concat(F.lit("bad speaker entry: "), F.col("value"))).cast(
-        f"map<string,{S.SPEAKER_ENTRY.simpleString()}>"))
-    rows = entries.select("f", "b", "i", F.explode(checked).alias("name", "e"))
-    rows = rows.select(X.stem(F.col("name")).alias("stem"), "e.*", F.struct("f", "b", "i").alias("_order"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
+    rest = F.trim(F.regexp_replace(F.regexp_replace("value", _SPEAKER_ENTRY, ""), r"[\s,{}]+", " "))
+    text = F.when(rest == "", F.col("value")).otherwise(F.raise_error(F.concat(F.lit("bad speaker entry: "), rest)).cast("string"))
+    found = files.select("f", F.posexplode(F.regexp_extract_all(text, F.lit(_SPEAKER_ENTRY), F.lit(0))).alias("i", "entry"))
+    kind = f"map<string,{S.SPEAKER_ENTRY.simpleString()}>"
+    as_map = F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}")), kind)
+    checked = F.coalesce(as_map, F.raise_error(F.concat(F.lit("bad speaker entry: "), F.col("entry"))).cast(kind))
+    rows = found.select("f", "i", F.explode(checked).alias("name", "e"))
+    rows = rows.select(X.stem(F.col("name")).alias("stem"), "e.*", F.struct("f", "i").alias("_order"))
     return keep_last(rows, ["stem"], "_order").drop("_order")
 
 
@@ -122,16 +125,16 @@ def lab_labels(lines: DataFrame, source: str = "iemocap", labels: dict[str, str]
 def read_lab_labels(spark: SparkSession, root: str, audio: DataFrame | None = None) -> DataFrame:
     """Labels of all ``*.lab`` files below ``root`` whose audio file exists."""
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.lab").text(root)
-             .select("value", F.regexp_replace("_metadata.file_path", r"/[^/]+/[^/]+$", "").alias("folder")))
+             .select("value", F.regexp_replace(X.plain_path(F.col("_metadata.file_path")), r"/[^/]+/[^/]+$", "").alias("folder")))
     if audio is None:
         audio = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
                  .option("pathGlobFilter", "*.wav").load(root)
                  .select(_plain("path").alias("audio_path")))
-    return lab_labels(lines.withColumn("folder", _plain("folder"))).join(audio, "audio_path", "left_semi")
+    return lab_labels(lines).join(audio, "audio_path", "left_semi")
 
 
 def _plain(column: str) -> Column:
-    """File URI without its local scheme."""
+    """Path of a binaryFile row, which is not percent-encoded, without its local scheme."""
     return F.regexp_replace(column, r"^file:/+", "/")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalangu import constants as C
@@ -38,23 +39,27 @@ def append_feedback(df: DataFrame, path: str) -> None:
     checked_feedback(df).write.mode("append").partitionBy("task").json(path)
 
 
-def fingerprint(df: DataFrame, key: Column) -> str:
-    """Number of rows and sum of key hashes: equal counts of other rows differ."""
-    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(
-        F.xxhash64(key).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{r['n']}-{abs(int(r['s']))}{'m' if r['s'] < 0 else ''}"
+def fingerprint(df: DataFrame, params: object = None) -> str:
+    """Number of rows, sum of the hashes of whole rows, and a hash of the parameters."""
+    whole = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(f"`{c}`")
+                         for c, kind in df.dtypes])
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(whole.cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    with_params = hashlib.sha256(repr(params).encode()).hexdigest()[:12]
+    return f"{r['n']}-{abs(int(r['s']))}{'m' if r['s'] < 0 else ''}-{with_params}"
 
 
-def stage(df: DataFrame, key: Column, path: str, compute: Callable[[DataFrame], DataFrame],
+def stage(df: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], params: object = None,
           dry_run: bool = False) -> DataFrame:
-    """Result of ``compute(df)``, reused when stored for the same input.
+    """Result of ``compute(df)``, reused when stored for the same rows and parameters.
 
-    Stored as Parquet under a fingerprint of the input, so it outlives the
-    session and the loss of executors. ``dry_run`` never writes.
+    Stored as Parquet under a fingerprint of all columns of the input and of
+    ``params`` (whatever else the result depends on: limits, seeds, versions),
+    so it outlives the session and the loss of executors. ``dry_run`` never
+    writes.
     """
     spark = df.sparkSession
-    where = f"{path.rstrip('/')}/{fingerprint(df, key)}"
-    if not _written(spark, f"{where}-done"):
+    where = f"{path.rstrip('/')}/{fingerprint(df, params)}"
+    if not written(spark, f"{where}-done"):
         if dry_run:
             return compute(df)
         compute(df).write.mode("overwrite").parquet(where)
@@ -62,7 +67,7 @@ def stage(df: DataFrame, key: Column, path: str, compute: Callable[[DataFrame],
     return spark.read.parquet(where)
 
 
-def _written(spark: SparkSession, path: str) -> bool:
+def written(spark: SparkSession, path: str) -> bool:
     """Whether a table is there. The marker of a stage is written after the stage itself."""
     try:
         spark.read.parquet(path)

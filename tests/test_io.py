@@ -108,11 +108,54 @@ def test_speaker_map_of_one_indented_object(spark, tmp_path):
     (tmp_path / "map.json").write_text(json.dumps(body, indent=2))
     got = {r.stem: r.speaker_id for r in records.read_speaker_map(spark, str(tmp_path / "map.json")).collect()}
     assert got == {"one": "last", "two": ""}
+    (tmp_path / "brace.json").write_text(json.dumps({"a}b.wav": {**entry, "speaker_id": "x}y\\"}, "c.wav": entry}))
+    got = {r.stem: r.speaker_id for r in records.read_speaker_map(spark, str(tmp_path / "brace.json")).collect()}
+    assert got == {"a}b": "x}y\\", "c": "s"}
     (tmp_path / "bad.json").write_text('{"a": {"speaker_id": }}')
     with pytest.raises(Exception, match="bad speaker entry"):
         records.read_speaker_map(spark, str(tmp_path / "bad.json")).collect()
 
 
+def test_paths_with_blanks_and_diacritics(spark, tmp_path):
+    root = tmp_path / "my corpus" / "ẹ+x%20"
+    for sub in ("labels", "sentences/wav"):
+        (root / sub).mkdir(parents=True)
+    lines(root / "labels/x.lab", "u1 0.5 exc extra")
+    (root / "sentences/wav/u1.wav").write_bytes(b"x")
+    (root / "03-01-05-01.wav").write_bytes(b"x")
+    assert [r.audio_path for r in records.read_lab_labels(spark, str(root)).collect()] == [str(root / "sentences/wav/u1.wav")]
+    assert [r.label for r in records.read_stem_labels(spark, str(root)).collect()] == ["angry"]
+    events = tmp_path / "my corpus" / "stage ẹ_events.jsonl"
+    events.mkdir()
+    for part in range(4):  # parts of one folder, equal times
+        lines(events / f"part-{part}.json", *[{"ts": 1.0, "type": "step", "step": 10 * part + k} for k in range(5)])
+    rows = EV.read_all_events(spark, str(tmp_path / "my corpus")).collect()
+    assert {(r.stage_name, r.run_id) for r in rows} == {("stage ẹ", "stage ẹ_events")}
+    assert len({r.pos for r in rows}) == len(rows) == 20
+
+
+def test_lenient_scan_raises_on_a_bad_line_and_fills_defaults(spark, tmp_path):
+    lines(tmp_path / "m.jsonl", {"audio_path": "a", "duration": 1.0, "text": "t", "language": "en"})
+    row = MF.iter_manifest(spark, str(tmp_path / "m.jsonl")).first()
+    assert (row.sample_rate, row.is_code_switched, row.cs_spans, row.dialect, row.corpus) == (16000, False, [], "", "")
+    lines(tmp_path / "bad.jsonl", "{not json")
+    with pytest.raises(Exception):
+        MF.iter_manifest(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_stage_depends_on_all_columns_and_parameters(spark, tmp_path):
+    made = []
+
+    def compute(df):
+        made.append(1)
+        return df
+
+    rows = spark.createDataFrame([("k", "text", {"a": 1})], "key string, text string, m map<string,int>")
+    for df, params in ((rows, 1), (rows, 1), (rows.withColumn("text", F.lit("other")), 1), (rows, 2), (rows, 2)):
+        sinks.stage(df, str(tmp_path / "st"), compute, params).collect()
+    assert len(made) == 3
+
+
 def test_filter_cache_last_file_wins(spark, tmp_path):
     for split, row in (("dev", {"audio_path": "a", "cer": 0.1}), ("test", {"keep": True, "details": {"audio_path": "a", "cer": 0.2}})):
         (tmp_path / split).mkdir()
@@ -160,9 +203,9 @@ def test_stage_is_reused_only_for_the_same_input(spark):
         runs.append(1)
         return df.withColumn("y", F.col("id") * 2)
 
-    same = [sinks.stage(spark.range(5), F.col("id"), path, compute, dry_run=dry).count() for dry in (True, False, False, True)]
+    same = [sinks.stage(spark.range(5), path, compute, dry_run=dry).count() for dry in (True, False, False, True)]
     assert same == [5] * 4 and len(runs) == 2
-    assert sinks.stage(spark.range(1, 6), F.col("id"), path, compute).agg(F.sum("y")).first()[0] == 30
+    assert sinks.stage(spark.range(1, 6), path, compute).agg(F.sum("y")).first()[0] == 30
     assert len(runs) == 3
 
 

@@ -147,6 +147,19 @@ def test_transcript_pass(spark):
     assert [r.pass3.details.is_code_switched for r in out] == [None, None, None, None, True]
 
 
+def test_two_places_of_large_values(one):
+    values = [2048.125, 2049.125, 2049.135, 16384.375, 99999.995, 1e6 + 0.125, 3e7 + 0.625, 5e9 + 0.5]
+    assert one("x double", [(v,) for v in values], two_places(F.col("x"))) == [f"{v:.2f}" for v in values]
+
+
+def test_a_looping_hypothesis_does_not_fail_the_pass(spark):
+    from kalangu.operators.filters import transcript_pass
+
+    df = spark.createDataFrame([("k", "abcdefgh", "x" * 16401, "en")], "key string, transcript string, hypothesis string, detected_language string")
+    r = transcript_pass(df).first().pass3
+    assert r.reason == "transcript_mismatch_cer_2050.12" and len(r.details.hypothesis) == 16401
+
+
 def test_full_curation_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.audio_path: r.pass3 for r in curated(spark, sf).select("audio_path", "pass3").collect() if r.pass3 is not None}

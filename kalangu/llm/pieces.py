@@ -15,7 +15,7 @@ alone), and every ``check_every``-th whole text. A difference raises.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _PUNCT = r"!-/:-@\[-`{-~"
 #: spans remembered per worker; the memory is emptied when it is full
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: spans up to this length are merged side by side, one row of a matrix each
 SHORT = 32
 _NEVER = np.float32(np.inf)
@@ -224,10 +224,14 @@ class Pieces:
                 self.library.decode([np.frombuffer(r, "<u4").tolist() for r in some], num_threads=1)]
 
 
-def _parts(items: list, size: int) -> Iterator[list]:
-    """Consecutive parts of about ``size`` characters or bytes, at least one item each."""
+KIND = {p: pa.struct([("ids", pa.binary() if p else pa.list_(pa.int32())), ("decoded", pa.string())]) for p in (False, True)}
+
+
+def _parts(items: Iterable, size: int) -> Iterator[list]:
+    """Consecutive parts of about ``size`` characters or bytes, at least one item each; Arrow values are unpacked."""
     part, held = [], 0
     for item in items:
+        item = item.as_py() if isinstance(item, pa.Scalar) else item
         part.append(item)
         held += len(item)
         if held >= size:
@@ -259,11 +263,14 @@ def encode_and_decode(df: DataFrame, text: str = "text", model: str | None = Non
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _loaded(path)
         for texts in batches:
-            rows = pieces.encode(texts.to_pylist(), check_every)
-            coded = pa.array(rows, pa.binary()) if packed else pa.ListArray.from_arrays(
-                np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4"),
-                pa.array(np.frombuffer(b"".join(rows), "<u4").astype("i4")))
-            yield pa.StructArray.from_arrays([coded, pa.array(pieces.decode(rows), pa.string())], ["ids", "decoded"])
+            done = []
+            for some in _parts(texts, 1 << 22):
+                rows = pieces.encode(some, check_every)
+                coded = pa.array(rows, pa.binary()) if packed else pa.ListArray.from_arrays(
+                    np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4"),
+                    pa.array(np.frombuffer(b"".join(rows), "<u4").astype("i4")))
+                done.append(pa.StructArray.from_arrays([coded, pa.array(pieces.decode(rows), pa.string())], ["ids", "decoded"]))
+            yield pa.concat_arrays(done) if done else pa.nulls(0, KIND[packed])
 
     coded = run(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     return df.withColumn("__coded", coded).withColumns(

@@ -30,7 +30,7 @@ PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = SPAN - PERIOD + 1
 #: words whose hashes a worker remembers; the memory is emptied when it is full
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: anchors need to be found, not told apart for good: fewer bits to move
 ANCHOR_BITS = 48
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -34,7 +34,7 @@ TRAIN_ROWS = 16_000
 MAX_TERMS = 5_000
 WINDOW = 6
 #: words remembered per worker; the memory is emptied when it is full
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿…“”„‘’‚«»‹›–—"
 QUOTES = "\"“”„«»"
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes quoting word words term terms phrase".split())
@@ -65,7 +65,7 @@ def errors_allowed(term: str) -> int:
 class Automaton:
     """The Levenshtein automata of all terms, intersected with their trie, determinised on the way."""
 
-    def __init__(self, terms: list[str], most_states: int = 100_000) -> None:
+    def __init__(self, terms: list[str], most_states: int = 20_000) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, tuple[int, int]] = {}
         reach = [0]

@@ -138,26 +138,43 @@ QUALITY_SQL = _quality("wave")
     q AS ({QUALITY_SQL}),
     j AS (SELECT c.audio_path, c.reason AS r1, CASE WHEN c.reason <> 'pass' THEN NULL WHEN c.doc_id % 97 = 0
       THEN 'preprocess_failed' ELSE 'pass' END AS r0, q.reason AS rq FROM capped c LEFT JOIN q ON q.vec_id = c.doc_id)
-    SELECT audio_path, r1 AS pass1, r0 AS preprocess, CASE WHEN r0 = 'pass' THEN rq END AS pass2 FROM j""")
+    SELECT audio_path, r1 AS pass1, r0 AS preprocess, CASE WHEN r0 = 'pass' THEN coalesce(rq, 'corrupt_audio') END AS pass2 FROM j""")
 def _(spark, sf):
     return curated(spark, sf, "audio").select("audio_path", *[
         F.col(p)["reason"].alias(p) for p in ("pass1", "preprocess", "pass2")])
 
 
-@query("full_curation")
+_NORM = r"""trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}_\s''\-]', ' ', 'g'),
+    '\s+', ' ', 'g'))"""
+
+# A hypothesis without its vowels is a subsequence of its reference, so their distance is the difference in length.
+FULL = f"""{with_views("clips", "wave", body="").rstrip()}, {P1}{CAPPED},
+    q AS ({QUALITY_SQL}),
+    j AS (SELECT c.audio_path, c.doc_id, c.reason AS r1, CASE WHEN c.reason <> 'pass' THEN NULL WHEN c.doc_id % 97 = 0
+      THEN 'preprocess_failed' ELSE 'pass' END AS r0, q.reason AS rq FROM capped c LEFT JOIN q ON q.vec_id = c.doc_id),
+    k AS (SELECT j.*, CASE WHEN r0 = 'pass' THEN coalesce(rq, 'corrupt_audio') END AS r2, length(n) AS len, length(n) - length(h) AS lost
+      FROM j JOIN (SELECT audio_path, {_NORM.format('text')} AS n, {_NORM.format("translate(text, 'aeiou', '')")} AS h FROM clips) USING (audio_path)),
+    f AS (SELECT audio_path, r1 AS pass1, r0 AS preprocess, r2 AS pass2, CASE WHEN r2 <> 'pass' OR r2 IS NULL THEN NULL
+      WHEN doc_id % 11 = 0 THEN 'asr_error' WHEN doc_id % 5 <> 0 OR len = 0 OR lost::DOUBLE / len <= 0.4::DOUBLE THEN 'pass'
+      ELSE 'transcript_mismatch_cer_' || format('{{:.2f}}', lost::DOUBLE / len) END AS pass3 FROM k)"""
+
+
+@query("full_curation", FULL + " SELECT * FROM f")
 def _(spark, sf):
-    """Not in SQL: the error rate of whole texts is too slow there."""
     return curated(spark, sf).select("audio_path", *[
         F.col(p)["reason"].alias(p) for p in ("pass1", "preprocess", "pass2", "pass3")])
 
 
-@query("full_curation_totals")
+@query("full_curation_totals", FULL + """, t AS (
+    SELECT 'pass1' AS pass, count(pass1) AS total, count(*) FILTER (WHERE pass1 = 'pass') AS kept, 30 AS fail, 2 AS warn FROM f
+    UNION ALL SELECT 'preprocess', count(preprocess), count(*) FILTER (WHERE preprocess = 'pass'), 2, NULL FROM f
+    UNION ALL SELECT 'pass2', count(pass2), count(*) FILTER (WHERE pass2 = 'pass'), 20, 1 FROM f
+    UNION ALL SELECT 'pass3', count(pass3), count(*) FILTER (WHERE pass3 = 'pass'), 25, 1 FROM f)
+    SELECT pass, total, kept, round(pct, 6) AS reject_pct, CASE WHEN pct > fail THEN 'fail' WHEN pct < warn THEN 'warn' ELSE 'ok' END AS status
+    FROM (SELECT *, (total - kept)::DOUBLE / greatest(total, 1) * 100 AS pct FROM t)""")
 def _(spark, sf):
-    return P.guardrail_status(P.pass_totals(curated(spark, sf), ["pass1", "preprocess", "pass2", "pass3"]))
-
-
-_NORM = r"""trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}_\s''\-]', ' ', 'g'),
-    '\s+', ' ', 'g'))"""
+    totals = P.pass_totals(curated(spark, sf), ["pass1", "preprocess", "pass2", "pass3"])
+    return P.guardrail_status(totals).withColumn("reject_pct", F.round("reject_pct", 6))
 
 
 def _chars(text: str) -> str:

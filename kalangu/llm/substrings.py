@@ -17,6 +17,8 @@ anchors are hashed and compared over the corpus, three in seven positions.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,22 +31,12 @@ SPAN = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = SPAN - PERIOD + 1
-#: words whose hashes a worker remembers; the memory is emptied when it is full
-REMEMBERED = 300_000
+#: bytes of a text that are hashed at a time
+BLOCK = 1 << 22
 #: anchors need to be found, not told apart for good: fewer bits to move
 ANCHOR_BITS = 48
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        value = self[word] = xxh64_intdigest(word, 42)
-        return value
-
-
-_hashes = _Hashes()
+_SPACE_AT = re.compile(rb"[\x09-\x0D\x20]")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,27 +44,59 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), "u8", len(words))
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype="u8")  # the same on every worker
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.empty(0, "u8"), np.empty(0, "u8")]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, from 0 to at least n."""
+    if len(_powers[0]) <= n:
+        size = 1 << (n + 1).bit_length()
+        for k, b in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, b, "u8")
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word: differences of one running sum over the bytes, moved to the word's own start."""
+    raw, out, at = (text or "").encode(), [], 0
+    while at < len(raw):
+        end = at + BLOCK
+        if end < len(raw):  # a block ends where a word does
+            later = _SPACE_AT.search(raw, end)
+            end = later.start() if later else len(raw)
+        block = np.frombuffer(raw, "u1", min(end, len(raw)) - at, at)
+        edge = np.flatnonzero(np.diff(_WHITE[block], prepend=True, append=True))
+        starts, ends = edge[::2], edge[1::2]
+        power, inverse = _power(len(block))
+        total = np.concatenate((np.zeros(1, "u8"), np.cumsum(_BYTE[block] * power[:len(block)], dtype="u8")))
+        h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype("u8")
+        h = (h ^ (h >> np.uint64(31))) * _ODD
+        out.append(h ^ (h >> np.uint64(29)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, "u8")
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``length`` words, by its start."""
+    """A 64-bit hash of each run of ``length`` words, by its start: again differences of one running sum."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, "u8")
-    out = np.zeros(n, "u8")
-    for k in range(length):
-        out = (out ^ hashes[k:k + n]) * _ODD
-        out ^= out >> np.uint64(29)
-    return out
+    power, inverse = _power(len(hashes))
+    total = np.concatenate((np.zeros(1, "u8"), np.cumsum(hashes * power[:len(hashes)], dtype="u8")))
+    h = (total[length:] - total[:-length]) * inverse[:n]
+    h = (h ^ (h >> np.uint64(29))) * _ODD
+    return h ^ (h >> np.uint64(31))
 
 
 def _cover(n: int) -> np.ndarray:
-    places = np.arange(n)
-    return places[np.isin(places % PERIOD, COVER)]
+    places = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
+    return places[places < n]
 
 
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -98,56 +122,56 @@ def _whole(texts: pa.Array) -> pa.Array:
                                        pa.array(np.ascontiguousarray(halves[:, 1]).view("i8"), pa.int64())], ["n", "h1", "h2"])
 
 
-def _anchor_hashes(words: list[bytes]) -> np.ndarray:
+def _anchor_hashes(words: np.ndarray) -> np.ndarray:
     """Hashes of the anchors of a text that has a window, in order of position."""
-    found = runs(_word_hashes(words), ANCHOR) if len(words) >= SPAN else np.empty(0, "u8")
+    found = runs(words, ANCHOR) if len(words) >= SPAN else np.empty(0, "u8")
     return (found[_cover(len(found))] >> np.uint64(64 - ANCHOR_BITS)).view("i8")
 
 
 @F.arrow_udf(ArrayType(LongType()))
 def _anchors(texts: pa.Array) -> pa.Array:
     """The different anchors of each text."""
-    return _lists([np.unique(_anchor_hashes(words_of(t))) for t in texts.to_pylist()], pa.int64())
+    return _lists([np.unique(_anchor_hashes(_word_hashes(t.as_py()))) for t in texts], pa.int64())
 
 
 @F.arrow_udf(ArrayType(LongType()))
 def _windows(texts: pa.Array, anchors: pa.Array) -> pa.Array:
     """The different windows of each text that hold one of the given anchors."""
     rows = []
-    for text, some in zip(texts.to_pylist(), anchors.to_pylist()):
-        words = words_of(text) if some else []
+    for text, some in zip(texts, anchors):
+        words = _word_hashes(text.as_py()) if some.is_valid else np.empty(0, "u8")
         n = len(words) - SPAN + 1
         if n < 1:
             rows.append(np.empty(0, "i8"))
             continue
         places = _cover(len(words) - ANCHOR + 1)
-        places = places[np.isin(_anchor_hashes(words), np.array(some, "i8"))]
+        places = places[np.isin(_anchor_hashes(words), some.values.to_numpy())]
         wanted = np.zeros(n, bool)
         for t in range(PERIOD):
             at = places - t
             wanted[at[(at >= 0) & (at < n)]] = True
-        rows.append(np.unique(runs(_word_hashes(words), SPAN)[wanted]).view("i8"))
+        rows.append(np.unique(runs(words, SPAN)[wanted]).view("i8"))
     return _lists(rows, pa.int64())
 
 
-def _removed(words: list[bytes], hashes: list[int] | None, whole: bool) -> np.ndarray:
+def _removed(text: str | None, n: int, hashes: list[int] | None, whole: bool) -> np.ndarray:
     """Which words go: all, or those in a window of one of the given hashes."""
-    gone = np.full(len(words), whole)
+    gone = np.full(n, whole)
     if hashes and not whole:
-        for at in np.flatnonzero(np.isin(runs(_word_hashes(words), SPAN).view("i8"), np.array(hashes, "i8"))).tolist():
+        for at in np.flatnonzero(np.isin(runs(_word_hashes(text), SPAN).view("i8"), np.array(hashes, "i8"))).tolist():
             gone[at:at + SPAN] = True
     return gone
 
 
-def _met(rows: DataFrame, low: str = "low") -> DataFrame:
-    """(id, hash, low) of the rows whose hash more than one id has; ``low`` is the smallest of those.
+def _met(rows: DataFrame) -> DataFrame:
+    """(id, hash, low) of the rows whose hash comes more than once; ``low`` is the smallest id that has it.
 
-    Smallest and largest id are aggregated before and after the shuffle, and
-    the join back is a plain equi-join of rows with one row per hash, so a hash
+    Count and smallest id are aggregated before and after the shuffle, and the
+    join back is a plain equi-join of rows with one row per hash, so a hash
     that many documents share is split like any skewed join key.
     """
-    ends = rows.groupBy("hash").agg(F.min("id").alias(low), F.max("id").alias("high")).filter(F.col(low) < F.col("high"))
-    return rows.join(ends.drop("high"), "hash")
+    often = rows.groupBy("hash").agg(F.min("id").alias("low"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(often.drop("n"), "hash")
 
 
 def covered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +210,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: st
         sizes, removed, kept = [], [], []
         for t, h, w in zip(texts.to_pylist(), hashes.to_pylist(), whole.to_pylist()):
             words = words_of(t)
-            lost = _removed(words, h, bool(w))
+            lost = _removed(t, len(words), h, bool(w))
             sizes.append(len(words))
             removed.append(int(lost.sum()))
             kept.append((b" ".join(words[k] for k in np.flatnonzero(~lost)) if removed[-1] else b" ".join(words)).decode())

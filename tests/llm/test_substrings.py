@@ -35,12 +35,24 @@ def test_cover_meets_every_shift():
 
 
 def test_runs_tell_order():
-    h = substrings._word_hashes([b"a", b"b", b"a", b"b", b"b", b"a"])
+    h = substrings._word_hashes("a b a b b a")
     r = substrings.runs(h, 2)
     assert r[0] == r[2] and len(set(r.tolist())) == 3 and len(substrings.runs(h, 9)) == 0
     assert isinstance(r, np.ndarray)
 
 
+def test_word_hashes_do_not_depend_on_place_or_block(monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé中") for _ in range(rng.randint(1, 6))) for _ in range(2_000)]
+    text = "".join(rng.choice([" ", "\n\t ", "  "]) + w for w in words)
+    whole = substrings._word_hashes(text)
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert {w: h for w, h in zip(words, whole.tolist())} == {w: substrings._word_hashes(w)[0] for w in words}
+    monkeypatch.setattr(substrings, "BLOCK", 50)
+    assert (substrings._word_hashes(text) == whole).all()
+    assert len(substrings._word_hashes(None)) == len(substrings._word_hashes(" \n ")) == 0
+
+
 def test_every_alignment(spark):
     """Passages of 12 to 15 words at every pair of positions modulo the period."""
     rows, i = [], 0

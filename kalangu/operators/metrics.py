@@ -91,13 +91,16 @@ def code_switched_wer(pairs: DataFrame, ref: str = "ref_tagged", hyp: str = "hyp
     """One row: cs_wer, token_wer, tag_accuracy, per_language_wer, total_ref_words.
 
     A wrong word counts as a token error and as a tag error, by definition of
-    the measure. Empty input gives 0, 0, 1. Each pair is aligned once.
+    the measure. Empty input gives 0, 0, 1. Each pair is aligned once. Token
+    errors and the number of words are those of the utterance normalised as a
+    whole, as for the plain error rate.
     """
-    def words(col: str) -> Column:
-        return F.transform(F.col(col), lambda w: X.normalize_words(w["word"]))
+    def utterance(col: str) -> Column:
+        return X.scoring_text(F.array_join(F.transform(F.col(col), lambda w: w["word"]), " "), "tone_sensitive", once=True)
 
-    scored = M.with_tag_errors(pairs, ref, hyp).select(
-        M.word_distance(words(ref), words(hyp)).alias("errors"), F.size(ref).alias("n"), "tags")
+    texts = M.with_tag_errors(pairs, ref, hyp).withColumns({"_r": utterance(ref), "_h": utterance(hyp)})
+    split = texts.select(X.words(F.col("_r")).alias("_rw"), X.words(F.coalesce("_h", F.lit(""))).alias("_hw"), "tags")
+    scored = split.select(M.word_distance(F.col("_rw"), F.col("_hw")).alias("errors"), F.size("_rw").alias("n"), "tags")
     # one row per pair and language; the pair's own figures ride on the first
     per = scored.select("errors", "n", F.posexplode_outer("tags")).groupBy(F.col("col.language").alias("language")).agg(
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("errors"))).alias("errors"),

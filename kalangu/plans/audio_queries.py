@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kalangu.functions import audio as A
 from kalangu.functions import nested as N
+from kalangu.functions import text as X
 from kalangu.functions.hashing import seeded_uniform
 from kalangu.operators import arrays as B
 from kalangu.operators import filters as P
@@ -107,26 +108,32 @@ def _(spark, sf):
     return V.waveforms(spark, sf).select("vec_id", shown(A.mu_law_roundtrip(F.col("samples")), 5).alias("samples"))
 
 
-@query("padded_batches", with_views("wave", body=f"""SELECT vec_id, {shown_sql("list_concat(s, list_transform(range(0, mx - len(s)), lambda i: 0.0::FLOAT))", 4)} AS samples, len(s)::INT AS samples_length
-    FROM (SELECT *, max(len(s)) OVER (PARTITION BY vec_id // 16) AS mx FROM (SELECT vec_id, samples[1:(vec_id * 7 % 60)::INT + 1] AS s FROM wave))"""))
+@query("padded_batches", f"""SELECT doc_id, {shown_sql("list_concat(s, list_transform(range(0, mx - len(s)), lambda i: 0.0::FLOAT))", 1)} AS samples, len(s)::INT AS samples_length
+    FROM (SELECT *, max(len(s)) OVER (PARTITION BY doc_id // 16) AS mx FROM (SELECT doc_id, list_transform(
+      list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: length(x)::FLOAT) AS s FROM documents))""")
 def _(spark, sf):
-    w = V.waveforms(spark, sf).select(
-        "vec_id", F.floor(F.col("vec_id") / 16).alias("batch"), F.slice("samples", F.lit(1), (F.col("vec_id") * 7 % 60 + 1).cast("int")).alias("samples"))
-    return B.pad_batches(w, "batch", {"samples": 0.0}).select("vec_id", shown("samples", 4).alias("samples"), "samples_length")
+    """Word lengths of whole documents as samples: arrays of natural, very different lengths."""
+    w = V.table(spark, sf, "documents").select(
+        "doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.transform(X.words(F.col("text")), lambda x: F.length(x).cast("float")).alias("samples"))
+    return B.pad_batches(w, "batch", {"samples": 0.0}).select("doc_id", shown("samples", 1).alias("samples"), "samples_length")
 
 
-@query("ranked_labels", """SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(0, 4), lambda i: row(-(embedding[i + 1]::DOUBLE), 'label_' || i))), lambda r: r[2]), ',') AS ranking,
-    (list_sort(list_transform(range(0, 4), lambda i: row(-(embedding[i + 1]::DOUBLE), 'label_' || i)))[1])[2] AS top FROM embeddings""")
+@query("ranked_labels", """SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(range(0, 64), lambda i: row(-(embedding[i + 1]::DOUBLE), 'label_' || i))), lambda r: r[2]), ',') AS ranking,
+    (list_sort(list_transform(range(0, 64), lambda i: row(-(embedding[i + 1]::DOUBLE), 'label_' || i)))[1])[2] AS top FROM embeddings""")
 def _(spark, sf):
     return V.score_maps(spark, sf).select("vec_id", F.array_join(F.transform(N.ranked_labels(F.col("scores")), lambda e: e["label"]), ",").alias("ranking"),
                                           N.top_label(F.col("scores")).alias("top"))
 
 
-@query("span_texts", """SELECT doc_id, pos, CASE pos WHEN 0 THEN 'en' ELSE 'fr' END AS language, CASE pos WHEN 0 THEN substr(text, 1, 9) ELSE substr(text, 11, 30) END AS text
+@query("span_texts", """SELECT doc_id, pos, CASE pos WHEN 0 THEN 'en' ELSE 'fr' END AS language,
+    CASE pos WHEN 0 THEN substr(text, 1, length(text) // 3) ELSE substr(text, length(text) // 3 + 1) END AS text
     FROM (SELECT *, unnest([0, 1])::INT AS pos FROM documents)""")
 def _(spark, sf):
-    spans = N.parse_spans(F.lit('[{"start":0,"end":9,"language":"en"},{"start":10,"end":40,"language":"fr"}]'))
-    return B.span_rows(V.table(spark, sf, "documents").withColumn("cs_spans", spans), "doc_id")
+    """Two spans that share each whole text."""
+    d = V.table(spark, sf, "documents")
+    cut = F.floor(F.length("text") / 3).cast("int")
+    spans = N.parse_spans(F.format_string('[{"start":0,"end":%d,"language":"en"},{"start":%d,"end":%d,"language":"fr"}]', cut, cut, F.length("text")))
+    return B.span_rows(d.withColumn("cs_spans", spans), "doc_id")
 
 
 @query("decoded_payloads", "SELECT doc_id, md5(text) AS digest, octet_length(encode(text))::INT AS size FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 3 = 0")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kalangu import schema as S
+from kalangu.functions import text as X
 from kalangu.functions.timing import epoch_seconds
 from kalangu.operators import compare as K
 from kalangu.operators import filters as P
@@ -166,24 +167,30 @@ def _(spark, sf):
     return records.build_speaker_map(rows, "order").select("name", "speaker_id", "split_origin")
 
 
-@query("lab_label_scan", """SELECT '/ie/sentences/wav/utt_' || doc_id || '.wav' AS audio_path, CASE doc_id % 8 WHEN 0 THEN 'happy' WHEN 1 THEN 'happy' WHEN 2 THEN 'angry'
+@query("lab_label_scan", """SELECT '/s' || (doc_id % 3) || '/sentences/wav/utt_' || doc_id || '.wav' AS audio_path, CASE doc_id % 8 WHEN 0 THEN 'happy' WHEN 1 THEN 'happy' WHEN 2 THEN 'angry'
     WHEN 3 THEN 'sad' WHEN 4 THEN 'neutral' ELSE 'neutral' END AS label, 'iemocap' AS source FROM documents WHERE doc_id % 8 < 6 AND doc_id % 7 <> 0 AND doc_id IN (SELECT doc_id FROM labels)""")
 def _(spark, sf):
+    """Written as label files of three sessions, in folders with a blank and a diacritic, and read back."""
     k = F.col("doc_id")
     code = F.element_at(F.array(*map(F.lit, ("hap", "exc", "ang", "sad", "neu", "fru", "oth", "xxx"))), (k % 8 + 1).cast("int"))
-    d = V.table(spark, sf, "documents")
-    lines = d.select(F.lit("/ie").alias("folder"), F.when(k % 7 == 0, "short line").otherwise(
+    d, root = V.table(spark, sf, "documents"), f"{fresh_path(spark, 'labels')}/my corpus ẹ"
+    lines = d.select((k % 3).alias("session"), F.when(k % 7 == 0, "short line").otherwise(
         F.concat(F.lit(" utt_"), k.cast("string"), F.lit("\t12.5 "), code, F.lit(" extra"))).alias("value"))
-    audio = V.table(spark, sf, "labels").select(F.concat(F.lit("/ie/sentences/wav/utt_"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
-    return J.with_existing_files(records.lab_labels(lines), audio)
+    for n in range(3):
+        lines.filter(F.col("session") == n).select("value").coalesce(1).write.text(f"{root}/s{n}/x.lab")
+    folder = X.plain_path(F.lit(root))
+    audio = V.table(spark, sf, "labels").select(F.concat(folder, F.lit("/s"), (k % 3).cast("string"), F.lit("/sentences/wav/utt_"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
+    found = records.read_lab_labels(spark, root, audio, pattern="*.txt")
+    return found.withColumn("audio_path", F.replace("audio_path", folder, F.lit("")))
 
 
-@query("stem_label_scan", """SELECT path AS audio_path, CASE doc_id % 10 WHEN 1 THEN 'neutral' WHEN 2 THEN 'neutral' WHEN 3 THEN 'happy' WHEN 4 THEN 'sad' WHEN 5 THEN 'angry' ELSE 'neutral' END AS label,
-    'ravdess' AS source FROM (SELECT doc_id, 'Actor_1/03-01-0' || (doc_id % 10) || '-01-' || doc_id || '.wav' AS path FROM documents) WHERE doc_id % 10 BETWEEN 1 AND 8""")
+@query("stem_label_scan", """SELECT '03-01-0' || (doc_id % 10) || '-01-' || doc_id || '.wav' AS file, CASE doc_id % 10 WHEN 1 THEN 'neutral' WHEN 2 THEN 'neutral' WHEN 3 THEN 'happy' WHEN 4 THEN 'sad' WHEN 5 THEN 'angry' ELSE 'neutral' END AS label,
+    'ravdess' AS source FROM documents WHERE doc_id % 10 BETWEEN 1 AND 8""")
 def _(spark, sf):
     k = F.col("doc_id")
-    return records.stem_labels(V.table(spark, sf, "documents").select(F.concat(
-        F.lit("Actor_1/03-01-0"), (k % 10).cast("string"), F.lit("-01-"), k.cast("string"), F.lit(".wav")).alias("audio_path")))
+    files = V.table(spark, sf, "documents").select(F.concat(
+        F.lit("Actor 1/03-01-0"), (k % 10).cast("string"), F.lit("-01-"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
+    return records.stem_labels(files).select(X.basename(F.col("audio_path")).alias("file"), "label", "source")
 
 
 @query("sample_catalog_scan", "SELECT source AS id, min(lang) AS language, count(*)::DOUBLE AS duration FROM documents GROUP BY source")
@@ -203,16 +210,22 @@ def _(spark, sf):
     return records.catalog_entry(d, "src3")
 
 
-@query("file_inventory", """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings',
-    'pages', 'benchmark', 'labels', 'conversations']) AS id, 'unknown' AS stage, TRUE AS filled""")
+def checkpoints(spark, sf):
+    """A file per source of the documents, in a folder per source."""
+    path = fresh_path(spark, "checkpoints")
+    V.table(spark, sf, "documents").select("doc_id", "source").repartition("source").write.partitionBy("source").parquet(path)
+    return path
+
+
+@query("file_inventory", "SELECT DISTINCT 'source=' || source AS stage, TRUE AS filled FROM documents")
 def _(spark, sf):
-    return records.read_files(spark, sf, "*.parquet").select("id", "stage", (F.col("size_bytes") > 0).alias("filled"))
+    return records.read_files(spark, checkpoints(spark, sf), "*.parquet").select("stage", (F.col("size_bytes") > 0).alias("filled"))
 
 
 @query("newest_files")
 def _(spark, sf):
     """File times are not known in SQL."""
-    return records.newest_files(records.read_files(spark, sf, "*.parquet"), 3)
+    return records.newest_files(records.read_files(spark, checkpoints(spark, sf), "*.parquet"), 3)
 
 
 @query("feedback_sink", """SELECT CASE WHEN event_type IN ('view', 'click') THEN 'transcribe' WHEN event_type = 'error' THEN 'analyze' ELSE 'other' END AS task,

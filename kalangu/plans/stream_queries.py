@@ -13,15 +13,17 @@ from kalangu.streaming import events as ST
 from kalangu.streaming import ingest as SI
 
 
-def event_files(spark, sf, files=4):
-    """The run events as JSON lines in a few files, bad lines among them."""
+def event_files(spark, sf, files=2):
+    """The run events as JSON lines, a folder per stage with a few files each, bad lines among them."""
     path = fresh_path(spark, "event_files")
     e = V.run_events(spark, sf)
     # the order within equal timestamps travels as the epoch field
-    good = e.select("pos", F.to_json(F.struct(*[c for c in e.columns if c not in ("stage_name", "pos")], F.col("pos").cast("int").alias("epoch"))).alias("value"))
-    bad = e.filter("pos % 50 = 0").select("pos", F.lit('{"ts": 1, "run_').alias("value"))
-    good.unionByName(bad).repartition(files, "pos").select("value").write.text(path)
-    return path
+    good = e.select("pos", "stage_name", F.to_json(F.struct(*[c for c in e.columns if c not in ("stage_name", "pos")], F.col("pos").cast("int").alias("epoch"))).alias("value"))
+    bad = e.filter("pos % 50 = 0").select("pos", "stage_name", F.lit('{"ts": 1, "run_').alias("value"))
+    rows = good.unionByName(bad)
+    for (stage,) in rows.select("stage_name").distinct().collect():
+        rows.filter(F.col("stage_name") == stage).repartition(files, "pos").select("value").write.text(f"{path}/{stage}_events.jsonl")
+    return f"{path}/*_events.jsonl"
 
 
 @query("event_tail_stream", with_views("ev", body="SELECT ts, type, step, pos::INT AS epoch FROM ev WHERE run_id = 'run_7'"))
@@ -32,12 +34,13 @@ def _(spark, sf):
     return spark.read.schema("ts double, type string, step bigint, epoch int").parquet(out)
 
 
-@query("live_run_summaries", with_views("runs", body=f"SELECT {SUMMARY_SQL.replace('stage_name, ', '')} FROM runs"))
+@query("live_run_summaries", with_views("runs", body=f"SELECT {SUMMARY_SQL} FROM runs"))
 def _(spark, sf):
     out, ck = fresh_path(spark, "live"), fresh_path(spark, "live_ck")
     stream = ST.event_stream(spark, event_files(spark, sf), 2)
-    ST.keep_latest(ST.live_summaries(stream, ["run_id"], ["ts", "epoch"]), out, ck).awaitTermination()
-    return ST.read_latest(spark, out, ["run_id"]).withColumn("wer", F.round("wer", 9)).select(*[c for c in SUMMARY if c != "stage_name"])
+    keys = ["stage_name", "run_id"]
+    ST.keep_latest(ST.live_summaries(stream, keys, ["ts", "epoch"]), keys, out, ck).awaitTermination()
+    return ST.read_latest(spark, out, keys).withColumn("wer", F.round("wer", 9)).select(*SUMMARY)
 
 
 @query("progress_snapshot_stream", with_views("ev", body="""SELECT run_id, arg_max(step, row(ts, pos)) FILTER (WHERE type = 'step') AS last_step, arg_max(loss, row(ts, pos)) FILTER (WHERE type = 'step') AS last_loss,
@@ -45,7 +48,7 @@ def _(spark, sf):
 def _(spark, sf):
     out, ck = fresh_path(spark, "snapshot"), fresh_path(spark, "snapshot_ck")
     stream = ST.event_stream(spark, event_files(spark, sf), 2)
-    ST.keep_latest(ST.latest_figures(stream, ["run_id"], ["ts", "epoch"]), out, ck).awaitTermination()
+    ST.keep_latest(ST.latest_figures(stream, ["run_id"], ["ts", "epoch"]), ["run_id"], out, ck).awaitTermination()
     return ST.read_latest(spark, out, ["run_id"])
 
 

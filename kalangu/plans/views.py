@@ -126,7 +126,7 @@ def waveforms(spark: SparkSession, sf: str) -> DataFrame:
 
 def score_maps(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.create_map(*[x for i in range(4) for x in (
+    return e.select("vec_id", F.create_map(*[x for i in range(64) for x in (
         F.lit(f"label_{i}"), F.get("embedding", F.lit(i)).cast("double"))]).alias("scores"))
 
 

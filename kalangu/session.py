@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Limit the rows of a key below the shuffle also for caps above Spark's 1000.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # Waveform rows are megabytes each: bound Arrow batches by bytes, not rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }

@@ -122,9 +122,9 @@ def lab_labels(lines: DataFrame, source: str = "iemocap", labels: dict[str, str]
             .filter(F.col("label").isNotNull()))
 
 
-def read_lab_labels(spark: SparkSession, root: str, audio: DataFrame | None = None) -> DataFrame:
-    """Labels of all ``*.lab`` files below ``root`` whose audio file exists."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.lab").text(root)
+def read_lab_labels(spark: SparkSession, root: str, audio: DataFrame | None = None, pattern: str = "*.lab") -> DataFrame:
+    """Labels of all label files below ``root`` whose audio file exists."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
              .select("value", F.regexp_replace(X.plain_path(F.col("_metadata.file_path")), r"/[^/]+/[^/]+$", "").alias("folder")))
     if audio is None:
         audio = (spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -152,11 +152,18 @@ def with_alignment(df: DataFrame, ref: Column, hyp: Column, out: str = "alignmen
     """Adds struct<hits, substitutions, deletions, insertions> of two word arrays.
 
     Declared not deterministic, although it is, so that the optimizer does
-    not copy the call once per field that is used of its result.
+    not copy the call once per field that is used of its result. Pairs that
+    are equal or have an empty side are settled without it.
     """
-    return (df.withColumn("_pair", word_symbols(ref, hyp))
-            .withColumn(out, _align_udf.asNondeterministic()(F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))))
-            .drop("_pair"))
+    df = df.withColumn("_pair", word_symbols(ref, hyp))
+    a, b = F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))
+    n, m = F.length(a), F.length(b)
+    plain = (a == b) | (n == 0) | (m == 0)
+    counts = {"hits": F.when(a == b, n).otherwise(0), "substitutions": F.lit(0),
+              "deletions": F.when(m == 0, n).otherwise(0), "insertions": F.when(n == 0, m).otherwise(0)}
+    settled = F.struct(*[counts[c].alias(c) for c in COUNTS])
+    return (df.withColumn(out, _align_udf.asNondeterministic()(F.when(~plain, a), F.when(~plain, b)))
+            .withColumn(out, F.when(plain, settled).otherwise(F.col(out))).drop("_pair"))
 
 
 @pandas_udf(T.ArrayType(T.StructType([

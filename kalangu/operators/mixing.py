@@ -15,10 +15,12 @@ def sampling_weights(counts: DataFrame, temperature: float = 0.3, group: str = "
     """weight = n^t / sum(n^t) per group; an empty input fails the query."""
     if not 0.0 < temperature <= 1.0:
         raise ValueError(f"temperature must be in (0, 1], got {temperature}")
-    # a scalar subquery runs whether or not there are rows to put it in
-    total = counts.agg(F.when(F.count("*") > 0, F.sum(F.pow(F.col(n).cast("double"), F.lit(temperature)))).otherwise(
-        F.raise_error(F.lit("counts must be non-empty")).cast("double")).alias("t")).scalar()
-    return counts.withColumn("weight", F.pow(F.col(n).cast("double"), F.lit(temperature)) / total)
+    total = counts.agg(F.sum(F.pow(F.col(n).cast("double"), F.lit(temperature))).alias("t")).scalar()
+    weights = counts.withColumn("weight", F.pow(F.col(n).cast("double"), F.lit(temperature)) / total)
+    # a branch without rows, but for an empty input, where its one row fails the query
+    none = counts.agg(F.count("*").alias("_c")).filter(F.when(F.col("_c") == 0, F.raise_error(
+        F.lit("counts must be non-empty")).cast("boolean")).otherwise(F.lit(False)))
+    return weights.union(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in weights.schema]))
 
 
 def require_nonempty(counts: DataFrame) -> DataFrame:
@@ -63,6 +65,7 @@ def mixed_plan(pool: DataFrame, key: str, total: int, temperature: float = 0.3,
     join key receives more than about ``rows_per_copy`` draws; a draw goes to
     one of the copies and the result is the same.
     """
+    require_nonempty(pool)
     weights = sampling_weights(language_counts(pool, group), temperature, group)
     bounds = weight_bounds(weights, group)
     draws = pool.sparkSession.range(total).withColumnRenamed("id", "draw")

@@ -111,6 +111,24 @@ def test_weights(spark):
         M.require_nonempty(df.limit(0))
 
 
+def test_empty_input_fails(spark):
+    df = spark.createDataFrame(list(WEIGHTS.items()), "language string, n long").limit(0)
+    pool = spark.createDataFrame([], "language string, audio_path string")
+    for out in (M.sampling_weights, lambda _: M.mixed_plan(pool, "audio_path", 10), lambda _: M.batched_plan(pool, "audio_path", 2, 5)):
+        with pytest.raises(Exception, match="counts must be non-empty"):
+            out(df).collect()
+
+
+def test_cap_above_a_thousand_is_limited_below_the_shuffle(spark):
+    from kalangu.operators.scale import top_per_key
+
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "id")
+    out = top_per_key(df, ["k"], [F.col("id")], 1001, salt=F.col("id"))
+    assert out.count() == 2002 and out.agg(F.max("id")).first()[0] == 2001
+    plan = top_per_key(df, ["k"], [F.col("id")], 1001, salt=F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4, plan
+
+
 def test_shares_follow_the_formula(spark):
     from kalangu.constants import CORPUS_HOURS
 

@@ -214,3 +214,29 @@ def test_token_accuracy(spark):
     df = spark.createDataFrame([([1, 2, 3, 4], [0, 1, -100, 3]), ([5], [5])], "pred_ids array<int>, label_ids array<int>")
     assert tuple(R.token_accuracy(df).first()) == (2, 2, 1.0)
     assert R.token_accuracy(df.filter("size(pred_ids) = 1")).first()["accuracy"] == 0.0
+
+
+def test_code_switched_scores_compose_and_count_normalised_words(spark):
+    import unicodedata
+
+    kind = "array<struct<word string, language string>>"
+    word = lambda t: [(unicodedata.normalize("NFC", t), "yo")]
+    rows = [(word("ọlọ́rọ̀"), [(unicodedata.normalize("NFD", "ọlọ́rọ̀"), "yo")]), ([("a", "en"), (" ", "en")], [("a", "en")])]
+    r = R.code_switched_wer(spark.createDataFrame(rows, f"ref_tagged {kind}, hyp_tagged {kind}")).first()
+    assert (r.token_wer, r.total_ref_words) == (0.0, 2)
+
+
+def test_alignment_of_settled_pairs(one):
+    rows = [("a b c", "a b c"), ("", "a b"), ("a b", ""), ("", ""), ("a b c", "a x c d")]
+    df_rows = [tuple(r) for r in rows]
+    spark = __import__("pyspark.sql").sql.SparkSession.getActiveSession()
+    df = spark.createDataFrame(df_rows, "r string, h string")
+    got = M.with_alignment(df, X.words(F.col("r")), X.words(F.col("h"))).select("r", "h", "alignment.*").collect()
+    want = {("a b c", "a b c"): (3, 0, 0, 0), ("", "a b"): (0, 0, 0, 2), ("a b", ""): (0, 0, 2, 0), ("", ""): (0, 0, 0, 0), ("a b c", "a x c d"): (2, 1, 0, 1)}
+    assert {(r.r, r.h): tuple(r)[2:] for r in got} == want
+
+
+def test_inventory_counts_bigrams(spark):
+    df = spark.createDataFrame([("Shasha tsuntsu ɗan",)], "text string")
+    got = {r.char: (r.n, r.in_inventory) for r in R.character_inventory(df, known=["sh", "ts", "ɗ"]).collect()}
+    assert got == {"sh": (2, True), "ts": (2, True), "ɗ": (1, True)}

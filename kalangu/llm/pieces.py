@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _PUNCT = r"!-/:-@\[-`{-~"
 #: spans remembered per worker; the memory is emptied when it is full
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: spans up to this length are merged side by side, one row of a matrix each
 SHORT = 32
 _NEVER = np.float32(np.inf)
@@ -194,8 +194,8 @@ class Pieces:
         for some in _parts(texts, 1 << 22):
             rows = [cut(SPACE + text.replace(" ", SPACE)) if text else [] for text in some]
             fresh = list(set().union(*rows) - memory.keys())
-            for k in range(0, len(fresh), 20_000):
-                self._remember(fresh[k:k + 20_000])
+            for k in range(0, len(fresh), 5_000):
+                self._remember(fresh[k:k + 5_000])
             out += [edges[0] + b"".join([memory[s] for s in row]) + edges[1] for row in rows]
         if check_every:
             some = list(range(0, len(texts), check_every))
@@ -224,9 +224,6 @@ class Pieces:
                 self.library.decode([np.frombuffer(r, "<u4").tolist() for r in some], num_threads=1)]
 
 
-KIND = {p: pa.struct([("ids", pa.binary() if p else pa.list_(pa.int32())), ("decoded", pa.string())]) for p in (False, True)}
-
-
 def _parts(items: Iterable, size: int) -> Iterator[list]:
     """Consecutive parts of about ``size`` characters or bytes, at least one item each; Arrow values are unpacked."""
     part, held = [], 0
@@ -263,14 +260,13 @@ def encode_and_decode(df: DataFrame, text: str = "text", model: str | None = Non
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _loaded(path)
         for texts in batches:
-            done = []
-            for some in _parts(texts, 1 << 22):
+            # a part at a time: ids of a whole batch would be many times its texts
+            for some in _parts(texts, 1 << 20):
                 rows = pieces.encode(some, check_every)
                 coded = pa.array(rows, pa.binary()) if packed else pa.ListArray.from_arrays(
                     np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4"),
                     pa.array(np.frombuffer(b"".join(rows), "<u4").astype("i4")))
-                done.append(pa.StructArray.from_arrays([coded, pa.array(pieces.decode(rows), pa.string())], ["ids", "decoded"]))
-            yield pa.concat_arrays(done) if done else pa.nulls(0, KIND[packed])
+                yield pa.StructArray.from_arrays([coded, pa.array(pieces.decode(rows), pa.string())], ["ids", "decoded"])
 
     coded = run(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     return df.withColumn("__coded", coded).withColumns(

@@ -4,7 +4,9 @@ The cost of a value is the cheapest way to put it together (dynamic programming
 over its positions) from words of the corpus, dates, repeats, keyboard walks,
 sequences and spans that need brute force, in bits; every further part costs
 two bits more. A value after a credential word is a secret from ``least_bits`` on,
-so that "password: summer2019" is none and "pwd: x9$Lq..." is one.
+and a short one, which cannot have so many, if it costs ``share`` of what brute
+force costs for all its characters: then no cheaper way to it is known. So
+"password: summer2019" is none and "pwd: x9$Lq2!v" is one.
 
 Ranks of words come from counting all texts; the ``words`` most frequent are
 sent to the workers, a bounded number.
@@ -25,6 +27,8 @@ from kalangu.session import through_table
 KINDS = ("assign", "access", "hex", "guess")
 WORDS = 20_000
 LEAST_BITS = 45.0
+#: of the brute-force cost, for values that cannot reach the bits
+SHARE = 0.7
 #: a longer value is cut into parts of this length, whose costs add up
 PART = 128
 
@@ -129,7 +133,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BITS) -> list[dict]:
+def is_secret(value: str, bits: float, least_bits: float = LEAST_BITS, share: float = SHARE) -> bool:
+    return bits >= min(least_bits, share * sum(map(char_bits, value)))
+
+
+def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BITS, share: float = SHARE) -> list[dict]:
     """All spans of a text by start, then kind; null counts as empty."""
     text = text or ""
     base = base_spans(text)
@@ -145,7 +153,7 @@ def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BIT
         if b - a < 8 or any(s < b and a < e for s, e, _ in base):
             continue
         bits = guess_bits(text[a:b], ranks)
-        if bits >= least_bits:
+        if is_secret(text[a:b], bits, least_bits, share):
             out.append({"kind": 3, "start": a, "end": b, "bits": bits})
     return sorted(out, key=lambda s: (s["start"], s["kind"]))
 
@@ -160,7 +168,8 @@ def word_ranks(docs: DataFrame, text: str = "text", words: int = WORDS) -> dict[
     return {r.w: k for k, r in enumerate(rows, 1)}
 
 
-def find(docs: DataFrame, text: str = "text", out: str = "spans", words: int = WORDS, least_bits: float = LEAST_BITS) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", out: str = "spans", words: int = WORDS, least_bits: float = LEAST_BITS,
+         share: float = SHARE) -> DataFrame:
     """``docs`` with ``out``: array<struct<kind, start, end, bits>> by start, then kind.
 
     ``kind`` counts in the order of ``KINDS``; places are code points, end
@@ -175,7 +184,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans", words: int = W
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
         for texts in batches:
-            yield pa.array([spans(t.as_py(), ranks, least_bits) for t in texts], kind)
+            yield pa.array([spans(t.as_py(), ranks, least_bits, share) for t in texts], kind)
 
     return docs.withColumn(out, run(F.col(f"`{text}`")))
 

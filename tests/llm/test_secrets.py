@@ -77,3 +77,19 @@ def test_edges(edge, nothing):
     assert len(rows) == edge.count() and all(r.spans == [] for r in rows)
     assert secrets.find(edge).columns == edge.columns
     assert secrets.find(nothing).count() == 0
+
+
+def test_short_random_values_are_secrets():
+    import random
+    import string
+
+    rng = random.Random(5)
+    sets = (string.ascii_letters + string.digits + "!$%&*+#?", string.ascii_letters + string.digits, string.ascii_lowercase + string.digits)
+    for n in (8, 9, 10):
+        for chars in sets:
+            for _ in range(100):
+                value = "".join(rng.choice(chars) for _ in range(n - 1)) + "x"
+                for text in (f"my pwd: {value} here", f"postgres://bob:{value}@host/"):
+                    assert value in [text[s["start"]:s["end"]] for s in secrets.spans(text, RANKS)], text
+    for value in ("summer12", "monkey2019", "password1!", "qwertyui", "hunter99", "20190312", "********", "abcdefgh", "summerhorse"):
+        assert secrets.spans(f"pwd: {value} here", RANKS) == [], value

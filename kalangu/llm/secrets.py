@@ -65,6 +65,11 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3
                    r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+def _lower(text: str) -> str:
+    """Lower case, place by place: U+0130 is the one character that becomes two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def char_bits(c: str) -> float:
     return log2(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
@@ -73,7 +78,7 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
     """The least number of bits that the value takes to guess, over all ways to cut it into parts."""
     if len(value) > PART:
         return sum(guess_bits(value[k:k + PART], ranks) for k in range(0, len(value), PART))
-    n, low = len(value), value.lower()
+    n, low = len(value), _lower(value)
     plain = low.translate(_SHIFT)
     best = [0.0] + [float("inf")] * n
     dates = {m.start(): m.end() for m in _DATE.finditer(value)}
@@ -142,9 +147,9 @@ def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BIT
     text = text or ""
     base = base_spans(text)
     out = [{"kind": k, "start": a, "end": b, "bits": None} for a, b, k in base]
-    low = text.lower()
+    low = _lower(text)
     found = []
-    if len(low) == len(text) and any(h in low for h in _HINT):
+    if any(h in low for h in _HINT):
         found += [m.span(1) for m in CONTEXT.finditer(low)]
     if "://" in text:
         found += [m.span(1) for m in LINK.finditer(text)]

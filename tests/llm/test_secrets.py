@@ -93,3 +93,10 @@ def test_short_random_values_are_secrets():
                     assert value in [text[s["start"]:s["end"]] for s in secrets.spans(text, RANKS)], text
     for value in ("summer12", "monkey2019", "password1!", "qwertyui", "hunter99", "20190312", "********", "abcdefgh", "summerhorse"):
         assert secrets.spans(f"pwd: {value} here", RANKS) == [], value
+
+
+def test_a_letter_that_grows_in_lower_case_hides_nothing():
+    text = "İstanbul'da pwd: x9$Lq2!vR7pZ ve APİ_KEY => Zk39dkWLQ02md8Xn, PASSWORD: İx9$Lq2!vR7pZ"
+    found = [text[s["start"]:s["end"]] for s in secrets.spans(text, RANKS) if s["kind"] == 3]
+    assert found == ["x9$Lq2!vR7pZ", "Zk39dkWLQ02md8Xn", "İx9$Lq2!vR7pZ"]
+    assert secrets.guess_bits("İ" + "summer", RANKS) < secrets.guess_bits("İ", RANKS) + 5

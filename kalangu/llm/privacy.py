@@ -103,9 +103,12 @@ def terms_of(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
                      support: int = SUPPORT, window: int = WINDOW_CHARS) -> DataFrame:
-    """(id, terms): for texts that mention an entity, the terms around it that give it away."""
+    """(id, terms): for texts that mention an entity, the terms anywhere in them that give it away.
+
+    Windows around the mentions prove a term; a proven one counts wherever the text holds it.
+    """
     docs = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    mentions = docs.select("id", "text", F.explode(F.concat(*base_spans(F.col("text")).values())).alias("s"))
+    mentions = docs.select("id", "text", F.posexplode(F.concat(*base_spans(F.col("text")).values())).alias("k", "s"))
     left = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - window), F.least(F.lit(window), F.col("s.start")))
     right = F.substring("text", F.col("s.end") + 1, F.lit(window))
     # a word that the window cuts is no term
@@ -113,7 +116,9 @@ def disclosing_terms(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     right = F.when(F.length(right) == window, F.regexp_replace(right, f"{_TERM_CHAR}+$", "")).otherwise(right)
     # and neither is what touches the span itself
     around = F.concat(F.regexp_replace(left, f"{_TERM_CHAR}+$", ""), F.lit(" "), F.regexp_replace(right, f"^{_TERM_CHAR}+", ""))
-    mentions = through_table(mentions.select("id", _entity(F.col("s")).alias("entity"), F.lower(around).alias("around")), "mentions")
+    # the terms of the whole text once a text, beside its first mention
+    mentions = through_table(mentions.select("id", _entity(F.col("s")).alias("entity"), F.lower(around).alias("around"), F.when(
+        (F.col("k") == 0) & F.col("id").isNotNull(), terms_of(F.col("text"))).alias("terms")), "mentions")
     seen = mentions.select("entity", "around").distinct()
     entities = seen.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
     together = (seen.join(entities, "entity").select("entity", "n_e", F.explode(terms_of(F.col("around"))).alias("term"))
@@ -124,8 +129,10 @@ def disclosing_terms(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     rated = together.join(everywhere, "term").withColumn("n", total.cast("double"))
     pmi = F.log(F.col("n_et") * F.col("n") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     strong = rated.filter((F.col("n_e") < F.col("n")) & (pmi >= threshold * F.log(F.col("n") / F.col("n_e")))).select("entity", "term")
-    held = mentions.filter(F.col("id").isNotNull()).select("id", "entity", F.explode(terms_of(F.col("around"))).alias("term"))
-    return held.join(strong, ["entity", "term"]).groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    strong = through_table(strong, "strong")
+    held = mentions.select("id", F.explode("terms").alias("term")).join(strong, "term")
+    named = mentions.filter(F.col("id").isNotNull()).select("id", "entity").distinct()
+    return held.join(named, ["id", "entity"], "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT,

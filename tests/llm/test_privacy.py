@@ -82,3 +82,15 @@ def test_edges(edge, nothing):
 def test_no_python_in_the_plan(spark, docs):
     plan = privacy.sanitise(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_proven_term_counts_far_from_the_mention(spark):
+    far = "the house wrote from spring to autumn " * 8
+    rows = [(900, f"Zeppelinfan {far} ann@mail.example {far} zeppelinfan"), (901, f"Zeppelinfan {far} bob@mail.example"),
+            (902, f"Zeppelinfan {far}"), (903, f"ann@mail.example {far} zeppelinfans"), (None, f"Zeppelinfan {far} ann@mail.example")]
+    docs = corpus(spark).union(spark.createDataFrame(rows, "doc_id long, text string"))
+    terms = {r.id: r.terms for r in privacy.disclosing_terms(docs, threshold=0.7).collect()}
+    assert terms == {i: ["zeppelinfan"] for i in [*range(5), 900]}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs, threshold=0.7).collect()}
+    assert clean[900] == f"[TERM] {far} [EMAIL] {far} [TERM]"
+    assert clean[901] == f"Zeppelinfan {far} [EMAIL]"

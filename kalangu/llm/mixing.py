@@ -8,9 +8,10 @@ than that. The run is as long as it takes to read every source at least once,
 so nothing is dropped.
 
 Each source then gets its budget of tokens: its texts are dealt into blocks by
-hash, and each pass over the source reads the blocks in an order of its own.
-Whole passes copy every text; the rest of the budget goes to the first blocks
-of one more pass, and within the last of those to the first texts. So a text
+hash. Whole passes copy every text and have no order; the rest of the budget
+goes to the first blocks, in a seeded order, of one more pass, and within the
+last of those to the first texts. Only this partial pass is permuted: the mix
+is a multiset of rows, whose copies may lie side by side. So a text
 needs one number per source and one per block, and no source is sorted whole.
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, pieces, privacy, quality, secrets, simhash, substrings, toxicity, versions, warc
+from kalangu.llm import mixing, phrases, pieces, privacy, quality, ranked, secrets, simhash, substrings, toxicity, versions, warc
 from kalangu.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,18 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents")).withColumn("weight", F.round("weight", 9))
 
 
+@query
+def op11_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 ORACLE["op10_mixing"] = r"""
 WITH RECURSIVE r AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
@@ -146,3 +158,44 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_tran
   CASE WHEN page_id <> f THEN f END AS refers_to, 'ok' AS status
 FROM (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f FROM pages)"""
+
+ORACLE["op11_ranked"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS MATERIALIZED (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) SEMI JOIN i USING (t) GROUP BY ALL),
+f AS MATERIALIZED (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM p, s GROUP BY t),
+c AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM p JOIN f USING (t) JOIN i USING (t), s GROUP BY ALL)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM c WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10"""
+
+ORACLE["op13_phrases"] = r"""
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+t AS MATERIALIZED (SELECT lang, sum(len(w))::HUGEINT AS n FROM q GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM q, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM g WHERE k > 1),
+u AS MATERIALIZED (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, t.n, cut, (1000 * c.f * t.n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c
+  JOIN g AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN g AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+  JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT lang, w, f, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k) GROUP BY ALL),
+e AS (SELECT b.* FROM b LEFT JOIN inner_ USING (lang, phrase) WHERE inner_.f IS NULL OR 100 * inner_.f < 100 * b.a)
+SELECT lang, row_number() OVER best AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+  score::BIGINT AS score FROM e
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER best <= 2000"""

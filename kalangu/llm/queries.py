@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalangu.llm import mixing, phrases, pieces, privacy, quality, ranked, secrets, simhash, substrings, toxicity, versions, warc
+from kalangu.llm import jaccard, mixing, phrases, pieces, privacy, quality, ranked, secrets, simhash, substrings, toxicity, versions, warc
 from kalangu.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,12 @@ def op11_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op12_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of every document's set of four-word shingles and its component over links of similarity 0.85."""
+    return jaccard.classes(table(spark, sf, "documents"))
+
+
 @query
 def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
@@ -176,6 +182,21 @@ c AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf +
 SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM c WHERE score > 0
 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10"""
 
+ORACLE["op12_jaccard"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1),
+    lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM d WHERE len(w) > 0),
+k AS MATERIALIZED (SELECT list_sort(g) AS g, min(doc_id) AS node FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT node, len(g) AS n, unnest(g) AS x FROM k),
+links AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM p a JOIN p b ON a.x = b.x AND a.node < b.node
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(node, r) AS (SELECT node, node FROM k UNION
+  SELECT l.b, r FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reach.node),
+c AS MATERIALIZED (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(len(s.g), 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN k ON k.g = list_sort(s.g) LEFT JOIN c USING (node)"""
+
 ORACLE["op13_phrases"] = r"""
 WITH q AS MATERIALIZED (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(

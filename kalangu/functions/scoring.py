@@ -1,56 +1,33 @@
 """Error rates and per-clip verdicts.
 
-Word distances use the built-in ``levenshtein``: the distinct words of a pair
-are numbered and each becomes one code point. Only the split of the distance
-into kinds of error needs an Arrow function.
+Distances and alignments of any length come from the Arrow functions of
+``edits``; pairs that are equal or have an empty side do not reach them.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from kalangu.functions import text as X
 from kalangu.functions.binding import let
+from kalangu.functions.edits import align, errors, pairs
 
 COUNTS = ("hits", "substitutions", "deletions", "insertions")
 
 
-_ASCII = "".join(map(chr, range(33, 127)))
-
-
-def _symbol(index: Column) -> Column:
-    """One character per index: ASCII first, then any code point but the surrogates."""
-    cp = index + F.lit(19968) + F.when(index >= 35328, 2048).otherwise(0)
-    return F.when(index < len(_ASCII), F.substring(F.lit(_ASCII), index + 1, 1)).otherwise(
-        F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32"))
-
-
-def word_symbols(ref: Column, hyp: Column) -> Column:
-    """Two word arrays as an array of two strings with one character per word."""
-    def encode(r: Column, h: Column) -> Column:
-        return let(lambda r, h, vocab: let(spell, r, h, vocab, F.transform(vocab, lambda _, i: _symbol(i))),
-                   r, h, F.array_distinct(F.concat(r, h)))
-
-    def spell(r: Column, h: Column, vocab: Column, symbols: Column) -> Column:
-        return F.array(*[F.array_join(F.transform(side, lambda w: F.get(
-            symbols, F.array_position(vocab, w).cast("int") - 1)), "") for side in (r, h)])
-
-    return let(encode, ref, hyp)
-
-
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Levenshtein distance between two word arrays."""
-    return let(lambda s: F.levenshtein(F.get(s, F.lit(0)), F.get(s, F.lit(1))), word_symbols(ref, hyp))
+    return errors(ref, hyp)
 
 
 def clip_wer(ref: Column, hyp: Column) -> Column:
     """Word errors over reference words; null when the reference is empty."""
-    return let(words_wer, X.words(ref), X.words(F.coalesce(hyp, F.lit(""))))
+    return words_wer(X.words(ref), X.words(F.coalesce(hyp, F.lit(""))))
 
 
 def words_wer(ref: Column, hyp: Column) -> Column:
@@ -59,93 +36,14 @@ def words_wer(ref: Column, hyp: Column) -> Column:
 
 
 def clip_cer(ref: Column, hyp: Column) -> Column:
-    """Character errors over reference characters; 1.0 for an empty reference."""
-    return F.when(F.length(ref) > 0, F.levenshtein(ref, hyp) / F.length(ref)).otherwise(1.0)
-
+    """Character errors over reference characters; 1.0 for an empty reference, null for a null hypothesis."""
+    return F.when(F.length(ref) > 0, F.when(hyp.isNotNull(), errors(ref, hyp) / F.length(ref))).otherwise(1.0)
 
-def _codes(strings: pd.Series, width: int, fill: int) -> np.ndarray:
-    out = np.full((len(strings), max(width, 1)), fill, dtype=np.int64)
-    for i, s in enumerate(strings):
-        out[i, :len(s)] = np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
-    return out
 
-
-def align(ref: pd.Series, hyp: pd.Series, credit=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance, substitutions and matched credit of the chosen alignments.
-
-    All pairs advance together along anti-diagonals, so the work per step is
-    one array operation. Among equal distances a match or substitution is
-    preferred to a deletion and a deletion to an insertion, from the end of the
-    pair backwards. ``credit(i, j)`` gives an array added when words i and j match.
-    """
-    n, m = ref.str.len().to_numpy(int), hyp.str.len().to_numpy(int)
-    width, height = int(n.max(initial=0)), int(m.max(initial=0))
-    r, h = _codes(ref, width, -1), _codes(hyp, height, -2)
-    rows = np.arange(len(n))
-    shape = (len(n), width + 1)
-    kinds = 0 if credit is None else credit(np.zeros(1, int), np.zeros(1, int)).shape[-1]
-    final = [np.zeros(len(n), int), np.zeros(len(n), int), np.zeros((len(n), kinds), int)]
-
-    def blank():
-        return [np.zeros(shape, np.int64), np.zeros(shape, np.int64),
-                np.zeros((*shape, kinds), np.int64)]
-
-    older, old = blank(), blank()
-    for d in range(1, width + height + 1):
-        new = blank()
-        lo, hi = max(0, d - height), min(d, width)
-        i = np.arange(lo, hi + 1)
-        best = np.full((len(n), len(i)), 1 << 40, np.int64)
-        subs = np.zeros_like(best)
-        gain = np.zeros((*best.shape, kinds), np.int64)
-        both = (i >= 1) & (i <= d - 1)
-        a = i[both]
-        if len(a):
-            miss = (r[:, a - 1] != h[:, d - a - 1]).astype(np.int64)
-            best[:, both] = older[0][:, a - 1] + miss
-            subs[:, both] = older[1][:, a - 1] + miss
-            if kinds:
-                gain[:, both] = older[2][:, a - 1] + (1 - miss)[..., None] * credit(a - 1, d - a - 1)
-        for usable, source in ((i >= 1, i - 1), (i <= d - 1, i)):
-            cost = np.where(usable, old[0][:, np.maximum(source, 0)] + 1, 1 << 40)
-            take = cost < best
-            best = np.where(take, cost, best)
-            subs = np.where(take, old[1][:, np.maximum(source, 0)], subs)
-            if kinds:
-                gain = np.where(take[..., None], old[2][:, np.maximum(source, 0)], gain)
-        new[0][:, i], new[1][:, i], new[2][:, i] = best, subs, gain
-        done = rows[n + m == d]
-        for k in range(3):
-            final[k][done] = new[k][done, n[done]]
-        older, old = old, new
-    return tuple(final)
-
-
-def _blocks(ref: pd.Series, hyp: pd.Series, cells: int = 1 << 20):
-    """Positions of pairs of similar length, bounded in padded size."""
-    n = (ref.str.len() + hyp.str.len()).to_numpy(int)
-    order = np.argsort(n, kind="stable")
-    start = 0
-    while start < len(order):
-        stop = start + 1
-        while stop < len(order) and (stop - start + 1) * (n[order[stop]] + 1) <= cells:
-            stop += 1
-        yield order[start:stop]
-        start = stop
-
-
-@pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in COUNTS]))
-def _align_udf(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    ref, hyp = ref.fillna(""), hyp.fillna("")
-    out = np.zeros((len(ref), 4), int)
-    n, m = ref.str.len().to_numpy(int), hyp.str.len().to_numpy(int)
-    for at in _blocks(ref, hyp):
-        cost, subs, _ = align(ref.iloc[at], hyp.iloc[at])
-        dels = (cost - subs + n[at] - m[at]) // 2
-        out[at, 1], out[at, 2] = subs, dels
-        out[at, 3] = cost - subs - dels
-        out[at, 0] = n[at] - subs - dels
-    return pd.DataFrame(out, columns=list(COUNTS))
+@F.arrow_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in COUNTS]))
+def _align_udf(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    rows = [align(r, h) for r, h in pairs(ref, hyp)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(4)], list(COUNTS))
 
 
 def with_alignment(df: DataFrame, ref: Column, hyp: Column, out: str = "alignment") -> DataFrame:
@@ -155,42 +53,28 @@ def with_alignment(df: DataFrame, ref: Column, hyp: Column, out: str = "alignmen
     not copy the call once per field that is used of its result. Pairs that
     are equal or have an empty side are settled without it.
     """
-    df = df.withColumn("_pair", word_symbols(ref, hyp))
-    a, b = F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))
-    n, m = F.length(a), F.length(b)
-    plain = (a == b) | (n == 0) | (m == 0)
-    counts = {"hits": F.when(a == b, n).otherwise(0), "substitutions": F.lit(0),
+    df = df.withColumns({"_rw": ref, "_hw": hyp})
+    n, m = F.size("_rw"), F.size("_hw")
+    equal = F.col("_rw") == F.col("_hw")
+    plain = equal | (n == 0) | (m == 0)
+    counts = {"hits": F.when(equal, n).otherwise(0), "substitutions": F.lit(0),
               "deletions": F.when(m == 0, n).otherwise(0), "insertions": F.when(n == 0, m).otherwise(0)}
     settled = F.struct(*[counts[c].alias(c) for c in COUNTS])
-    return (df.withColumn(out, _align_udf.asNondeterministic()(F.when(~plain, a), F.when(~plain, b)))
-            .withColumn(out, F.when(plain, settled).otherwise(F.col(out))).drop("_pair"))
+    return (df.withColumn(out, _align_udf.asNondeterministic()(F.when(~plain, F.col("_rw")), F.when(~plain, F.col("_hw"))))
+            .withColumn(out, F.when(plain, settled).otherwise(F.col(out))).drop("_rw", "_hw"))
 
 
-@pandas_udf(T.ArrayType(T.StructType([
+@F.arrow_udf(T.ArrayType(T.StructType([
     T.StructField("language", T.StringType()), T.StructField("words", T.IntegerType()),
     T.StructField("tag_errors", T.IntegerType())])))
-def _tag_errors_udf(ref: pd.Series, hyp: pd.Series, ref_tags: pd.Series, hyp_tags: pd.Series) -> pd.Series:
-    ref_tags, hyp_tags = ref_tags.tolist(), hyp_tags.tolist()
-    code = {t: k for k, t in enumerate(sorted({t for tags in ref_tags for t in tags}))}
-    names, known = list(code), np.arange(len(code))
-    out = [[] for _ in range(len(ref))]
-    for at in _blocks(ref, hyp):
-        rt = np.full((len(at), max(ref.iloc[at].str.len().max(), 1)), -1)
-        ht = np.full((len(at), max(hyp.iloc[at].str.len().max(), 1)), -2)
-        for row, k in enumerate(at):
-            rt[row, :len(ref_tags[k])] = [code[t] for t in ref_tags[k]]
-            ht[row, :len(hyp_tags[k])] = [code.get(t, -3) for t in hyp_tags[k]]
-
-        def credit(i, j):
-            same = rt[:, i] == ht[:, j]
-            return (same[..., None] & (rt[:, i][..., None] == known)).astype(np.int64)
-
-        _, _, right = align(ref.iloc[at], hyp.iloc[at], credit)
-        total = (rt[..., None] == known).sum(axis=1)
-        for row, k in enumerate(at):
-            out[k] = [{"language": names[t], "words": int(total[row, t]), "tag_errors": int(total[row, t] - right[row, t])}
-                      for t in np.flatnonzero(total[row])]
-    return pd.Series(out)
+def _tag_errors_udf(ref: pa.Array, hyp: pa.Array, ref_tags: pa.Array, hyp_tags: pa.Array) -> pa.Array:
+    out = []
+    for (r, h), rt, ht in zip(pairs(ref, hyp), ref_tags, hyp_tags):
+        rt, ht, matched = rt.as_py() or [], ht.as_py() or [], []
+        align(r, h, matched)
+        words, right = Counter(rt), Counter(rt[i] for i, j in matched if rt[i] == ht[j])
+        out.append([{"language": t, "words": n, "tag_errors": n - right[t]} for t, n in words.items()])
+    return pa.array(out, pa.list_(pa.struct([("language", pa.string()), ("words", pa.int32()), ("tag_errors", pa.int32())])))
 
 
 def with_tag_errors(df: DataFrame, ref: str, hyp: str, out: str = "tags") -> DataFrame:
@@ -200,10 +84,7 @@ def with_tag_errors(df: DataFrame, ref: str, hyp: str, out: str = "tags") -> Dat
     substituted word counts as a tag error, as does a match with another tag.
     """
     r, h = (F.transform(F.col(s), lambda w: F.lower(w["word"])) for s in (ref, hyp))
-    return (df.withColumn("_pair", word_symbols(r, h))
-            .withColumn(out, _tag_errors_udf.asNondeterministic()(
-                F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1)), F.col(ref)["language"], F.col(hyp)["language"]))
-            .drop("_pair"))
+    return df.withColumn(out, _tag_errors_udf.asNondeterministic()(r, h, F.col(ref)["language"], F.col(hyp)["language"]))
 
 
 # --- verdicts ----------------------------------------------------------------

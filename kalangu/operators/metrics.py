@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kalangu import constants as C
+from kalangu.functions import edits as E
 from kalangu.functions import scoring as M
 from kalangu.functions import text as X
 from kalangu.operators.scale import floor_percentiles
@@ -48,7 +49,7 @@ def word_error_report(pairs: DataFrame, by: list[str] = (), mode: str = "tone_se
     texts = pairs.select(*by, X.scoring_text(F.col(ref), mode, once=True).alias("_r"),
                          X.scoring_text(F.coalesce(F.col(hyp), F.lit("")), mode, once=True).alias("_h"))
     scored = M.with_alignment(texts, X.words(F.col("_r")), X.words(F.col("_h")), "_a").select(
-        *by, "_a", F.levenshtein("_r", "_h").alias("_ce"), F.length("_r").alias("_cn"))
+        *by, "_a", E.errors(F.col("_r"), F.col("_h")).alias("_ce"), F.length("_r").alias("_cn"))
     names = ["hits", "substitutions", "deletions", "insertions"]
     total = {n: F.coalesce(F.sum(F.col("_a")[n]), F.lit(0)) for n in names}
     sums = scored.groupBy(*by).agg(
@@ -67,11 +68,11 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def error_rates(pairs: DataFrame, by: list[str] = (), ref: str = "ref", hyp: str = "hyp") -> DataFrame:
-    """Micro WER and CER without the split into kinds: native expressions only."""
+    """Micro WER and CER without the split into kinds."""
     scored = pairs.select(
         *by, M.word_distance(X.words(F.col(ref)), X.words(F.coalesce(F.col(hyp), F.lit("")))).alias("we"),
         X.word_count(F.col(ref)).alias("wn"),
-        F.levenshtein(F.col(ref), F.coalesce(F.col(hyp), F.lit(""))).alias("ce"), F.length(ref).alias("cn"))
+        E.errors(F.col(ref), F.coalesce(F.col(hyp), F.lit(""))).alias("ce"), F.length(ref).alias("cn"))
     return scored.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("we").alias("word_errors"), F.sum("wn").alias("ref_words"),
         F.sum("ce").alias("char_errors"), F.sum("cn").alias("ref_chars")).withColumns({

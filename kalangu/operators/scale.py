@@ -2,13 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from kalangu.functions.hashing import seeded_hash
 
+#: bits of a key filter at most, 8 MB
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str, most: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test that passes every value of ``keys[key]`` and few others: a Bloom filter of two bits a key.
+
+    It may be applied where a join would have to move costly rows; what passes
+    wrongly is left to a join of the results. The filter has about sixteen bits
+    a key, up to ``most``: with more keys it lets more through, never less.
+    """
+    hashes = keys.select(F.xxhash64(key).alias("h"))
+    size = min(most, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    cells = hashes.selectExpr(f"explode(array(h & {size - 1}L, shiftright(h, 32) & {size - 1}L)) AS cell")
+    rows = cells.selectExpr("shiftright(cell, 6) AS at", "shiftleft(1L, cast(cell & 63 AS int)) AS bit")
+    rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
+    words = np.zeros(size // 64, "u8")
+    words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view("u8")
+    bits = words.view("u1")
+
+    @F.arrow_udf("boolean")
+    def passes(hashed: pa.Array) -> pa.Array:
+        h = hashed.to_numpy(zero_copy_only=False)
+        found = np.ones(len(h), bool)
+        for cell in (h & (size - 1), (h >> 32) & (size - 1)):
+            found &= (bits[cell >> 3] >> (cell & 7).astype("u1")) & 1 == 1
+        return pa.array(found)
+
+    return lambda column: passes(F.xxhash64(column))
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kalangu import constants as C
 from kalangu.operators import filters as P
+from kalangu.operators.scale import key_filter
 from kalangu.session import fresh_path
 from kalangu.sources import manifests as MF
 from kalangu.sources import sinks
@@ -18,7 +19,7 @@ def curate(rows: DataFrame, key: str, level: str = "full", audio: DataFrame | No
            preprocessed: DataFrame | None = None, transcripts: DataFrame | None = None,
            limits: P.MetadataLimits = P.MetadataLimits(), audio_limits: P.AudioLimits = P.AudioLimits(),
            cap: int = 200, seed: int = 42, max_cer: float = 0.40, guardrails: dict | None = None,
-           stages: str | None = None) -> DataFrame:
+           stages: str | None = None, audio_version: str | None = None) -> DataFrame:
     """All rows with one result struct per pass that was asked for.
 
     A clip has a null result in the passes it did not reach, and a result in
@@ -29,24 +30,26 @@ def curate(rows: DataFrame, key: str, level: str = "full", audio: DataFrame | No
 
     ``audio`` has key, samples, sample_rate; ``preprocessed`` key and ok;
     ``transcripts`` key, hypothesis and detected_language, each with one row
-    per key. Samples are measured where they are scanned: only the key and the
-    result of a clip travel.
+    per key. Samples are measured where they are scanned, and only those of
+    clips that the passes before kept (a filter of their keys is applied to the
+    scan): only the key and the result of a clip travel.
 
     Between passes results are tables, below ``stages`` if it is given: a later
-    run on the same rows with the same limits starts from them. With
-    ``guardrails`` (pass: fail and warn share) a pass that rejected too much
-    raises before the next one starts.
+    run on the same rows with the same limits starts from them. Samples are not
+    read for that: give another ``audio_version`` when those of a key change.
+    With ``guardrails`` (pass: fail and warn share) a pass that rejected too
+    much, preprocessing included, raises before the next one starts.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, got {level!r}")
     below = stages or fresh_path(rows.sparkSession, "stages")
 
-    def stored(df: DataFrame, name: str, compute, *params: object) -> DataFrame:
+    def stored(df: DataFrame, name: str, compute, *params: object, known: DataFrame | None = None) -> DataFrame:
         if stages is None:
             path = f"{below}/{name}"
             compute(df).write.parquet(path)
             return df.sparkSession.read.parquet(path)
-        return sinks.stage(df, f"{below}/{name}", compute, params)
+        return sinks.stage(df, f"{below}/{name}", compute, params, known=known)
 
     def checked(df: DataFrame, passes: list[str]) -> DataFrame:
         if guardrails is not None:
@@ -64,7 +67,13 @@ def curate(rows: DataFrame, key: str, level: str = "full", audio: DataFrame | No
             F.struct(F.lit(None).cast("string").alias("error")).alias("details")).alias("preprocess"))
         out = _reached(out, ok, key, passes, "preprocess", "preprocess_failed")
         passes = [*passes, "preprocess"]
-    measured = stored(audio, "pass2", lambda df: P.audio_pass(df, audio_limits).select(key, "pass2"), audio_limits)
+        out = checked(out, passes)
+    wanted = kept_rows(out, passes).select(key)
+
+    def measure(df: DataFrame) -> DataFrame:
+        return P.audio_pass(df.filter(key_filter(wanted, key)(F.col(key))), audio_limits).select(key, "pass2")
+
+    measured = stored(audio, "pass2", measure, audio_limits, audio_version, known=wanted)
     out = _reached(out, measured, key, passes, "pass2", "corrupt_audio")
     passes = [*passes, "pass2"]
     out = checked(out, passes)

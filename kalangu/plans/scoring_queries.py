@@ -34,14 +34,38 @@ def _(spark, sf):
     return V.utterances(spark, sf).select("key", F.round(M.clip_cer(F.col("ref"), F.col("hyp_a")), 4).alias("cer"))
 
 
+# --- whole documents, up to tens of thousands of words each: too slow in SQL, tested against brute force -----------
+
 @query("whole_text_wer")
 def _(spark, sf):
-    """Word errors of whole documents, up to thousands of words each (too slow in SQL)."""
+    """Word errors of whole documents."""
     d = V.spread(V.clips(spark, sf)).select("doc_id", X.words(F.col("text")).alias("w"))
     d = d.select("doc_id", "w", V.hypothesis_a(F.col("w")).alias("a"))
     return d.filter(F.size("w") > 0).select("doc_id", M.word_distance(F.col("w"), F.col("a")).alias("errors"), F.size("w").alias("words"))
 
 
+@query("whole_text_cer")
+def _(spark, sf):
+    """Character errors of whole documents."""
+    return V.texts(spark, sf).select("doc_id", F.round(M.clip_cer(F.col("ref"), F.col("hyp")), 4).alias("cer"))
+
+
+@query("whole_text_alignment")
+def _(spark, sf):
+    """Hits, substitutions, deletions and insertions of whole documents."""
+    return M.with_alignment(V.texts(spark, sf), X.words(F.lower("ref")), X.words(F.lower("hyp")), "a").select("doc_id", "a.*")
+
+
+@query("whole_corpus_wer")
+def _(spark, sf):
+    return _report(R.word_error_report(V.texts(spark, sf)))
+
+
+@query("whole_wer_per_language")
+def _(spark, sf):
+    return _report(R.word_error_report(V.texts(spark, sf), ["language"]))
+
+
 # alignment counts by dynamic programming over lists; a cell packs cost, substitutions, deletions
 ALIGN_SQL = """pairs AS (SELECT key, list_transform(rw, lambda x: lower(x)) AS r, list_transform(aw, lambda x: lower(x)) AS h FROM utt),
     dp AS (SELECT key, r, h, list_reduce(list_prepend(
@@ -108,7 +132,7 @@ def _(spark, sf):
 # --- code-switched WER ------------------------------------------------------------------
 
 _TAGGED = r"""tw AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations),
-    tc AS (SELECT conv_id, turn, u, role, list_transform(ws[u*24+1:u*24+24], lambda x: x) AS w FROM (SELECT *, unnest(range(0, (len(ws)+23)//24)) AS u FROM tw)),
+    tc AS (SELECT conv_id, turn, role, ws AS w FROM tw WHERE len(ws) > 0),
     tp AS (SELECT *, list_transform(w, lambda x: lower(x)) AS r,
       list_transform(w, lambda x, i: CASE WHEN (i-1)%3=2 THEN 2 WHEN TRUE THEN 1 END) AS rt,
       list_transform(list_filter(list_transform(w, lambda x, i: CASE WHEN (i-1)%7=3 THEN NULL WHEN (i-1)%5=1 THEN 'x' ELSE x END), lambda x: x IS NOT NULL), lambda x: lower(x)) AS h,

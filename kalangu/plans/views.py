@@ -70,10 +70,15 @@ def utterances(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(hypothesis_b(F.col("w"), mode), " ").alias("hyp_b"))
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as one clip each, with a hypothesis of every document."""
+    c = spread(clips(spark, sf)).select("doc_id", "language", X.words(F.col("text")).alias("w"))
+    return c.select("doc_id", "language", F.array_join("w", " ").alias("ref"), F.array_join(hypothesis_a(F.col("w")), " ").alias("hyp"))
+
+
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation turns as tagged words: language alternates between role and 'mixed'."""
-    c = spread(table(spark, sf, "conversations")).select(
-        "conv_id", "turn", "role", F.posexplode(cut_words(X.words(F.col("text")))).alias("u", "w"))
+    """Whole conversation turns as tagged words: language alternates between role and 'mixed'."""
+    c = spread(table(spark, sf, "conversations")).select("conv_id", "turn", "role", X.words(F.col("text")).alias("w"))
 
     def tag(i: Column) -> Column:
         return F.when(i % 3 == 2, F.lit("mixed")).otherwise(F.col("role"))
@@ -82,7 +87,7 @@ def tagged(spark: SparkSession, sf: str) -> DataFrame:
     changed = F.transform("w", lambda x, i: F.when(i % 7 != 3, F.struct(
         F.when(i % 5 == 1, F.lit("x")).otherwise(x).alias("word"),
         F.when(i % 4 == 2, F.lit("other")).otherwise(tag(i)).alias("language"))))
-    return c.select("conv_id", "turn", "u", ref.alias("ref_tagged"),
+    return c.filter(F.size("w") > 0).select("conv_id", "turn", ref.alias("ref_tagged"),
                     F.filter(changed, lambda x: x.isNotNull()).alias("hyp_tagged"))
 
 

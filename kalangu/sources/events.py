@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kalangu import schema as S
 from kalangu.functions import text as X
+from kalangu.sources.lines import numbered
 
 # Fields of each event type after the envelope (fixed values).
 EVENT_FIELDS = {
@@ -24,12 +25,12 @@ EVENT_FIELDS = {
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Lenient scan: malformed and blank lines are skipped, a missing path is empty.
 
-    ``pos`` orders the lines of a file (byte block, then position in it), for
-    folds that follow file order among equal timestamps. Its leading bits come
-    from the name of the file, so the parts of one folder share no value.
+    ``pos`` is the number of a line over all files of the path, in their order
+    and that of the lines, for folds that follow file order among equal
+    timestamps.
     """
     try:
-        lines = spark.read.text(path)
+        lines = numbered(spark, path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -38,10 +39,10 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return _parsed(lines)
 
 
-def file_stem() -> Column:
-    """Name without extension of the file a row comes from; of a folder x.jsonl, as Spark writes it, the folder's."""
-    named = F.regexp_extract(X.plain_path(F.col("_metadata.file_path")), r"/([^/]+)\.jsonl(/|$)", 1)
-    return F.when(named != "", named).otherwise(F.regexp_replace(X.plain_path(F.col("_metadata.file_name")), r"\.[^.]+$", ""))
+def file_stem(path: Column) -> Column:
+    """Name without extension of a file; of a part of a folder x.jsonl, as Spark writes it, the folder's."""
+    named = F.regexp_extract(X.plain_path(path), r"/([^/]+)\.jsonl(/|$)", 1)
+    return F.when(named != "", named).otherwise(F.regexp_replace(F.regexp_extract(X.plain_path(path), r"([^/]*)$", 1), r"\.[^.]+$", ""))
 
 
 def stage_of(file: Column) -> Column:
@@ -49,11 +50,7 @@ def stage_of(file: Column) -> Column:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    # bits from the left: 22 of the file, 16 of the block in megabytes, 25 of the line in its task
-    of_file = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 22)) * F.lit(1 << 41)
-    of_block = F.pmod(F.floor(F.col("_metadata.file_block_start") / (1 << 20)), F.lit(1 << 16)) * F.lit(1 << 25)
-    rows = lines.select("value", file_stem().alias("file"), (
-        of_file + of_block + F.monotonically_increasing_id() % (1 << 25)).cast("long").alias("pos"))
+    rows = lines.select("value", file_stem(F.col("_file")).alias("file"), F.col("_place").alias("pos"))
     rows = rows.filter(X.strip(F.col("value")) != "")
     parsed = rows.withColumn("e", F.from_json("value", S.EVENT, {"mode": "PERMISSIVE"}))
     good = parsed.filter(F.json_object_keys("value").isNotNull())

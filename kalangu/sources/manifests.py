@@ -8,11 +8,7 @@ from pyspark.sql import types as T
 
 from kalangu import schema as S
 from kalangu.functions import text as X
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-            .filter(X.strip(F.col("value")) != ""))
+from kalangu.sources.lines import numbered
 
 
 def _defaults(row: str, schema: T.StructType) -> list[Column]:
@@ -27,14 +23,13 @@ def read_manifest(spark: SparkSession, path: str, extended: bool = False) -> Dat
     """Strict scan of a JSON Lines manifest.
 
     A line that is not JSON, lacks a required key or has an unknown one fails
-    the query with its file, hash and text. (A distributed scan has no line
-    numbers.) A missing path fails at once. ``extended`` admits the extension
-    columns.
+    the query and is named as path:line, with what is wrong and its text. A
+    missing path fails at once. ``extended`` admits the extension columns.
     """
     schema = S.MANIFEST_EXTENDED if extended else S.MANIFEST
     known = [f.name for f in schema.fields]
     with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    df = _lines(spark, path).withColumns({
+    df = numbered(spark, path).filter(X.strip(F.col("value")) != "").withColumns({
         "row": F.from_json("value", with_bad, {"columnNameOfCorruptRecord": "_bad"}),
         "keys": F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))})
     unknown = F.array_except("keys", F.array(*map(F.lit, known)))
@@ -43,7 +38,7 @@ def read_manifest(spark: SparkSession, path: str, extended: bool = False) -> Dat
                .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ",")))
                .when(F.size(unknown) > 0, F.concat(F.lit("unknown "), F.array_join(unknown, ","))))
     checked = df.withColumn("row", F.when(problem.isNull(), F.col("row")).otherwise(
-        F.raise_error(F.concat(F.col("_file"), F.lit(" "), F.md5(F.col("value").cast("binary")), F.lit(": "),
+        F.raise_error(F.concat(X.plain_path(F.col("_file")), F.lit(":"), F.col("_line").cast("string"), F.lit(": "),
                                problem, F.lit(": "), F.col("value"))).cast(with_bad)))
     return checked.select(*_defaults("row", schema))
 

@@ -49,16 +49,17 @@ def fingerprint(df: DataFrame, params: object = None) -> str:
 
 
 def stage(df: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], params: object = None,
-          dry_run: bool = False) -> DataFrame:
+          dry_run: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Result of ``compute(df)``, reused when stored for the same rows and parameters.
 
     Stored as Parquet under a fingerprint of all columns of the input and of
     ``params`` (whatever else the result depends on: limits, seeds, versions),
     so it outlives the session and the loss of executors. ``dry_run`` never
-    writes.
+    writes. ``known`` stands for ``df`` in the fingerprint, where reading that
+    would cost as much as the stage.
     """
     spark = df.sparkSession
-    where = f"{path.rstrip('/')}/{fingerprint(df, params)}"
+    where = f"{path.rstrip('/')}/{fingerprint(df if known is None else known, params)}"
     if not written(spark, f"{where}-done"):
         if dry_run:
             return compute(df)

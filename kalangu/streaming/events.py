@@ -23,7 +23,7 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.json(folder).filter(F.col("run_id").isNotNull() | F.col("type").isNotNull())
-    return lines.withColumn("file", file_stem()).withColumns(
+    return lines.withColumn("file", file_stem(F.col("_metadata.file_path"))).withColumns(
         {"run_id": F.coalesce("run_id", "file"), "stage_name": stage_of(F.col("file"))})
 
 

@@ -92,3 +92,46 @@ def test_samples_are_not_exchanged(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plans and not any("Exchange" in p or "Join" in p for p in plans)
+
+
+def counted(spark, keys):
+    """Clips whose waveforms count how often they are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def samples(key):
+        seen.add(1)
+        return [0.0] * 800 + [0.5, -0.5] * 7600
+
+    audio = spark.createDataFrame([(k,) for k in keys], "audio_path string").repartition(2)
+    return audio.select("audio_path", samples("audio_path").alias("samples"), F.lit(16000).alias("sample_rate")), seen
+
+
+def test_preprocessing_is_guarded_before_waveforms_are_read(spark):
+    rows = spark.createDataFrame(ROWS, DDL)
+    audio, seen = counted(spark, [r[0] for r in ROWS])
+    failed = rows.select("audio_path", F.lit(False).alias("ok"))
+    with pytest.raises(RuntimeError, match="preprocess rejected 100.0%"):
+        R.curate(rows, "audio_path", audio=audio, preprocessed=failed, guardrails={"preprocess": (1.0, None)}, level="audio")
+    assert seen.value == 0
+
+
+def test_waveforms_are_computed_once_and_for_kept_clips_only(spark, tmp_path):
+    rows = spark.createDataFrame([r if i < 4 else (*r[:2], 0.1, *r[3:]) for i, r in enumerate(ROWS)], DDL)  # eight are too short
+    audio, seen = counted(spark, [r[0] for r in ROWS])
+    out = R.curate(rows, "audio_path", audio=audio, level="audio", stages=str(tmp_path / "s"))
+    assert out.filter("pass2.keep").count() == 4 and seen.value == 4
+    again = R.curate(rows, "audio_path", audio=audio, level="audio", stages=str(tmp_path / "s"))
+    assert again.filter("pass2.keep").count() == 4 and seen.value == 4
+    R.curate(rows, "audio_path", audio=audio, level="audio", stages=str(tmp_path / "s"), audio_version="2")
+    assert seen.value == 8
+
+
+def test_key_filter_lets_every_key_through(spark):
+    from kalangu.operators.scale import key_filter
+
+    keys = spark.range(0, 3000, 3).selectExpr("cast(id AS string) AS k")
+    every = spark.range(9000).selectExpr("cast(id AS string) AS k")
+    for most, least in ((1 << 26, 8900), (64, 0)):
+        passed = {int(r.k) for r in every.filter(key_filter(keys, "k", most)(F.col("k"))).collect()}
+        assert passed >= set(range(0, 3000, 3)) and 9000 - len(passed) >= least - 1000

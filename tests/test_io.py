@@ -299,3 +299,29 @@ def test_thinning(spark):
     assert [r.step for r in P.thin_steps(df).orderBy("step").limit(3).collect()] == [1, 10, 20]
     assert P.thin_steps(df.withColumn("total_steps", F.lit(9))).count() == 1000
     assert P.thin_steps(df, 500).count() == 3
+
+
+def test_line_numbers_over_many_parts(spark, tmp_path):
+    from kalangu.sources.lines import numbered
+
+    for name, n in (("a", 900), ("b", 1), ("c", 400)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{k}{'x' * (k % 40)}\n" for k in range(1, n + 1)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = numbered(spark, str(tmp_path))
+        assert df.select("_start").distinct().count() > 8
+        rows = sorted((r._file, r._line, r._place, r.value) for r in df.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r[2] for r in rows] == list(range(1301))
+    assert all(r[3].rstrip("x") == f"{r[0][-7]}{r[1]}" for r in rows)
+
+
+def test_strict_scan_names_the_line(spark, tmp_path):
+    good = {"audio_path": "a", "duration": 1.0, "text": "t", "language": "en"}
+    lines(tmp_path / "m.jsonl", good, "", good, {**good, "odd": 1})
+    with pytest.raises(Exception, match=r"m\.jsonl:4: unknown odd"):
+        MF.read_manifest(spark, str(tmp_path / "m.jsonl")).collect()

@@ -240,3 +240,60 @@ def test_inventory_counts_bigrams(spark):
     df = spark.createDataFrame([("Shasha tsuntsu ɗan",)], "text string")
     got = {r.char: (r.n, r.in_inventory) for r in R.character_inventory(df, known=["sh", "ts", "ɗ"]).collect()}
     assert got == {"sh": (2, True), "ts": (2, True), "ɗ": (1, True)}
+
+
+def test_bands_and_stretches_change_nothing(monkeypatch):
+    """Distances, early stops and alignments with every size of band and stretch equal the whole table."""
+    from kalangu.functions import edits
+
+    rng = random.Random(3)
+    for _ in range(1500):
+        monkeypatch.setattr(edits, "BAND", rng.choice([1, 2, 5, 64]))
+        monkeypatch.setattr(edits, "KEPT", rng.choice([1, 50, 1 << 28]))
+        words = "abcdef"[:rng.choice([2, 3, 6])]
+        r = rng.choices(words, k=rng.randrange(25))
+        h = list(r) if rng.random() < 0.6 else rng.choices(words, k=rng.randrange(30))
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(h) + 1)
+            h[at:at + rng.randrange(2)] = rng.choices(words, k=rng.randrange(2))
+        want, matched = distance(r, h), []
+        assert edits.distance(r, h) == want and edits.align(r, h, matched) == alignment(r, h)
+        assert len(matched) == alignment(r, h)[0] and all(r[i] == h[j] for i, j in matched)
+        for limit in (0, 1, 3, 8):
+            got = edits.distance(r, h, limit)
+            assert got == want if want <= limit else got > limit
+
+
+def test_long_texts_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for n in (1, 30, 700, 1500):
+        r = [f"w{rng.randrange(200)}" for _ in range(n)]
+        h = [rng.choice(["x", w]) if rng.random() < 0.2 else w for w in r if rng.random() > 0.1] + ["y"] * (n % 7)
+        rows.append((n, " ".join(r), " ".join(h)))
+    df = spark.createDataFrame(rows, "i int, " + PAIR)
+    got = M.with_alignment(df, X.words(F.col("ref")), X.words(F.col("hyp")))
+    got = got.select("i", "alignment", M.word_distance(X.words(F.col("ref")), X.words(F.col("hyp"))).alias("d"),
+                     (M.clip_cer(F.substring("ref", 1, 900), F.substring("hyp", 1, 900)) * F.length(F.substring("ref", 1, 900))).alias("c"))
+    for r in got.collect():
+        ref, hyp = next((a, b) for i, a, b in rows if i == r.i)
+        assert tuple(r.alignment) == alignment(ref.split(), hyp.split()) and r.d == distance(ref.split(), hyp.split())
+        assert round(r.c) == distance(ref[:900], hyp[:900])
+
+
+def test_whole_corpus_report_equals_brute_force(spark):
+    from kalangu.plans import catalog, views
+
+    catalog.load()
+    sf = "/root/testdata/sf0.001"
+    texts = [r for r in views.texts(spark, sf).collect() if len(r.ref.split()) <= 250]
+    small = spark.createDataFrame([(r.language, r.ref, r.hyp) for r in texts], "language string, " + PAIR)
+    got = {r.language: (r.hits, r.substitutions, r.deletions, r.insertions) for r in R.word_error_report(small, ["language"], mode="tone_sensitive").collect()}
+    want = {}
+    for r in texts:
+        a = alignment(r.ref.lower().split(), r.hyp.lower().split())
+        want[r.language] = tuple(map(sum, zip(want.get(r.language, (0,) * 4), a)))
+    assert got == want
+    whole = catalog.QUERIES["whole_text_alignment"](spark, sf).collect()
+    errors = {r.doc_id: r.errors for r in catalog.QUERIES["whole_text_wer"](spark, sf).collect()}
+    assert len(whole) == 200 and all(r.substitutions + r.deletions + r.insertions <= errors.get(r.doc_id, 0) for r in whole)

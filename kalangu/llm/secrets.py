@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from math import log2
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ WORDS = 20_000
 LEAST_BITS = 45.0
 #: of the brute-force cost, for values that cannot reach the bits
 SHARE = 0.7
-#: a longer value is cut into parts of this length, whose costs add up
-PART = 128
+#: a repeat, walk or sequence may stop after so many blocks or characters, or where it ends of itself
+SHORT = 24
 
 _KEYS = ("password", "passwd", "secret", "token", "api_?key")
 _either = lambda word: re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", word)
@@ -43,7 +44,7 @@ _NAMES = ("password", "passwd", "passphrase", "passcode", "pass", "pwd", "secret
           "credentials", "bearer", "authorization")
 CONTEXT = re.compile(rf"(?<![A-Za-z])(?:{'|'.join(sorted(_NAMES, key=len, reverse=True))})"
                      r"(?:[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*|[ \t]+is[ \t]+|(?<=bearer)[ \t]+)[\"'`]?([^\s\"'`<>]{8,})")
-LINK = re.compile(r"://[^\s:/@]{1,64}:([^\s/@]{8,})@")
+LINK = re.compile(r"://[^\s:/@]+:([^\s/@]{8,})@")
 _HINT = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -74,14 +75,50 @@ def char_bits(c: str) -> float:
     return log2(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
+def _repeats(value: str) -> list[list[tuple[int, int]]]:
+    """For each place the blocks that stand there twice or more: (size, times), each block no repeat itself."""
+    codes, n = np.array(list(map(ord, value))), len(value)
+    out: list[list[tuple[int, int]]] = [[] for _ in value]
+    least, reach = np.full(n, n + 1), np.zeros(n, int)  # the smallest block of a place, and how far it goes on
+    for size in range(1, n // 2 + 1):
+        differ = np.flatnonzero(codes[:-size] != codes[size:])
+        if len(differ) == n - size:
+            continue
+        at = np.arange(n - size)
+        further = np.append(differ, n - size)[np.searchsorted(differ, at)] - at
+        found = (further >= size) & ~((size % least[:n - size] == 0) & (reach[:n - size] >= size))
+        for i in np.flatnonzero(found).tolist():
+            if not any(size % q == 0 and q * t >= size for q, t in out[i]):
+                out[i].append((size, 1 + int(further[i]) // size))
+        new = found & (least[:n - size] > n)
+        least[:n - size][new] = size
+        reach[:n - size][new] = further[new] + size
+    return out
+
+
+def _ends(start: int, last: int, least: int, step: int = 1) -> list[int]:
+    """Where a span that could go on to ``last`` may end: after a few steps, or there."""
+    ends = list(range(start + step * -(-least // step), min(last, start + step * SHORT) + 1, step))
+    return ends if not ends or ends[-1] == last else [*ends, last]
+
+
 def guess_bits(value: str, ranks: dict[str, int]) -> float:
     """The least number of bits that the value takes to guess, over all ways to cut it into parts."""
-    if len(value) > PART:
-        return sum(guess_bits(value[k:k + PART], ranks) for k in range(0, len(value), PART))
     n, low = len(value), _lower(value)
     plain = low.translate(_SHIFT)
     best = [0.0] + [float("inf")] * n
     dates = {m.start(): m.end() for m in _DATE.finditer(value)}
+    repeats = _repeats(value)
+    # where a walk over touching keys, and a sequence in steps of one or minus one, that starts at a place must end
+    walk, rise, fall = ([*range(1, n + 1)] for _ in range(3))
+    for i in range(n - 2, -1, -1):
+        if plain[i + 1] in NEAR.get(plain[i], ()):
+            walk[i] = walk[i + 1]
+        step = ord(low[i + 1]) - ord(low[i])
+        if low[i + 1].isalnum() and step == 1:
+            rise[i] = rise[i + 1]
+        elif low[i + 1].isalnum() and step == -1:
+            fall[i] = fall[i + 1]
     for i in range(n):
         here = best[i] + (2.0 if i else 0.0)
 
@@ -97,33 +134,23 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
                 reach(j, log2(rank + 1) + (0 if not upper else 1 if upper in (1, j - i) else j - i))
         if i in dates:
             reach(dates[i], log2(366 * 120) if dates[i] - i > 4 else log2(150))
-        # the same character again, or a block of two to eight again
-        for size in range(1, 9):
-            block, times = value[i:i + size], 1
-            while len(block) == size and value.startswith(block, i + size * times):
-                times += 1
-                if size * times >= 3:
-                    reach(i + size * times, sum(map(char_bits, block)) + log2(times))
-        # a walk over touching keys, each step one of about four, after the first in the same direction mostly
-        j = i + 1
-        while j < n and plain[j] in NEAR.get(plain[j - 1], ()):
-            j += 1
-            if j - i >= 3:
-                reach(j, log2(94) + log2(j - i) + 2.0 * _turns(plain[i:j]))
-        # characters in steps of one or minus one
-        for step in (1, -1):
-            j = i + 1
-            while j < n and ord(low[j]) - ord(low[j - 1]) == step and low[j].isalnum():
-                j += 1
-                if j - i >= 3:
-                    reach(j, log2(26) + log2(j - i) + 1)
+        # the same character or block again
+        for size, times in repeats[i]:
+            bits = sum(map(char_bits, value[i:i + size]))
+            for j in _ends(i, i + size * times, max(3, 2 * size), size):
+                reach(j, bits + log2((j - i) // size))
+        # a walk: each step one of about four, after the first in the same direction mostly
+        for j in _ends(i, walk[i], 3):
+            reach(j, log2(94) + log2(j - i) + 2.0 * _turns(plain[i:j]))
+        for last in (rise[i], fall[i]):
+            for j in _ends(i, last, 3):
+                reach(j, log2(26) + log2(j - i) + 1)
     return best[n]
 
 
 def _turns(walk: str) -> int:
-    steps = [(ord(a), ord(b)) for a, b in zip(walk, walk[1:])]
-    row = next((r for r in _ROWS if walk in r or walk[::-1] in r), None)
-    return 0 if row else len(steps) // 2 + 1
+    row = len(walk) <= max(map(len, _ROWS)) and any(walk in r or walk[::-1] in r for r in _ROWS)
+    return 0 if row else (len(walk) - 1) // 2 + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -155,7 +182,7 @@ def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BIT
         found += [m.span(1) for m in LINK.finditer(text)]
     for a, b in sorted(set(found)):
         b = a + len(text[a:b].rstrip(".,;:!?)]}"))
-        if b - a < 8 or any(s < b and a < e for s, e, _ in base):
+        if b - a < 8 or any(s <= a and b <= e for s, e, _ in base):
             continue
         bits = guess_bits(text[a:b], ranks)
         if is_secret(text[a:b], bits, least_bits, share):
@@ -164,8 +191,8 @@ def spans(text: str | None, ranks: dict[str, int], least_bits: float = LEAST_BIT
 
 
 def word_ranks(docs: DataFrame, text: str = "text", words: int = WORDS) -> dict[str, int]:
-    """Ranks of the ``words`` most frequent ASCII words of all texts, ties by the word."""
-    found = F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit("[a-z]{3,24}"), F.lit(0))
+    """Ranks of the ``words`` most frequent words of all texts, of any script, ties by the word."""
+    found = F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(r"\p{L}{3,24}"), F.lit(0))
     top = (docs.select(F.explode(found).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
            .orderBy(F.desc("n"), "w").limit(words))
     # through a table: collecting a sorted limit would send the first rows of every task to the driver
@@ -178,8 +205,9 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans", words: int = W
     """``docs`` with ``out``: array<struct<kind, start, end, bits>> by start, then kind.
 
     ``kind`` counts in the order of ``KINDS``; places are code points, end
-    exclusive; ``bits`` is set for guessed values only. Those of a pattern's
-    span are not named twice. Null and empty texts have no span. Every row
+    exclusive; ``bits`` is set for guessed values only. A value that lies within
+    a pattern's span is not named twice; one that goes beyond it is judged and
+    named as a whole. Null and empty texts have no span. Every row
     gives one row, other columns pass through, one named like ``out`` is
     replaced; an empty table gives an empty result.
     """

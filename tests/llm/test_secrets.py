@@ -100,3 +100,42 @@ def test_a_letter_that_grows_in_lower_case_hides_nothing():
     found = [text[s["start"]:s["end"]] for s in secrets.spans(text, RANKS) if s["kind"] == 3]
     assert found == ["x9$Lq2!vR7pZ", "Zk39dkWLQ02md8Xn", "İx9$Lq2!vR7pZ"]
     assert secrets.guess_bits("İ" + "summer", RANKS) < secrets.guess_bits("İ", RANKS) + 5
+
+
+def test_values_of_any_length_are_judged_whole():
+    assert secrets.spans("pwd: " + "*" * 640, RANKS) == secrets.spans("pwd: " + "*" * 128, RANKS) == []
+    assert secrets.guess_bits("monkey12" * 90, RANKS) < sum(map(secrets.char_bits, "monkey12")) + 7
+    assert secrets.guess_bits("*" * 20_000, RANKS) < 25 and secrets.guess_bits("qwerty" * 500 + "x9$Lq2!vR7pZ", RANKS) >= secrets.LEAST_BITS
+    block = "k7Qz!m2" * 2
+    assert secrets._repeats(block * 3)[0] == [(7, 6)] and secrets._repeats("aaaa") == [[(1, 4)], [(1, 3)], [(1, 2)], []]
+
+
+def test_repeats_equal_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        v = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 24)))
+        for i, got in enumerate(secrets._repeats(v)):
+            want = []
+            for size in range(1, len(v) // 2 + 1):
+                block, times = v[i:i + size], 1
+                while v.startswith(block, i + size * times):
+                    times += 1
+                whole = any(size % q == 0 and block == block[:q] * (size // q) for q in range(1, size))
+                if times > 1 and len(block) == size and not whole:
+                    want.append((size, times))
+            assert got == want, (v, i)
+
+
+def test_a_value_that_goes_beyond_a_pattern_is_found_whole():
+    text = "password=Tr0ub4dor&3$xK!pq and postgres://" + "u" * 80 + ":8fHs72kQpLmZ@host/"
+    found = [(s["kind"], text[s["start"]:s["end"]]) for s in secrets.spans(text, RANKS)]
+    assert found == [(0, "password=Tr0ub4dor"), (3, "Tr0ub4dor&3$xK!pq"), (3, "8fHs72kQpLmZ")]
+
+
+def test_words_of_any_script_have_ranks(spark):
+    df = spark.createDataFrame([("\u043f\u0440\u0438\u0432\u0435\u0442 " * 9 + "word",)], "text string")
+    ranks = secrets.word_ranks(df)
+    assert ranks == {"\u043f\u0440\u0438\u0432\u0435\u0442": 1, "word": 2}
+    assert secrets.spans("token: \u043f\u0440\u0438\u0432\u0435\u0442\u043f\u0440\u0438\u0432\u0435\u0442", ranks) == []

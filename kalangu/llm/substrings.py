@@ -12,7 +12,7 @@ anchors are hashed and compared over the corpus, three in seven positions.
 2. Anchors of the others meet by hash, each once per document; those found in
    more than one document stay.
 3. They are extended: every window that holds such an anchor is hashed as a
-   whole, meets by that hash, and goes if a smaller id has it.
+   whole, to 128 bits, meets by that hash, and goes if a smaller id has it.
 """
 
 from __future__ import annotations
@@ -44,53 +44,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-_BYTE = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype="u8")  # the same on every worker
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.empty(0, "u8"), np.empty(0, "u8")]
+_BASES = (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, from 0 to at least n."""
-    if len(_powers[0]) <= n:
-        size = 1 << (n + 1).bit_length()
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, b, "u8")
+def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2 ** 64, from 0 to at least n."""
+    if which not in _powers or len(_powers[which][0]) <= n:
+        both = []
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            steps = np.full(1 << (n + 1).bit_length(), b, "u8")
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+            both.append(np.multiply.accumulate(steps))
+        _powers[which] = tuple(both)
+    return _powers[which]
 
 
 def _word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word: differences of one running sum over the bytes, moved to the word's own start."""
+    """128 bits of XXH3 for each word, in two columns."""
+    from xxhash import xxh3_128_digest as digest
+
     raw, out, at = (text or "").encode(), [], 0
     while at < len(raw):
         end = at + BLOCK
         if end < len(raw):  # a block ends where a word does
             later = _SPACE_AT.search(raw, end)
             end = later.start() if later else len(raw)
-        block = np.frombuffer(raw, "u1", min(end, len(raw)) - at, at)
-        ink = np.zeros(len(block) + 2, bool)  # with white space on both sides
-        np.logical_not((block == 32) | (block - np.uint8(9) < 5), out=ink[1:-1])
-        edge = np.flatnonzero(ink[1:] != ink[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        power, inverse = _power(len(block))
-        total = np.zeros(len(block) + 1, "u8")
-        np.cumsum(_BYTE.take(block) * power[:len(block)], out=total[1:])
-        h = (total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype("u8")
-        h = (h ^ (h >> np.uint64(31))) * _ODD
-        out.append(h ^ (h >> np.uint64(29)))
+        out.append(np.frombuffer(b"".join(map(digest, raw[at:end].split())), "<u8").reshape(-1, 2))
         at = end
-    return np.concatenate(out) if out else np.empty(0, "u8")
+    return np.concatenate(out) if out else np.empty((0, 2), "u8")
+
 
+def runs(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """64 bits for each run of ``length`` hashed words, by its start: differences of one running sum.
 
-def runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``length`` words, by its start: again differences of one running sum."""
-    n = len(hashes) - length + 1
+    The words are hashed well and the runs are short, so no text can be made
+    whose runs collide. Both columns of the words together give 128 bits.
+    """
+    n = len(words) - length + 1
     if n <= 0:
         return np.empty(0, "u8")
-    power, inverse = _power(len(hashes))
-    total = np.concatenate((np.zeros(1, "u8"), np.cumsum(hashes * power[:len(hashes)], dtype="u8")))
+    power, inverse = _power(len(words), which)
+    total = np.concatenate((np.zeros(1, "u8"), np.cumsum(words[:, which] * power[:len(words)], dtype="u8")))
     h = (total[length:] - total[:-length]) * inverse[:n]
     h = (h ^ (h >> np.uint64(29))) * _ODD
     return h ^ (h >> np.uint64(31))
@@ -136,15 +131,18 @@ def _anchors(texts: pa.Array) -> pa.Array:
     return _lists([np.unique(_anchor_hashes(_word_hashes(t.as_py()))) for t in texts], pa.int64())
 
 
-@F.arrow_udf(ArrayType(LongType()))
+_RUN = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+
+@F.arrow_udf(ArrayType(_RUN))
 def _windows(texts: pa.Array, anchors: pa.Array) -> pa.Array:
-    """The different windows of each text that hold one of the given anchors."""
+    """The different windows of each text that hold one of the given anchors, 128 bits each."""
     rows = []
     for text, some in zip(texts, anchors):
-        words = _word_hashes(text.as_py()) if some.is_valid else np.empty(0, "u8")
+        words = _word_hashes(text.as_py()) if some.is_valid else np.empty((0, 2), "u8")
         n = len(words) - SPAN + 1
         if n < 1:
-            rows.append(np.empty(0, "i8"))
+            rows.append(np.empty((0, 2), "i8"))
             continue
         places = _cover(len(words) - ANCHOR + 1)
         places = places[np.isin(_anchor_hashes(words), some.values.to_numpy())]
@@ -152,16 +150,25 @@ def _windows(texts: pa.Array, anchors: pa.Array) -> pa.Array:
         for t in range(PERIOD):
             at = places - t
             wanted[at[(at >= 0) & (at < n)]] = True
-        rows.append(np.unique(runs(words, SPAN)[wanted]).view("i8"))
-    return _lists(rows, pa.int64())
+        found = np.stack([runs(words, SPAN, k)[wanted].view("i8") for k in (0, 1)], axis=1)
+        found = found[np.lexsort(found.T)]
+        rows.append(found[np.concatenate(([True], (found[1:] != found[:-1]).any(axis=1)))[:len(found)]])
+    both = np.concatenate([np.empty((0, 2), "i8"), *rows])
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["a", "b"])
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("i4"), values)
 
 
-def _removed(text: str | None, n: int, hashes: list[int] | None, whole: bool) -> np.ndarray:
+def _removed(text: str | None, n: int, hashes: pa.Scalar, whole: bool) -> np.ndarray:
     """Which words go: all, or those in a window of one of the given hashes."""
     gone = np.full(n, whole)
-    if hashes and not whole:
-        for at in np.flatnonzero(np.isin(runs(_word_hashes(text), SPAN).view("i8"), np.array(hashes, "i8"))).tolist():
-            gone[at:at + SPAN] = True
+    if hashes.is_valid and not whole:
+        words = _word_hashes(text)
+        one, two = (runs(words, SPAN, k).view("i8") for k in (0, 1))
+        a, b = (hashes.values.field(k).to_numpy() for k in (0, 1))
+        known = set(zip(a.tolist(), b.tolist()))
+        for at in np.flatnonzero(np.isin(one, a)).tolist():
+            if (int(one[at]), int(two[at])) in known:
+                gone[at:at + SPAN] = True
     return gone
 
 
@@ -193,7 +200,7 @@ def covered(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     gone = (_met(through_table(found, "windows")).filter(F.col("low") < F.col("id"))
             .groupBy("id").agg(F.collect_set("hash").alias("hashes")))
     return gone.select("id", "hashes", F.lit(False).alias("whole")).union(
-        copies.select("id", F.lit(None).cast("array<bigint>"), F.lit(True)))
+        copies.select("id", F.lit(None).cast(ArrayType(_RUN)), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: str = "deduplicated") -> DataFrame:
@@ -210,7 +217,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", out: st
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def keep(texts: pa.Array, hashes: pa.Array, whole: pa.Array) -> pa.Array:
         sizes, removed, kept = [], [], []
-        for t, h, w in zip(texts.to_pylist(), hashes.to_pylist(), whole.to_pylist()):
+        for t, h, w in zip(texts.to_pylist(), hashes, whole.to_pylist()):
             words = words_of(t)
             lost = _removed(t, len(words), h, bool(w))
             sizes.append(len(words))

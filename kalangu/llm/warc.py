@@ -16,9 +16,9 @@ size and digest of the response they refer to.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -154,24 +154,48 @@ def write(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", ht
      .option("maxRecordsPerFile", per_file).text(path))
 
 
+def inflated(archive: bytes) -> tuple[bytes, bool]:
+    """What can be read of the gzip members of an archive, and whether that is all; others as they are."""
+    if archive[:2] != b"\x1f\x8b":
+        return archive, True
+    out, rest = [], archive
+    while rest:
+        member, at = zlib.decompressobj(31), 0
+        try:
+            while at < len(rest) and not member.eof:
+                out.append(member.decompress(rest[at:at + (1 << 16)]))
+                at += 1 << 16
+        except zlib.error:
+            return b"".join(out), False
+        if not member.eof:
+            return b"".join(out), False
+        rest = member.unused_data + rest[at:]
+    return b"".join(out), True
+
+
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record of an archive, compressed or not."""
-    data = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
+    """Fields (names in lower case) and block of each record of an archive, compressed or not.
+
+    Of a damaged archive the records before the damage, then one of type
+    ``damaged`` that says where it is.
+    """
+    data, whole = inflated(archive)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+            break
         fields = {}
         for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.decode().partition(":")
+            name, _, value = line.decode(errors="replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        start = end + 4
-        at = start + int(fields["content-length"])
-        if data[at:at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record does not end at byte {at}")
-        yield fields, data[start:at]
-        at += 4
+        size, start = fields.get("content-length", ""), end + 4
+        if not size.isdecimal() or "warc-record-id" not in fields or data[start + int(size):start + int(size) + 4] != b"\r\n\r\n":
+            break
+        at = start + int(size) + 4
+        yield fields, data[start:at - 4]
+    if at < len(data) or not whole:
+        yield {"warc-type": "damaged", "warc-record-id": f"damaged:{hashlib.sha1(archive).hexdigest()}:{at}"}, b""
 
 
 _PARTS = pa.schema([("record", pa.string()), ("kind", pa.string()), ("page", pa.int64()), ("url", pa.string()), ("digest", pa.string()),
@@ -193,12 +217,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, page = f.get("warc-type"), f.get("warc-page-id")
             digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
             number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-            about = (int(page) if page else None, f.get("warc-target-uri"))
+            about = (int(page) if page and page.removeprefix("-").isdecimal() else None, f.get("warc-target-uri"))
             if kind == "response" and number is None:
                 size, digest, status = _checked(block, digest)
                 yield (f["warc-record-id"], kind, *about, digest, None, None, None, None, size, status)
             elif kind == "revisit":
                 yield (f["warc-record-id"], kind, *about, digest, f.get("warc-refers-to"), None, None, None, None, "ok")
+            elif kind == "damaged":
+                yield (f["warc-record-id"], kind, None, None, None, None, None, None, None, None, "truncated")
             elif kind in ("response", "continuation"):
                 yield (f.get("warc-segment-origin-id", f["warc-record-id"]), kind, *about, digest, None, int(number or 1),
                        int(total) if total else None, block, None, None)
@@ -230,8 +256,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     ``status`` is ok, missing segment, wrong length, broken framing, wrong
     digest or, for a revisit, no response; sizes are null where they cannot be
-    known. A record that comes twice is read once. An archive that is not one
-    fails the job. Files are read whole, so keep them to some ten megabytes, as
+    known. A record that comes twice is read once. A damaged archive gives its
+    records up to the damage and one row of record_type damaged and status
+    truncated; an empty file gives nothing. Files are read whole, so keep them to some ten megabytes, as
     ``write`` does.
     """
     files = spark.read.format("binaryFile").load(path).select("content")

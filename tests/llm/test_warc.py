@@ -94,3 +94,19 @@ def test_empty(spark):
 def test_other_columns_do_not_matter(spark):
     df = spark.createDataFrame([(1, "u", "a", "x", 1)], "page_id long, url string, html string, digest string, first int")
     assert around(spark, df)[0] == brute([(1, "a")])
+
+
+def test_a_damaged_archive_costs_no_other(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}</p>" * 50) for k in range(40)], "page_id bigint, url string, html string")
+    warc.write(pages.coalesce(1), str(tmp_path / "good"))
+    whole = next((tmp_path / "good").glob("*.gz")).read_bytes()
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all/a.warc.gz").write_bytes(whole)
+    data = gzip.decompress(whole)
+    for name, body in (("cut", whole[:len(whole) // 2]), ("plain", data[:len(data) // 2 + 7]), ("noise", b"\x1f\x8bnothing"), ("text", b"no archive"), ("empty", b"")):
+        (tmp_path / f"all/{name}.warc").write_bytes(body)
+    rows = warc.read(spark, str(tmp_path / "all")).collect()
+    good = [r for r in rows if r.record_type != "damaged"]
+    assert sorted(r.page_id for r in good) == list(range(40)) and {r.status for r in good} == {"ok"}
+    damaged = [r for r in rows if r.record_type == "damaged"]
+    assert len(damaged) == 4 and {r.status for r in damaged} == {"truncated"}, [(len(list(warc.parsed(p.read_bytes()))), p.name) for p in (tmp_path / "all").iterdir()]

@@ -177,7 +177,7 @@ def _(spark, sf):
     lines = d.select((k % 3).alias("session"), F.when(k % 7 == 0, "short line").otherwise(
         F.concat(F.lit(" utt_"), k.cast("string"), F.lit("\t12.5 "), code, F.lit(" extra"))).alias("value"))
     for n in range(3):
-        lines.filter(F.col("session") == n).select("value").coalesce(1).write.text(f"{root}/s{n}/x.lab")
+        lines.filter(F.col("session") == n).select("value").write.text(f"{root}/s{n}/x.lab")
     folder = X.plain_path(F.lit(root))
     audio = V.table(spark, sf, "labels").select(F.concat(folder, F.lit("/s"), (k % 3).cast("string"), F.lit("/sentences/wav/utt_"), k.cast("string"), F.lit(".wav")).alias("audio_path"))
     found = records.read_lab_labels(spark, root, audio, pattern="*.txt")
@@ -211,15 +211,15 @@ def _(spark, sf):
 
 
 def checkpoints(spark, sf):
-    """A file per source of the documents, in a folder per source."""
+    """A folder per source of the documents, in as many files as its size asks for."""
     path = fresh_path(spark, "checkpoints")
-    V.table(spark, sf, "documents").select("doc_id", "source").repartition("source").write.partitionBy("source").parquet(path)
+    V.table(spark, sf, "documents").select("doc_id", "source").hint("rebalance", "source").write.partitionBy("source").parquet(path)
     return path
 
 
 @query("file_inventory", "SELECT DISTINCT 'source=' || source AS stage, TRUE AS filled FROM documents")
 def _(spark, sf):
-    return records.read_files(spark, checkpoints(spark, sf), "*.parquet").select("stage", (F.col("size_bytes") > 0).alias("filled"))
+    return records.read_files(spark, checkpoints(spark, sf), "*.parquet").select("stage", (F.col("size_bytes") > 0).alias("filled")).distinct()
 
 
 @query("newest_files")

@@ -18,7 +18,7 @@ alone are joined, and most n-grams of most texts occur nowhere else.
 
 A posting list may hold a large group of near copies. First all members of a
 list are compared with one of them, that with most shared n-grams, and again
-with others as long as that finds links. Pairs of a list whose members are not
+with others as long as that finds many links. Pairs of a list whose members are not
 connected after that are compared all, behind the filters, so that no link
 between components is lost and a group gives about as many links as members.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kalangu.llm.components import components
 from kalangu.llm.phrases import Bitmap
-from kalangu.llm.simhash import SEED
+from kalangu.llm.simhash import _LOWER, SEED
 from kalangu.session import through_table
 
 PERCENT = 85
@@ -40,15 +40,25 @@ SHINGLE = 4
 CELLS = 128
 #: bits of a hash that an n-gram has as a key; lists may hold others, sets are compared by whole hashes
 KEY_BITS = 48
+#: members of every list that the others are compared with in a turn, as long as that adds one link to so many
+CENTRES, WORTH = 2, 20
 #: the bitmap of n-grams that come more than once: 8 MB at most
 BITS = 1 << 26
 _SET = "n:int,k1:bigint,k2:bigint"
 
 
-def _set_of(text: str | None, size: int) -> np.ndarray:
-    from kalangu.llm.similar import shingle_set
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The different XXH64 values of the word n-grams, sorted; words as in ``simhash.fingerprint``."""
+    from xxhash import xxh64_intdigest as digest
 
-    return shingle_set(text, size)
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())), "<u8", n))
 
 
 def set_print(hashes: np.ndarray) -> tuple[int, int]:
@@ -70,7 +80,7 @@ def sketch(text: Column, size: int) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         n, prints = [], []
         for t in texts:
-            s = _set_of(t.as_py(), size)
+            s = shingle_set(t.as_py(), size)
             n.append(len(s))
             prints.append(set_print(s))
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)]],
@@ -95,31 +105,35 @@ def halves(hashes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def _halves(text: Column, size: int, percent: int) -> Column:
     @F.arrow_udf(f"struct<{_SET},early:array<bigint>,late:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        sets = [_set_of(t.as_py(), size) for t in texts]
+        sets = [shingle_set(t.as_py(), size) for t in texts]
         prints = [set_print(s) for s in sets]
         split = [halves(s, percent) for s in sets]
         return pa.StructArray.from_arrays(
             [pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)],
              *[_lists([x[k] for x in split], "i8") for k in (0, 1)]], ["n", "k1", "k2", "early", "late"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def _whole(text: Column, size: int) -> Column:
     @F.arrow_udf(f"struct<{_SET},hashes:array<bigint>,cells:array<int>>")
     def run(texts: pa.Array) -> pa.Array:
-        sets = [_set_of(t.as_py(), size) for t in texts]
+        sets = [shingle_set(t.as_py(), size) for t in texts]
         prints = [set_print(s) for s in sets]
         cells = [np.bincount((s >> np.uint64(1)).astype("i8") % CELLS, minlength=CELLS).astype("i4") for s in sets]
         return pa.StructArray.from_arrays(
             [pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)],
              _lists([s.view("i8") for s in sets], "i8"), _lists(cells, "i4")], ["n", "k1", "k2", "hashes", "cells"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def _of_sets(docs: DataFrame, sets: DataFrame, made: Column, fields: list[str]) -> DataFrame:
-    """``fields`` of ``made`` for each of the sets, from the text of its smallest id; an id may have other texts besides."""
+    """``fields`` of ``made`` for each of the sets, from the text of its smallest id; an id may have other texts besides.
+
+    ``made`` says that it is not deterministic, though it is, so that it is not
+    called a second time as a key of the join.
+    """
     wanted = sets.select(F.col("least").alias("id"), "node", F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     read = docs.join(wanted, "id").select("node", "__k1", "__k2", made.alias("s"))
     return read.filter((F.col("s.k1") == F.col("__k1")) & (F.col("s.k2") == F.col("__k2"))).select("node", "s.n", *[f"s.{f}" for f in fields])
@@ -130,12 +144,21 @@ def _overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
-def _fits(x: str, y: str, percent: int) -> Column:
-    """Length and positional filters for the first shared n-gram of a pair of postings."""
-    n = lambda c: F.col(f"{c}n")
-    rest = lambda c: F.col(f"{c}n") - F.col(f"{c}pos")
-    return ((F.least(n(x), n(y)) * 100 >= percent * F.greatest(n(x), n(y)))
-            & (F.least(rest(x), rest(y)) >= _overlap(n(x), n(y), percent)))
+def _near(percent: int) -> Column:
+    """Length filter of two sets x and y."""
+    return F.least("xn", "yn") * 100 >= percent * F.greatest("xn", "yn")
+
+
+def _fits(percent: int) -> Column:
+    """Length and positional filters for the first shared n-gram of two sets x and y."""
+    rest = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
+    return _near(percent) & (rest >= _overlap(F.col("xn"), F.col("yn"), percent))
+
+
+def _suffix(percent: int) -> Column:
+    """Suffix filter: what the classes of two sets x and y can share at most."""
+    most = F.aggregate(F.zip_with("xcells", "ycells", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
+    return most >= _overlap(F.col("xn"), F.col("yn"), percent)
 
 
 def _postings(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -166,6 +189,12 @@ def prefix_(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / 100).cast("int") + 1
 
 
+def _centres(turn: int) -> list[Column]:
+    member = [F.col("node").alias("ynode"), F.col("n").alias("yn"), F.col("root").alias("yroot")]
+    ranks = [F.xxhash64("node", "h", F.lit(turn), F.lit(k)) for k in range(CENTRES)] if turn else [-F.col("weight")]
+    return [F.min_by(F.struct(*member), F.struct(rank, "node")).alias(f"c{k}") for k, rank in enumerate(ranks)]
+
+
 def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that have the similarity."""
     x, y = held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), held.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
@@ -196,29 +225,32 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, hints: Data
     held = through_table(_of_sets(docs, sets.join(wanted, "node", "left_semi"), _whole(F.col("text"), size), ["hashes", "cells"])
                          .dropDuplicates(["node"]), "held")
     postings = through_table(postings.drop("held").join(weights, "node"), "weighted")
-    found, turn = _verified(tested, held, percent), 0
+    cells = lambda x: held.select(F.col("node").alias(f"{x}node"), F.col("cells").alias(f"{x}cells"))
+    found, turn, more = _verified(tested, held, percent), 0, True
+    known = found.count()
     while True:
-        roots = components(found)
-        placed = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = postings.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = through_table(placed, "placed")
-        rank = -F.col("weight") if not turn else F.xxhash64("node", F.lit(turn))
-        centre = F.min(F.struct(rank, F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("pos").alias("cpos"), F.col("root").alias("croot")))
-        open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre.alias("c")).filter("low != high")
-        open_ = through_table(open_.select("h", "c.cnode", "c.cn", "c.cpos", "c.croot"), "open")
-        stars = placed.join(open_, "h").filter((F.col("root") != F.col("croot")) & _fits("", "c", percent))
-        stars = through_table(stars.select(*_pair("node", "cnode")).distinct().join(tested, ["a", "b"], "left_anti"), "stars")
-        new = _verified(stars, held, percent)
-        tested = tested.union(stars)
-        turn += 1
-        if new.isEmpty():
+        # first the member of most shared n-grams, then some others of every list
+        open_ = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), *_centres(turn)).filter("low != high")
+        open_ = open_.select("h", F.explode(F.array_distinct(F.array([c for c in open_.columns if c[0] == "c"]))).alias("c"))
+        open_ = through_table(open_.select("h", "c.ynode", "c.yn", "c.yroot"), "open")
+        if not more:
             break
-        found = found.union(new)
-    rows = placed.join(open_.select("h"), "h", "left_semi").join(held.select("node", "cells"), "node")
-    x = rows.select("h", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root", "cells")])
-    y = rows.select("h", *[F.col(c).alias(f"y{c}") for c in ("node", "n", "pos", "root", "cells")])
-    lesser = F.aggregate(F.zip_with("xcells", "ycells", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
-    rest = x.join(y, (x["h"] == y["h"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & _fits("x", "y", percent)
-                  & (lesser >= _overlap(F.col("xn"), F.col("yn"), percent)))
+        x = placed.select("h", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
+        # wherever the n-gram stands: any member may do
+        stars = x.join(open_, "h").filter((F.col("xroot") != F.col("yroot")) & _near(percent))
+        stars = stars.select("xnode", "xn", "ynode", "yn").distinct().join(cells("x"), "xnode").join(cells("y"), "ynode")
+        stars = stars.filter(_suffix(percent)).select(*_pair("xnode", "ynode")).distinct()
+        stars = through_table(stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        new = _verified(stars, held, percent)
+        tested, found, turn = tested.union(stars), found.union(new), turn + 1
+        # what a turn finds: as long as it is much, the lists still hold large groups that belong together
+        more = new.count() * WORTH > known
+        known += new.count()
+    rows = placed.join(open_, "h", "left_semi").join(held.select("node", "cells"), "node")
+    x, y = (rows.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root", "cells")]) for s in "xy")
+    rest = x.join(y, (x["h"] == y["h"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & _fits(percent) & _suffix(percent))
     rest = through_table(rest.select(*_pair("xnode", "ynode")).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     return found.union(_verified(rest, held, percent))
 

@@ -2,14 +2,16 @@
 
 Words are numbered, hashed and laid out as one sequence; prefix polynomials
 over it give the fingerprint of every n-gram as a difference, in numpy. The
-shuffle sees fingerprints with counts, a second hash and one occurrence
-pointer; only fingerprints that are frequent become text, read at their pointer.
+shuffle sees fingerprints and counts, with occurrence pointers where they are
+frequent; only those become text, read from the document pointed at.
 
 A phrase can be frequent only if all its parts are. So words are counted first,
-then pairs of frequent words, then longer runs of frequent pairs. What is
-frequent goes to the tasks as a bitmap of at most ``BITS`` bits; a bit that
-several fingerprints share lets an n-gram through that the exact count drops
-later, so the bitmap saves work and decides nothing.
+then pairs of frequent words, then longer runs of frequent pairs, each by
+``CELL_BITS`` bits of the fingerprint alone. What is frequent goes to the tasks
+as a bitmap of at most ``BITS`` bits; an n-gram that passes without being
+frequent is dropped by the exact count later, so cells and bitmap save work and
+decide nothing. A last pass counts what passes by whole fingerprints, with a
+second hash and a pointer.
 
 A fingerprint whose occurrences differ in the second hash stands for several
 phrases: its occurrences are read again and counted by their text.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,17 @@ LEAST = 100
 FIRST = 2000
 #: size of a bitmap of frequent fingerprints: 16 MB at most
 BITS = 1 << 27
+#: bits of a fingerprint that are counted before it is known to be frequent
+CELL_BITS = 40
 #: words that are laid out together
 CHUNK = 400_000
-#: A-Z in lower case, tabs as spaces, the characters that end a piece as line feeds
-_FORM = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
-_TOKEN = re.compile(rb"[^ \n]+|\n")
+#: bytes of a text that are split at once
+WHOLE = 1 << 20
+#: the end of a piece, a byte that no text holds
+END = b"\xff"
+#: A-Z in lower case, tabs as spaces, the characters that end a piece as one
+_FORM = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
+_TOKEN = re.compile(rb"[^ \xff]+|\xff")
 _BASES = (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15)
 _SEED = 42
 
@@ -62,18 +70,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(words: np.ndarray, length: int, which: int, salt: np.ndarray | int) -> np.ndarray:
-    """64 bits for each run of ``length`` words by its start: differences of prefix polynomials, moved to the start.
+def prefixes(words: np.ndarray, which: int) -> np.ndarray:
+    """Prefix polynomials of hashed words."""
+    total = np.zeros(len(words) + 1, "u8")
+    np.cumsum(words * _powers()[which][0][:len(words)], out=total[1:])
+    return total
+
+
+def fingerprints(total: np.ndarray, at: np.ndarray, length: int, which: int, salt: np.ndarray | np.uint64) -> np.ndarray:
+    """64 bits for each run of ``length`` words that starts ``at``: differences of prefixes, moved to the start.
 
-    ``words`` are hashes; ``salt`` tells languages apart.
+    ``salt`` tells languages apart.
     """
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.empty(0, "u8")
-    power, inverse = _powers()[which]
-    total = np.zeros(len(words) + 1, "u8")
-    np.cumsum(words * power[:len(words)], out=total[1:])
-    return _mixed((total[length:] - total[:-length]) * inverse[:n] + salt + np.uint64(length))
+    return _mixed((total[at + length] - total[at]) * _powers()[which][1][at] + salt + np.uint64(length))
 
 
 @lru_cache(maxsize=1024)
@@ -86,19 +95,17 @@ def salt_of(lang: str) -> int:
 class Chunk:
     """Consecutive words of some texts, piece ends between them."""
 
-    def __init__(self, tokens: list[bytes], doc: np.ndarray, place: np.ndarray, fresh: int):
-        from xxhash import xxh3_128_intdigest as digest
+    def __init__(self, tokens: list[bytes], doc: np.ndarray, fresh: int):
+        from xxhash import xxh3_128_digest as digest
 
         different = dict.fromkeys(tokens)
         self.words = list(different)
-        for k, w in enumerate(self.words):
-            different[w] = k
+        different = dict(zip(self.words, range(len(self.words))))
         self.ids = np.fromiter(map(different.__getitem__, tokens), "i4", len(tokens))
-        parts = np.array([[(d := digest(w, _SEED)) >> 64, d & 0xFFFFFFFFFFFFFFFF] for w in self.words], "u8").reshape(-1, 2)
-        self.hashes = [np.ascontiguousarray(parts[:, k])[self.ids] for k in (0, 1)]
-        stop = different.get(b"\n", -1)
-        self.ends = np.concatenate(([0], np.cumsum(self.ids == stop)))
-        self.doc, self.place, self.fresh = doc, place, fresh
+        parts = np.frombuffer(b"".join(map(partial(digest, seed=_SEED), self.words)), "u8").reshape(-1, 2)
+        self.totals = [prefixes(np.ascontiguousarray(parts[:, k])[self.ids], k) for k in (0, 1)]
+        self.ends = np.concatenate(([0], np.cumsum(self.ids == different.get(END, -1))))
+        self.doc, self.fresh = doc, fresh
 
     def starts(self, length: int) -> np.ndarray:
         """Starts of the runs that hold no piece end and were not in the chunk before."""
@@ -106,68 +113,71 @@ class Chunk:
         whole[:max(0, self.fresh - length + 1)] = False
         return np.flatnonzero(whole)
 
+    def prints(self, at: np.ndarray, length: int, salts: np.ndarray, which: int = 0) -> np.ndarray:
+        return fingerprints(self.totals[which], at, length, which, salts[self.doc[at]])
+
     def text(self, start: int, length: int) -> bytes:
         return b" ".join(self.words[k] for k in self.ids[start:start + length].tolist())
 
 
+def tokens_of(text: str) -> Iterator[list[bytes]]:
+    """Words and piece ends of a text, in lists of bounded size."""
+    raw = text.encode().translate(_FORM)
+    if len(raw) <= WHOLE:
+        yield raw.replace(END, b" \xff ").split()
+        return
+    stream = _TOKEN.finditer(raw)
+    while some := [m.group() for _, m in zip(range(CHUNK // 4), stream)]:
+        yield some
+
+
 def chunks(texts: list[str | None]) -> Iterator[Chunk]:
     """The tokens of the texts in chunks; a chunk begins with the last words of the one before, ``fresh`` in number."""
     tokens: list[bytes] = []
     docs: list[int] = []
     sizes: list[int] = []
-    first, fresh = 0, 0
-
-    def made() -> Chunk:
-        sizes_ = np.array(sizes)
-        doc = np.repeat(np.array(docs), sizes_)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_)
-        place[:sizes[0]] += first
-        return Chunk(tokens, doc, place, fresh)
-
+    fresh = 0
     for k, text in enumerate(texts):
-        if not text:
-            continue
-        stream = _TOKEN.finditer(text.encode().translate(_FORM))
-        size, more = 0, True
-        while more:
-            room = max(1, CHUNK - 1 - len(tokens))
-            new = [m.group() for _, m in zip(range(room), stream)]
-            more = len(new) == room
-            tokens += new
-            size += len(new)
-            if more:
+        for new in tokens_of(text or ""):
+            while new:
+                room = CHUNK - len(tokens)
+                tokens += new[:room]
                 docs.append(k)
-                sizes.append(size)
-                yield made()
-                kept = min(LONGEST - 1, size)
-                first = (first if len(docs) == 1 else 0) + size - kept
-                tokens, docs, sizes, size, fresh = tokens[-kept:], [], [], kept, kept
-        tokens.append(b"\n")
-        docs.append(k)
-        sizes.append(size + 1)
-        if len(tokens) >= CHUNK:
-            yield made()
-            tokens, docs, sizes, first, fresh = [], [], [], 0, 0
-    if tokens:
-        yield made()
+                sizes.append(min(room, len(new)))
+                new = new[room:]
+                if len(tokens) == CHUNK:
+                    yield Chunk(tokens, np.repeat(np.array(docs), np.array(sizes)), fresh)
+                    fresh = LONGEST - 1
+                    tokens, kept = tokens[-fresh:], np.repeat(np.array(docs), np.array(sizes))[-fresh:]
+                    docs, sizes = kept.tolist(), [1] * fresh
+        if tokens and len(tokens) < CHUNK:
+            tokens.append(END)
+            docs.append(k)
+            sizes.append(1)
+    if len(tokens) > fresh:
+        yield Chunk(tokens, np.repeat(np.array(docs), np.array(sizes)), fresh)
 
 
 class Bitmap:
-    """Fingerprints as bits of their low digits; may say yes for others."""
+    """Fingerprints as two bits each, by their low ``CELL_BITS``; may say yes for others."""
 
     def __init__(self, frequent: DataFrame, most: int = BITS):
         n = frequent.count()
         self.size = min(most, max(1 << 16, 1 << (16 * n).bit_length()))
-        cell = f"(fp & {self.size - 1}L)"
-        rows = frequent.selectExpr(f"shiftright({cell}, 6) AS at", f"shiftleft(1L, cast({cell} & 63 AS int)) AS bit")
+        self.shift = CELL_BITS - self.size.bit_length() + 1
+        self.bits = np.zeros(self.size // 8, "u1")
+        # the second probe takes the high digits of the low ones
+        cells = frequent.selectExpr(f"explode(array(fp & {self.size - 1}L, shiftright(fp & {(1 << CELL_BITS) - 1}L, {self.shift}))) AS cell")
+        rows = cells.selectExpr("shiftright(cell, 6) AS at", "shiftleft(1L, cast(cell & 63 AS int)) AS bit")
         rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # size / 64 rows at most
-        words = np.zeros(self.size // 64, "u8")
-        words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view("u8")
-        self.bits = words.view("u1")
+        self.bits.view("u8")[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view("u8")
 
     def has(self, fp: np.ndarray) -> np.ndarray:
-        cell = (fp & np.uint64(self.size - 1)).astype("i8")
-        return (self.bits[cell >> 3] >> (cell & 7).astype("u1")) & 1 == 1
+        found = np.ones(len(fp), bool)
+        for cell in (fp & np.uint64(self.size - 1), (fp & np.uint64((1 << CELL_BITS) - 1)) >> np.uint64(self.shift)):
+            cell = cell.astype("i8")
+            found &= (self.bits[cell >> 3] >> (cell & 7).astype("u1")) & 1 == 1
+        return found
 
 
 def _langs(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
@@ -175,126 +185,141 @@ def _langs(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
     return names, np.array([salt_of(x) for x in names], "u8")
 
 
-def occurrences(docs: DataFrame, lengths: tuple[int, ...], parts: Bitmap | None, bits: int = 64) -> DataFrame:
-    """(lang, words, fp, n, low, high, id, place) of the n-grams of a chunk: count, range of the second hash, one pointer.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, Chunk]]:
+    for batch in batches:
+        langs, salts = _langs(batch)
+        for c in chunks(batch.column("text").to_pylist()):
+            yield batch, langs, salts, c
+
+
+def _sound(c: Chunk, lengths: tuple[int, ...], salts: np.ndarray, parts: Bitmap | None, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of the runs all of whose parts, one word shorter than the least length, are in ``parts``."""
+    missed, of = None, min(lengths) - 1
+    if parts is not None:
+        at = c.starts(of) if not c.fresh else np.arange(len(c.ids) - of + 1)
+        known = np.zeros(max(0, len(c.ids) - of + 1), bool)
+        known[at] = parts.has(c.prints(at, of, salts) & np.uint64((1 << bits) - 1))
+        missed = np.concatenate(([0], np.cumsum(~known)))
+    for length in lengths:
+        at = c.starts(length)
+        yield length, at if missed is None else at[missed[at + length - of + 1] == missed[at]]
+
+
+def cells(docs: DataFrame, lengths: tuple[int, ...], parts: Bitmap | None, least: int, bits: int = 64) -> DataFrame:
+    """(fp): the low ``CELL_BITS`` of the fingerprints of n-grams, where they come ``least`` times."""
+    mask = np.uint64((1 << min(bits, CELL_BITS)) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, salts, c in _chunks(batches):
+            for length, at in _sound(c, lengths, salts, parts, bits):
+                fp, n = np.unique(c.prints(at, length, salts) & mask, return_counts=True)
+                if len(fp):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view("i8")), pa.array(n)], ["fp", "n"])
+
+    return docs.mapInArrow(run, "fp bigint, n bigint").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("fp")
+
 
-    With ``parts``, only n-grams all of whose parts are in it: words for pairs,
-    pairs for longer ones.
+def occurrences(docs: DataFrame, frequent: Bitmap, bits: int = 64) -> DataFrame:
+    """(lang, words, fp, n, low, high, id): count, range of the second hash and a document, of n-grams that may be ``frequent``.
+
+    Rows of no words count all words of a language.
     """
-    fields = f"lang string, words int, fp bigint, n bigint, low bigint, high bigint, id {docs.schema['id'].dataType.simpleString()}, place int"
-    names = [f.split()[0] for f in fields.split(", ")]
-    mask = np.uint64((1 << bits) - 1)
+    fields = f"lang string, words int, fp bigint, n bigint, low bigint, high bigint, id {docs.schema['id'].dataType.simpleString()}"
+    names, mask = [f.split()[0] for f in fields.split(", ")], np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, salts = _langs(batch)
-            lang_column, ids = pa.array(langs, pa.string()), batch.column("id")
-            for c in chunks(batch.column("text").to_pylist()):
-                salt = salts[c.doc]
-                known = None
-                if parts is not None:
-                    of = min(lengths) - 1
-                    known = parts.has(fingerprints(c.hashes[0], of, 0, salt[:max(0, len(salt) - of + 1)]) & mask)
-                    known = np.concatenate(([0], np.cumsum(~known)))
-                for length in lengths:
-                    at = c.starts(length)
-                    if known is not None:
-                        at = at[known[at + length - of + 1] == known[at]]
-                    if not len(at):
-                        continue
-                    n = len(salt) - length + 1
-                    fp = fingerprints(c.hashes[0], length, 0, salt[:n])[at] & mask
-                    check = fingerprints(c.hashes[1], length, 1, salt[:n])[at].view("i8")
-                    order = np.argsort(fp, kind="stable")
-                    fp, check, at = fp[order], check[order], at[order]
-                    own = salt[at]  # languages are told apart even where fingerprints meet
-                    first = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (own[1:] != own[:-1]))))
-                    doc = c.doc[at[first]]
-                    yield pa.RecordBatch.from_arrays([
-                        lang_column.take(pa.array(doc)), pa.array(np.full(len(first), length, "i4")), pa.array(fp[first].view("i8")),
-                        pa.array(np.diff(np.append(first, len(fp)))), pa.array(np.minimum.reduceat(check, first)),
-                        pa.array(np.maximum.reduceat(check, first)), ids.take(pa.array(doc)),
-                        pa.array(c.place[at[first]].astype("i4"))], names)
-
-    return docs.mapInArrow(run, fields)
-
-
-def counted(found: DataFrame) -> DataFrame:
-    pointer = F.min(F.struct(F.col("id").isNull(), "id", "place")).alias("pointer")
-    return found.groupBy("lang", "words", "fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), pointer)
+        for batch, langs, salts, c in _chunks(batches):
+            lang_column, known = pa.array(langs, pa.string()), None
+            words = np.bincount(c.doc[c.starts(1)], minlength=len(langs))
+            here = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([
+                lang_column.take(pa.array(here)), pa.array(np.zeros(len(here), "i4")), pa.array(np.zeros(len(here), "i8")), pa.array(words[here]),
+                pa.array(np.zeros(len(here), "i8")), pa.array(np.zeros(len(here), "i8")), batch.column("id").take(pa.array(here))], names)
+            for length in range(1, LONGEST + 1):
+                # a run may be frequent if what it begins and ends with may; those within the overlap were counted before
+                within = c.ends[length:] == c.ends[:-length]
+                at = np.flatnonzero(within if known is None else within & known[:-1] & known[1:])
+                fp = c.prints(at, length, salts) & mask
+                passed = frequent.has(fp)
+                at, fp = at[passed], fp[passed]
+                known = np.zeros(max(0, len(c.ids) - length + 1), bool)
+                known[at] = True
+                new = at >= c.fresh - length + 1
+                at, fp = at[new], fp[new]
+                if not len(at):
+                    continue
+                check = c.prints(at, length, salts, 1).view("i8")
+                own = salts[c.doc[at]]  # languages are told apart even where fingerprints meet
+                order = np.lexsort((own, fp))
+                fp, check, at, own = fp[order], check[order], at[order], own[order]
+                first = np.flatnonzero(np.concatenate(([True], (fp[1:] != fp[:-1]) | (own[1:] != own[:-1]))))
+                doc = pa.array(c.doc[at[first]])
+                yield pa.RecordBatch.from_arrays([
+                    lang_column.take(doc), pa.array(np.full(len(first), length, "i4")), pa.array(fp[first].view("i8")),
+                    pa.array(np.diff(np.append(first, len(fp)))), pa.array(np.minimum.reduceat(check, first)),
+                    pa.array(np.maximum.reduceat(check, first)), batch.column("id").take(doc)], names)
+
+    found = docs.mapInArrow(run, fields).groupBy("lang", "words", "fp")
+    return found.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("id").alias("id"))
+
+
+def _spelled(c: Chunk, langs: list[str], salts: np.ndarray, bits: int, wanted, out: list[tuple]) -> None:
+    """Adds (lang, words, fp, phrase) of the runs whose fingerprint is ``wanted``."""
+    mask = np.uint64((1 << bits) - 1)
+    for length in range(1, LONGEST + 1):
+        at = c.starts(length)
+        fp = c.prints(at, length, salts) & mask
+        here = wanted(fp)
+        out += [(langs[c.doc[s]], length, f, c.text(s, length).decode()) for s, f in zip(at[here].tolist(), fp[here].view("i8").tolist())]
+
+
+_PHRASE = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("fp", pa.int64()), ("phrase", pa.string())])
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, bits: int = 64) -> DataFrame:
-    """(lang, words, fp, phrase) at the pointers of ``wanted``, read from the texts; rows of one id that differ are told apart."""
-    asked = wanted.groupBy(F.col("pointer.id").alias("id")).agg(F.collect_list(F.struct("lang", "words", "fp", F.col("pointer.place").alias("place"))).alias("asked"))
-    names, mask = ["lang", "words", "fp", "phrase"], (1 << bits) - 1
+    """(lang, words, fp, phrase) of ``wanted``, read from the texts of the documents that it points at."""
+    asked = wanted.groupBy("id").agg(F.collect_list("fp").alias("asked"))  # no more than the runs of one document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             langs, salts = _langs(batch)
-            for text, asked_, lang, salt in zip(batch.column("text"), batch.column("asked"), langs, salts):
-                asked_ = asked_.as_py()
-                places = {a["place"] + k for a in asked_ for k in range(a["words"])}
-                stream = _TOKEN.finditer((text.as_py() or "").encode().translate(_FORM))
-                tokens = {k: m.group() for k, m in zip(range(max(places) + 1), stream) if k in places}
-                for a in asked_:
-                    words = [tokens.get(a["place"] + k, b"\n") for k in range(a["words"])]
-                    if a["lang"] == lang and b"\n" not in words and phrase_print(words, int(salt)) & mask == a["fp"] & mask:
-                        out.append((lang, a["words"], a["fp"], b" ".join(words).decode()))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()))], names)
+            out: list[tuple] = []
+            for k, (text, some) in enumerate(zip(batch.column("text"), batch.column("asked"))):
+                some = some.values.to_numpy().view("u8")
+                for c in chunks([text.as_py()]):
+                    _spelled(c, langs[k:k + 1], salts[k:k + 1], bits, lambda fp: np.isin(fp, some), out)  # noqa: B023
+            yield pa.RecordBatch.from_pylist([dict(zip(_PHRASE.names, r)) for r in dict.fromkeys(out)], _PHRASE)
 
     # a null id is a pointer like any other
     read = docs.alias("d").join(asked.alias("a"), F.col("d.id").eqNullSafe(F.col("a.id"))).select("d.text", "d.lang", "a.asked")
     return read.mapInArrow(run, "lang string, words int, fp bigint, phrase string").distinct()
 
 
-def phrase_print(words: list[bytes], salt: int) -> int:
-    """The first fingerprint of a phrase, alone."""
-    from xxhash import xxh3_128_intdigest as digest
-
-    hashes = np.array([digest(w, _SEED) >> 64 for w in words], "u8")
-    return int(fingerprints(hashes, len(words), 0, np.uint64(salt))[0])
-
-
-def by_text(docs: DataFrame, clashes: Bitmap, lengths: tuple[int, ...], bits: int = 64) -> DataFrame:
+def by_text(docs: DataFrame, clashes: Bitmap, bits: int = 64) -> DataFrame:
     """(lang, words, fp, phrase, n) of all n-grams whose fingerprint may be in ``clashes``."""
-    names, mask = ["lang", "words", "fp", "phrase", "n"], np.uint64((1 << bits) - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, salts = _langs(batch)
-            for c in chunks(batch.column("text").to_pylist()):
-                salt = salts[c.doc]
-                for length in lengths:
-                    at = c.starts(length)
-                    fp = fingerprints(c.hashes[0], length, 0, salt[:max(0, len(salt) - length + 1)])[at] & mask
-                    here = clashes.has(fp)
-                    rows = [(langs[c.doc[s]], length, int(np.uint64(f).view("i8")), c.text(s, length).decode(), 1)
-                            for s, f in zip(at[here].tolist(), fp[here])]
-                    if rows:
-                        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
-
-    found = docs.mapInArrow(run, "lang string, words int, fp bigint, phrase string, n bigint")
-    return found.groupBy("lang", "words", "fp", "phrase").agg(F.sum("n").alias("n"))
+        for _, langs, salts, c in _chunks(batches):
+            out: list[tuple] = []
+            _spelled(c, langs, salts, bits, clashes.has, out)
+            yield pa.RecordBatch.from_pylist([dict(zip(_PHRASE.names, r)) for r in out], _PHRASE)
+
+    found = docs.mapInArrow(run, "lang string, words int, fp bigint, phrase string")
+    return found.groupBy("lang", "words", "fp", "phrase").agg(F.count("*").alias("n"))
 
 
 def frequencies(docs: DataFrame, least: int, bits: int = 64, most: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, words, phrase, n) of all phrases of 1 to five words with ``n`` >= ``least``, and (lang, n): all words of a language."""
-    words = through_table(counted(occurrences(docs, (1,), None, bits)), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = words.filter(F.col("n") >= least)
-    pairs = through_table(counted(occurrences(docs, (2,), Bitmap(frequent, most), bits)).filter(F.col("n") >= least), "pairs")
-    longer = occurrences(docs, tuple(range(3, LONGEST + 1)), Bitmap(pairs, most), bits)
-    longer = through_table(counted(longer).filter(F.col("n") >= least), "longer")
-    found = frequent.union(pairs).union(longer)
+    """(lang, words, phrase, n) of all phrases of 1 to five words with ``n`` >= ``least``, and (lang, total): all words of a language."""
+    words = through_table(cells(docs, (1,), None, least, bits), "words")
+    pairs = through_table(cells(docs, (2,), Bitmap(words, most), least, bits), "pairs")
+    longer = through_table(cells(docs, tuple(range(3, LONGEST + 1)), Bitmap(pairs, most), least, bits), "longer")
+    found = through_table(occurrences(docs, Bitmap(words.union(pairs).union(longer), most), bits), "found")
+    totals = found.filter("words = 0").groupBy("lang").agg(F.sum("n").alias("total"))
+    found = found.filter((F.col("words") > 0) & (F.col("n") >= least))
     sound = found.filter("low = high")
     phrases = sound.join(texts_of(docs, sound, bits), ["lang", "words", "fp"]).select("lang", "words", "phrase", "n")
     clashes = found.filter("low != high").select("lang", "words", "fp")
     if not clashes.isEmpty():
-        told = by_text(docs, Bitmap(clashes, most), tuple(range(1, LONGEST + 1)), bits).filter(F.col("n") >= least)
+        told = by_text(docs, Bitmap(clashes, most), bits).filter(F.col("n") >= least)
         phrases = phrases.union(told.join(clashes, ["lang", "words", "fp"], "left_semi").select("lang", "words", "phrase", "n"))
     return through_table(phrases, "phrases"), totals
 

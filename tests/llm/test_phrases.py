@@ -72,28 +72,34 @@ def test_full_bitmap_changes_nothing(spark):
 
 
 def test_chunks_count_every_run_once(monkeypatch):
-    monkeypatch.setattr(phrases, "CHUNK", 37)
-    phrases._powers.cache_clear()
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abcdefg") + rng.choice(["", ".", "\n"]) for _ in range(rng.randrange(90))) for _ in range(60)] + ["", None, " ", "."]
-    want, got = Counter(), Counter()
+    want = Counter()
     for d, t in enumerate(texts):
-        tokens = phrases._TOKEN.findall((t or "").encode().translate(phrases._FORM))
-        for k in range(1, 6):
-            want.update((d, i, b" ".join(tokens[i:i + k])) for i in range(len(tokens) - k + 1) if b"\n" not in tokens[i:i + k])
-    for c in phrases.chunks(texts):
-        for k in range(1, 6):
-            got.update((int(c.doc[s]), int(c.place[s]), c.text(s, k)) for s in c.starts(k).tolist())
+        for piece in PIECE.split(t or ""):
+            w = WORD.findall(piece)
+            want.update((d, " ".join(w[i:i + k]).encode()) for k in range(1, 6) for i in range(len(w) - k + 1))
+    for size, whole in ((37, 1 << 20), (41, 10), (1000, 10), (10_000, 1 << 20)):
+        monkeypatch.setattr(phrases, "CHUNK", size)
+        monkeypatch.setattr(phrases, "WHOLE", whole)
+        phrases._powers.cache_clear()
+        got = Counter()
+        for c in phrases.chunks(texts):
+            assert len(c.ids) <= size
+            for k in range(1, 6):
+                got.update((int(c.doc[s]), c.text(s, k)) for s in c.starts(k).tolist())
+        assert got == want
     phrases._powers.cache_clear()
-    assert got == want
 
 
 def test_fingerprint_does_not_depend_on_place():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 64, 500, dtype="u8")
+    moved = np.concatenate((rng.integers(0, 1 << 64, 77, dtype="u8"), words))
     for k in range(1, 6):
-        moved = np.concatenate((rng.integers(0, 1 << 64, 77, dtype="u8"), words))
-        assert (phrases.fingerprints(words, k, 0, 5) == phrases.fingerprints(moved, k, 0, 5)[77:]).all()
+        at, salt = np.arange(500 - k + 1), np.uint64(5)
+        one, two = (phrases.fingerprints(phrases.prefixes(w, 0), a, k, 0, salt) for w, a in ((words, at), (moved, at + 77)))
+        assert (one == two).all() and len(set(one.tolist())) == len(one)
 
 
 def test_edges(edge, nothing):

@@ -262,11 +262,16 @@ def encode_and_decode(df: DataFrame, text: str = "text", model: str | None = Non
         for texts in batches:
             # a part at a time: ids of a whole batch would be many times its texts
             for some in _parts(texts, 1 << 20):
-                rows = pieces.encode(some, check_every)
+                # copies stand side by side and are encoded once
+                different = {t: k for k, t in enumerate(dict.fromkeys(some))}
+                again = [different[t] for t in some]
+                rows = pieces.encode(list(different), check_every)
+                plain = pieces.decode(rows)
+                rows = [rows[k] for k in again]
                 coded = pa.array(rows, pa.binary()) if packed else pa.ListArray.from_arrays(
                     np.cumsum([0, *(len(r) // 4 for r in rows)], dtype="i4"),
                     pa.array(np.frombuffer(b"".join(rows), "<u4").astype("i4")))
-                yield pa.StructArray.from_arrays([coded, pa.array(pieces.decode(rows), pa.string())], ["ids", "decoded"])
+                yield pa.StructArray.from_arrays([coded, pa.array([plain[k] for k in again], pa.string())], ["ids", "decoded"])
 
     coded = run(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     return df.withColumn("__coded", coded).withColumns(

@@ -1,131 +1,52 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash candidates, each one verified.
-
-A text is the set of its five-word shingles, a set its ``BANDS`` band keys, each
-over the least values of ``ROWS`` hash orders. Sets of similarity s share a key
-with probability 1 - (1 - s ** 4) ** 20, that is 0.99997 at 0.8. Every pair of
-candidates is compared by its whole sets, so no text is dropped that is not
-linked to another by pairs of at least ``similarity``.
-
-Equal sets are one node. Links to the smallest member of a band come first;
-then the pairs of bands whose members are not all connected yet. A large group
-of near copies so gives as many links as it has members, not all pairs.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash candidates first, then all others.
+
+A text is the set of its five-word shingles; equal sets are one node. Texts
+whose SimHash fingerprints of the same shingles differ in at most four bits are
+the first candidates: the Golay keys find the close copies, which are most.
+Pairs down to ``similarity`` differ in about ten bits, beyond the reach of
+those keys; they come from the prefix join, which misses none. Every candidate
+is compared by its whole sets, so no text is dropped that is not linked to
+another by pairs of at least that similarity.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from kalangu.llm.components import components
-from kalangu.llm.simhash import _LOWER, SEED
+from kalangu.llm import jaccard, simhash
 from kalangu.session import through_table
 
-SIMILARITY = 0.8
+PERCENT = 80
 SHINGLE = 5
-BANDS, ROWS = 20, 4
-
-
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The different XXH64 values of the word shingles, sorted; words as in ``simhash.fingerprint``."""
-    from xxhash import xxh64_intdigest as digest
-
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, "<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())), "<u8", n))
-
-
-def set_key(hashes: np.ndarray) -> int:
-    """64 bits that stand for a whole set; zero for the empty one."""
-    from xxhash import xxh64_intdigest as digest
-
-    return int(np.uint64(digest(hashes.tobytes(), SEED)).view("i8")) if len(hashes) else 0
-
-
-@lru_cache(maxsize=1)
-def _orders() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    pick = lambda: rng.integers(0, 1 << 64, BANDS * ROWS, dtype="u8")
-    return pick(), pick() | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    from xxhash import xxh64_intdigest as digest
-
-    if not len(hashes):
-        return []
-    flip, times = _orders()
-    least = np.array([((hashes ^ f) * t).min() for f, t in zip(flip, times)], "<u8").reshape(BANDS, ROWS)
-    return [int(np.uint64(digest(row.tobytes(), k)).view("i8")) for k, row in enumerate(least)]
-
-
-@F.arrow_udf(StructType().add("key", LongType()).add("n", IntegerType()).add("bands", ArrayType(LongType())))
-def sketch(texts: pa.Array) -> pa.Array:
-    rows = []
-    for t in texts:
-        s = shingle_set(t.as_py())
-        rows.append({"key": set_key(s), "n": len(s), "bands": band_keys(s)})
-    return pa.array(rows, pa.struct([("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))]))
-
-
-@F.arrow_udf(StructType().add("key", LongType()).add("hashes", ArrayType(LongType())))
-def keyed_set(texts: pa.Array) -> pa.Array:
-    sets = [shingle_set(t.as_py()) for t in texts]
-    ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype("i4")
-    values = np.concatenate([np.zeros(0, "<u8"), *sets]).view("i8")
-    return pa.StructArray.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values))],
-                                      ["key", "hashes"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: set keys) whose sets have the similarity."""
-    pairs = through_table(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    nodes = least.join(nodes, "key", "left_semi").select(F.col("least").alias("id"), F.col("key").alias("named"))
-    sets = docs.join(nodes, "id").select("named", keyed_set("text").alias("s")).filter(F.col("s.key") == F.col("named"))
-    # an id may come with several texts, and rows may be repeated
-    sets = through_table(sets.groupBy("named").agg(F.first("s.hashes").alias("hashes")), "sets")
-    x, y = sets.select(F.col("named").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("named").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    likeness = both / (F.size("x") + F.size("y") - both)
-    return through_table(pairs.join(x, "a").join(y, "b").filter(likeness >= similarity - 1e-9).select("a", "b"), "alike")
+def candidates(prints: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal or linked, enough of them to give all components of fingerprints."""
+    held = sets.join(prints.select("k1", "k2", "fp").distinct(), ["k1", "k2"]).select("node", "fp")
+    held = through_table(held, "fingerprints")
+    least = through_table(held.groupBy("fp").agg(F.min("node").alias("first")), "least")
+    equal = held.join(least, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(least.select("fp"))
+    x, y = least.select(F.col("fp").alias("a"), F.col("first").alias("x")), least.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    return equal.union(linked.join(x, "a").join(y, "b").select("x", "y"))
 
 
-def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: that of the smallest id.
 
-    Groups are the components over pairs of at least ``similarity``; texts
-    without words are equal. Rows without an id are kept and stand for no
-    group; a repeated smallest id keeps each of its rows.
+    Groups are the components over pairs whose intersection is at least
+    ``percent`` % of their union; texts without words are equal. Rows without
+    an id are kept and stand for no group; a repeated smallest id keeps each of
+    its rows.
     """
     docs = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("id").isNotNull())
-    prints = through_table(docs.select("id", sketch("text").alias("s")).select("id", "s.*"), "prints")
-    least = through_table(prints.groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "least")
-    buckets = least.select("key", "n", F.explode("bands").alias("band"))
-    # sets that differ more in size cannot be that similar
-    fits = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
-    centres = buckets.groupBy("band").agg(F.min(F.struct("key", "n")).alias("c"), F.count("*").alias("held")).filter("held > 1")
-    stars = buckets.join(centres, "band").filter((F.col("key") != F.col("c.key")) & fits("n", "c.n"))
-    stars = verified(stars.select(F.col("c.key").alias("a"), F.col("key").alias("b")), docs, least, similarity)
-    first = components(stars)
-    rooted = buckets.join(first, F.col("key") == F.col("node"), "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    rooted = through_table(rooted.join(open_, "band", "left_semi"), "open")
-    x = rooted.select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = rooted.select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, "band").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fits("na", "nb")).select("a", "b")
-    roots = components(stars.union(verified(rest, docs, least, similarity)))
-    placed = least.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("kept"))
-    named = placed.join(smallest, "root").select("key", "kept")
-    gone = prints.select("id", "key").join(named, "key").filter(F.col("id") != F.col("kept")).select(F.col("id").alias("__gone")).distinct()
+    prints = docs.select("id", jaccard.sketch(F.col("text"), size).alias("s"), simhash.fingerprint(F.col("text"), size).alias("fp"))
+    prints = through_table(prints.select("id", "s.*", "fp"), "prints")
+    sets = jaccard.sets_of(prints)
+    found = jaccard.links(docs, sets, size, percent, candidates(prints, sets))
+    named = jaccard.named_sets(sets, found).select("k1", "k2", F.col("component_id").alias("kept"))
+    none = prints.filter("n = 0").groupBy("k1", "k2").agg(F.min("id").alias("kept"))
+    gone = prints.select("id", "k1", "k2").join(named.union(none), ["k1", "k2"]).filter(F.col("id") != F.col("kept"))
+    gone = gone.select(F.col("id").alias("__gone")).distinct()
     return df.join(gone, F.col(f"`{id}`") == F.col("__gone"), "left_anti")

@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 from kalangu.llm import mixing, pieces, toxicity
-from tests_llm_brute import prints_groups, sanitised
+from tests_llm_brute import similar_groups, sanitised
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +20,7 @@ def brute(spark):
         return model.weights[0] + sum(w * round(x, 2) for w, x in zip(model.weights[1:], reader.features(text)[0]))
 
     rows = [r for r in rows if line(r["text"]) < 0]
-    groups = prints_groups({r["doc_id"]: r["text"] for r in rows})
+    groups = similar_groups({r["doc_id"]: r["text"] for r in rows})
     rows = [r for r in rows if groups[r["doc_id"]] == r["doc_id"]]
     for r in rows:
         r["text"] = sanitised(r["text"])

@@ -2,27 +2,12 @@ import random
 
 import corpus_pipeline
 from kalangu.llm import similar
+from tests_llm_brute import similar_groups
 
 
 def kept(texts):
     """Ids that all pairs of similarity 0.8 leave."""
-    sets = {}
-    for i, t in texts.items():
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if j < i and (a == b or 10 * len(a & b) >= 8 * len(a | b)):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return sorted(i for i in texts if find(i) == i)
+    return sorted(i for i, k in similar_groups(texts).items() if i == k)
 
 
 def test_stage_drops_all_near_copies_and_nothing_else(spark, docs):

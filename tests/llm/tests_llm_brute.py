@@ -2,33 +2,28 @@
 
 import re
 
-import xxhash
-
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 
-def print_of(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not w:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(" ".join(w[i:i + 4]).encode(), seed=42) for i in range(max(1, len(w) - 3))]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def prints_groups(texts):
-    """Smallest id of the near-duplicate group of each id."""
-    prints = {i: print_of(t) for i, t in texts.items()}
-    group = {i: i for i in prints}
-    ids = sorted(prints)
-    changed = True
-    while changed:
-        changed = False
-        for i in ids:
-            for j in ids:
-                if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
-                    group[i] = group[j] = min(group[i], group[j])
-                    changed = True
-    return group
+def similar_groups(texts, percent=80, size=5):
+    """Smallest id of the group of each id over all pairs of that similarity; texts without words are equal."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and (a == b or 100 * len(a & b) >= percent * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in texts}
 
 
 def sanitised(text):

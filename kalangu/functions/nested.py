@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kalangu import schema as S
 from kalangu.functions.binding import let
-from kalangu.functions.rounding import two_places
+from kalangu.functions.rounding import decimals, two_places
 
 
 def ranked_labels(scores: Column) -> Column:
@@ -34,11 +34,11 @@ def nan_to_null(x: Column) -> Column:
 
 
 def format_wer(wer: Column, fallback: Column) -> Column:
-    """'EN: 0.09 | HA: 0.14', else the fallback to 3 places, else a dash."""
+    """'EN: 0.09 | HA: 0.14', else the fallback to 3 places, else a dash; halves go to the even digit."""
     entries = F.filter(F.map_entries(wer), lambda e: e["value"].isNotNull())
     shown = F.array_join(F.transform(entries, lambda e: F.concat(
-        F.upper(e["key"]), F.lit(": "), two_places(e["value"].cast("double"), ties_up=True))), " | ")
-    plain = F.when(fallback.isNotNull(), F.format_string("%.3f", fallback))
+        F.upper(e["key"]), F.lit(": "), two_places(e["value"].cast("double")))), " | ")
+    plain = F.when(fallback.isNotNull(), decimals(fallback.cast("double"), 3))
     return F.coalesce(F.when(F.size(entries) > 0, shown), plain, F.lit("—"))
 
 

@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 
 def two_places(x: Column, ties_up: bool = False) -> Column:
-    """Two decimals of a value from 0 on.
+    """Two decimals of a value; see :func:`decimals`."""
+    return decimals(x, 2, ties_up)
 
-    A value that is exactly halfway goes to the even digit, or up with
-    ``ties_up``. From 2 ** 32 on doubles hold no third decimal to speak of, and
-    the formatter's own rounding stands.
+
+def decimals(x: Column, places: int, ties_up: bool = False) -> Column:
+    """Text with ``places`` decimals, seven at most, as C's printf writes it.
+
+    A value that is exactly halfway goes to the even digit, or away from zero
+    with ``ties_up``. From 2 ** 39 units of the last place on (2 ** 32 whole
+    ones at two places), the formatter's own rounding stands.
     """
-    known = F.when(x < float(1 << 32), x).otherwise(F.lit(0.0))
-    k = F.round(known * 1000).cast("long")
-    near_tie = (x < float(1 << 32)) & (k % 10 == 5) & (F.abs(known * 1000 - k) < F.greatest(F.lit(1e-6), known * 1e-12))
-
-    # scaling by a power of two is exact, so both sides are whole numbers
-    def by_size(of) -> Column:
-        return (F.when(x < 8, of(60)).when(x < 2048, of(52)).when(x < float(1 << 21), of(41)).otherwise(of(30)))
-
-    power = by_size(lambda e: F.lit(1 << e)).cast("decimal(20,0)")
-    scaled = (known * by_size(lambda e: F.lit(float(1 << e)))).cast("long")
-    excess = F.signum((scaled.cast("decimal(20,0)") * F.lit(1000).cast("decimal(5,0)")
-                       - k.cast("decimal(14,0)") * power).cast("double"))
-    down = F.floor(k / 10).cast("long")
-    half = F.lit(True) if ties_up else down % 2 == 1
-    cents = down + F.when((excess > 0) | ((excess == 0) & half), 1).otherwise(0)
-    exact = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(near_tie, exact).otherwise(F.format_string("%.2f", x))
+    scale = float(10 ** places)
+    size = F.abs(x)
+    units = size * scale
+    whole = F.floor(units)
+    over = units - whole - 0.5
+    near_tie = (units < float(1 << 39)) & (F.abs(over) < 1e-3)
+
+    # the product of the leading 26 bits and the scale is exact, and so is that of the rest: what ``units`` lost
+    lead = size * 134217729.0 - (size * 134217729.0 - size)
+    lost = (lead * scale - units) + (size - lead) * scale
+    half = F.lit(True) if ties_up else whole % 2 == 1
+    up = (over + lost > 0) | ((over + lost == 0) & half)
+    n = whole + F.when(up, 1).otherwise(0)
+    exact = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."),
+                     F.lpad((n % 10 ** places).cast("string"), places, "0"))
+    return F.when(near_tie, exact).otherwise(F.format_string(f"%.{places}f", x))

@@ -6,6 +6,7 @@ from kalangu.functions import audio as A
 from kalangu.functions import nested as N
 from kalangu.functions import text as X
 from kalangu.functions.hashing import seeded_uniform
+from kalangu.functions.rounding import decimals
 from kalangu.operators import arrays as B
 from kalangu.operators import filters as P
 from kalangu.plans import views as V
@@ -18,7 +19,7 @@ _Q = f'{with_views("wave", body="").rstrip()}, q AS ({QUALITY_SQL}) '
 
 def shown(c, places=6):
     """An array of doubles as text, so that engines compare it alike."""
-    return F.array_join(F.transform(c, lambda x: F.format_string(f"%.{places}f", x.cast("double") + F.lit(0.0))), " ")
+    return F.array_join(F.transform(c, lambda x: decimals(x.cast("double") + F.lit(0.0), places)), " ")
 
 
 def shown_sql(c, places=6):

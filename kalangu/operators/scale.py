@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from kalangu.functions.hashing import seeded_hash
+from kalangu.session import through_table
 
 #: bits of a key filter at most, 8 MB
 FILTER_BITS = 1 << 26
@@ -130,6 +131,8 @@ def floor_percentiles(df: DataFrame, keys: list[str], value: str, picks: dict[st
     sorted whole: equal values are counted first, the counts are summed over
     value ranges of about equally many distinct values (their edges may be
     approximate, the result is not), and only then numbered within each range.
+    The ranges are stored: edges found again, from partitions merged in another
+    order, may differ, and sums and numbers would be of different ranges.
     Output: keys, n, mean, min, max, one column per pick and per sum.
     """
     sums = sums or {}
@@ -142,6 +145,7 @@ def floor_percentiles(df: DataFrame, keys: list[str], value: str, picks: dict[st
     placed = equi_join(counts, ends, keys, "inner") if keys else counts.withColumn("_e", ends.scalar())
     placed = placed.withColumns({"n": F.col("_e.n"), "_edges": F.col("_e.edges")})
     placed = placed.withColumn("_b", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_e", "_edges")
+    placed = through_table(placed, "ranges")
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
     earlier = W.partitionBy(*keys) if keys else W.partitionBy()
     before = earlier.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

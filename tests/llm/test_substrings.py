@@ -98,3 +98,12 @@ def test_words_of_equal_structure_are_told_apart(spark):
     df = spark.createDataFrame([(1, f"{twelve} {word}"), (2, f"{twelve} {other} tail"), (3, f"x {twelve} {other}")], "doc_id bigint, text string")
     got = {r.doc_id: r.n_removed for r in substrings.deduplicate(df).collect()}
     assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_windows_go_back_by_eight_bytes(spark):
+    """A window travels to its document as one number; rows of one id with other texts lose their own windows only."""
+    same, other = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(20))
+    rows = [(1, same + " a b"), (2, "c " + same), (3, other), (3, "d e " + same + " " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(substrings.covered(df).dtypes)["hashes"] == "array<bigint>"
+    assert got(df) == brute(rows)

@@ -172,9 +172,13 @@ def normalize_basic(text: Column) -> Column:
 
 def scoring_text(text: Column, mode: str = "tone_sensitive", once: bool = False) -> Column:
     """Form compared by the corpus scores: normalised, lower case. For ``once`` see :func:`nfc`."""
+    return folded(normalize_text(text, once), mode)
+
+
+def folded(base: Column, mode: str = "tone_sensitive") -> Column:
+    """:func:`scoring_text` of a text that is normalised already."""
     if mode not in ("tone_sensitive", "tone_stripped"):
         raise ValueError(f"unknown mode {mode!r}")
-    base = normalize_text(text, once)
     return F.lower(strip_tone_marks(base) if mode == "tone_stripped" else base)
 
 

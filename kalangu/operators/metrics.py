@@ -46,8 +46,10 @@ def word_error_report(pairs: DataFrame, by: list[str] = (), mode: str = "tone_se
     Zeros for an empty input. Per-clip counts are summed with partial
     aggregation, so one language holding most clips is no bottleneck.
     """
-    texts = pairs.select(*by, X.scoring_text(F.col(ref), mode, once=True).alias("_r"),
-                         X.scoring_text(F.coalesce(F.col(hyp), F.lit("")), mode, once=True).alias("_h"))
+    texts = pairs.select(*by, X.normalize_text(F.col(ref), once=True).alias("_r"),
+                         X.normalize_text(F.coalesce(F.col(hyp), F.lit("")), once=True).alias("_h"))
+    # in a step of their own: what folds a text mentions it several times
+    texts = texts.withColumns({c: X.folded(F.col(c), mode) for c in ("_r", "_h")})
     scored = M.with_alignment(texts, X.words(F.col("_r")), X.words(F.col("_h")), "_a").select(
         *by, "_a", E.errors(F.col("_r"), F.col("_h")).alias("_ce"), F.length("_r").alias("_cn"))
     names = ["hits", "substitutions", "deletions", "insertions"]

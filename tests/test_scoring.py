@@ -297,3 +297,11 @@ def test_whole_corpus_report_equals_brute_force(spark):
     whole = catalog.QUERIES["whole_text_alignment"](spark, sf).collect()
     errors = {r.doc_id: r.errors for r in catalog.QUERIES["whole_text_wer"](spark, sf).collect()}
     assert len(whole) == 200 and all(r.substitutions + r.deletions + r.insertions <= errors.get(r.doc_id, 0) for r in whole)
+
+
+def test_tone_stripping_normalises_each_text_once(spark, capsys):
+    """The steps after normalisation name its result; they do not repeat it."""
+    df = spark.createDataFrame([("Ọ́ bá  dé", "o ba de")], "ref string, hyp string")
+    R.word_error_report(df, mode="tone_stripped").select("substitutions", "deletions", "insertions").explain()
+    plan = capsys.readouterr().out
+    assert plan.count(X.WS + "+,  , 1") == 2

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kalangu.llm import jaccard, simhash
-from kalangu.session import through_table
+from kalangu.session import small_batches, through_table
 
 PERCENT = 80
 SHINGLE = 5
+#: texts and sets that go to Python at a time
+BATCH = 1000
 
 
 def candidates(prints: DataFrame, sets: DataFrame) -> DataFrame:
@@ -40,13 +42,14 @@ def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int
     an id are kept and stand for no group; a repeated smallest id keeps each of
     its rows.
     """
-    docs = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("id").isNotNull())
-    prints = docs.select("id", jaccard.sketch(F.col("text"), size).alias("s"), simhash.fingerprint(F.col("text"), size).alias("fp"))
-    prints = through_table(prints.select("id", "s.*", "fp"), "prints")
-    sets = jaccard.sets_of(prints)
-    found = jaccard.links(docs, sets, size, percent, candidates(prints, sets))
-    named = jaccard.named_sets(sets, found).select("k1", "k2", F.col("component_id").alias("kept"))
-    none = prints.filter("n = 0").groupBy("k1", "k2").agg(F.min("id").alias("kept"))
-    gone = prints.select("id", "k1", "k2").join(named.union(none), ["k1", "k2"]).filter(F.col("id") != F.col("kept"))
+    with small_batches(df.sparkSession, BATCH):
+        docs = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.col("id").isNotNull())
+        prints = docs.select("id", jaccard.sketch(F.col("text"), size).alias("s"), simhash.fingerprint(F.col("text"), size).alias("fp"))
+        prints = through_table(prints.select("id", "s.*", "fp"), "prints")
+        sets = jaccard.sets_of(prints)
+        found = jaccard.links(docs, sets, size, percent, candidates(prints, sets))
+        named = jaccard.named_sets(sets, found).select("k1", "k2", F.col("component_id").alias("kept"))
+        none = prints.filter("n = 0").groupBy("k1", "k2").agg(F.min("id").alias("kept"))
+        gone = prints.select("id", "k1", "k2").join(named.union(none), ["k1", "k2"]).filter(F.col("id") != F.col("kept"))
     gone = gone.select(F.col("id").alias("__gone")).distinct()
     return df.join(gone, F.col(f"`{id}`") == F.col("__gone"), "left_anti")

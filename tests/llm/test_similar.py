@@ -30,3 +30,17 @@ def test_edges(edge, nothing):
     assert got.columns == edge.columns
     assert sorted(r.doc_id for r in got.filter("doc_id is not null").collect()) == [1, 4, 5, 5, 5, 6, 7]
     assert got.filter("doc_id is null").count() == 2 and similar.keep_one(nothing).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Every table of the operator is written under the bound; the session's setting comes back."""
+    from kalangu.llm import jaccard, simhash
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for module in (similar, jaccard, simhash):
+        write = module.through_table
+        monkeypatch.setattr(module, "through_table", lambda df, label="cut", w=write: (seen.append(int(spark.conf.get(name))), w(df, label))[1])
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v w")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == [1, 3]
+    assert seen and max(seen) <= similar.BATCH and spark.conf.get(name) == before

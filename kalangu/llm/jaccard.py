@@ -11,23 +11,25 @@ alone are joined, and most n-grams of most texts occur nowhere else.
   back to the sets by a join, before which a bitmap sifts n-grams that come
   once.
 - Length filter: sizes that are too different. Positional filter: where the
-  first shared n-gram stands leaves too few after it. Suffix filter: the n-grams
-  of a set are counted in ``CELLS`` classes of their hash; the lesser count of
-  each class, summed, bounds the overlap.
+  first shared n-gram stands leaves too few after it. Suffix filter: one bit for
+  each of ``CELLS`` classes of the hash says whether a set has an odd number of
+  n-grams there; sets differ in at least as many n-grams as bits.
 - Each pair is verified once, by its whole sets.
 
 A posting list may hold a large group of near copies. First all members of a
 list are compared with one of them, that with most shared n-grams, and again
 with others as long as that finds many links. Pairs of a list whose members are not
 connected after that are compared all, behind the filters, so that no link
-between components is lost and a group gives about as many links as members.
+between components is lost and a group gives about as many links as members. A
+pair leaves the list of the first n-gram that it shares, not those of others
+whose last ``BEFORE`` n-grams tell that there was one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from kalangu.llm.components import components
@@ -37,7 +39,10 @@ from kalangu.session import through_table
 
 PERCENT = 85
 SHINGLE = 4
-CELLS = 128
+#: classes of the suffix filter, a multiple of 64
+CELLS = 2048
+#: n-grams before its own that a row of the last join carries
+BEFORE = 8
 #: bits of a hash that an n-gram has as a key; lists may hold others, sets are compared by whole hashes
 KEY_BITS = 48
 #: members of every list that the others are compared with in a turn, as long as that adds one link to so many
@@ -69,6 +74,12 @@ def set_print(hashes: np.ndarray) -> tuple[int, int]:
     return int(halves[0]), int(halves[1])
 
 
+def odd_cells(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each class: whether the set has an odd number of n-grams of it."""
+    counts = np.bincount((hashes >> np.uint64(1)).astype("i8") % CELLS, minlength=CELLS)
+    return np.packbits((counts & 1).astype("u1"), bitorder="little").view("<i8")
+
+
 def _lists(rows: list[np.ndarray], kind: str) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype("i4")
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *rows]).astype(kind)))
@@ -116,14 +127,14 @@ def _halves(text: Column, size: int, percent: int) -> Column:
 
 
 def _whole(text: Column, size: int) -> Column:
-    @F.arrow_udf(f"struct<{_SET},hashes:array<bigint>,cells:array<int>>")
+    @F.arrow_udf(f"struct<{_SET},hashes:array<bigint>,cells:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t.as_py(), size) for t in texts]
         prints = [set_print(s) for s in sets]
-        cells = [np.bincount((s >> np.uint64(1)).astype("i8") % CELLS, minlength=CELLS).astype("i4") for s in sets]
+        cells = [odd_cells(s) for s in sets]
         return pa.StructArray.from_arrays(
             [pa.array([len(s) for s in sets], pa.int32()), *[pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1)],
-             _lists([s.view("i8") for s in sets], "i8"), _lists(cells, "i4")], ["n", "k1", "k2", "hashes", "cells"])
+             _lists([s.view("i8") for s in sets], "i8"), _lists(cells, "i8")], ["n", "k1", "k2", "hashes", "cells"])
 
     return run.asNondeterministic()(text)
 
@@ -156,9 +167,9 @@ def _fits(percent: int) -> Column:
 
 
 def _suffix(percent: int) -> Column:
-    """Suffix filter: what the classes of two sets x and y can share at most."""
-    most = F.aggregate(F.zip_with("xcells", "ycells", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
-    return most >= _overlap(F.col("xn"), F.col("yn"), percent)
+    """Suffix filter: the classes of two sets x and y tell how many n-grams only one of them has, at least."""
+    differ = F.aggregate(F.zip_with("xcells", "ycells", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    return differ <= F.col("xn") + F.col("yn") - 2 * _overlap(F.col("xn"), F.col("yn"), percent)
 
 
 def _postings(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -207,6 +218,21 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def unconnected(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different roots in ``rows`` (h, node, n, pos, root) that the filters let through, few of them twice.
+
+    The order of n-grams is the same for all sets. If both have one in common
+    among the last before this, the pair was in an earlier list already; its
+    first list has none such, so no pair is lost.
+    """
+    last = W.partitionBy("node").orderBy("pos").rowsBetween(-BEFORE, -1)
+    rows = rows.withColumn("before", F.collect_list("h").over(last)).join(cells, "node")
+    x, y = (rows.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root", "cells", "before")]) for s in "xy")
+    pairs = x.join(y, (x["h"] == y["h"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot"))
+                   & _fits(percent) & _suffix(percent) & ~F.arrays_overlap("xbefore", "ybefore"))
+    return pairs.select(*_pair("xnode", "ynode"))
+
+
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, hints: DataFrame | None = None) -> DataFrame:
     """(a, b): enough links between the nodes of ``sets`` to give all components.
 
@@ -248,10 +274,8 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, hints: Data
         # what a turn finds: as long as it is much, the lists still hold large groups that belong together
         more = new.count() * WORTH > known
         known += new.count()
-    rows = placed.join(open_, "h", "left_semi").join(held.select("node", "cells"), "node")
-    x, y = (rows.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root", "cells")]) for s in "xy")
-    rest = x.join(y, (x["h"] == y["h"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xroot") != F.col("yroot")) & _fits(percent) & _suffix(percent))
-    rest = through_table(rest.select(*_pair("xnode", "ynode")).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = unconnected(placed.join(open_, "h", "left_semi"), held.select("node", "cells"), percent)
+    rest = through_table(rest.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     return found.union(_verified(rest, held, percent))
 
 

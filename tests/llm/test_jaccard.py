@@ -90,3 +90,35 @@ def test_edges(edge, nothing):
 def test_a_row_without_id_goes_with_its_equals(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "A b c d e"), (None, "f")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect()), key=repr) == [(3, 2, 3), (None, 1, None), (None, 2, 3)]
+
+
+def far_from_each_other(k, n=390, swapped=0.017, seed=6):
+    """``k`` edited copies of one text whose sets of four-word shingles are about 0.75 alike."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(n)]
+    return {i: " ".join(f"x{rng.randrange(10**9)}" if rng.random() < swapped else w for w in base) for i in range(k)}
+
+
+def test_a_group_without_links_gives_few_pairs(spark, monkeypatch):
+    """Its members share n-grams of their prefixes; the filters tell them apart before the pairs leave the join."""
+    texts, made = far_from_each_other(60), []
+    write, joined = jaccard.through_table, jaccard.unconnected
+    monkeypatch.setattr(jaccard, "unconnected", lambda *a: (made.append(write(joined(*a), "made")), made[0])[1])
+    result = got(spark, texts)
+    assert result == brute(texts)
+    assert made[0].count() < 300 < 60 * 59 / 2
+
+
+def test_a_pair_leaves_one_list(spark):
+    """Two sets of one order of n-grams, ten of them in common: the first list alone makes the pair."""
+    rows = spark.createDataFrame([(h, node, 40, h, node) for node in (1, 2) for h in range(10)], "h bigint, node bigint, n int, pos int, root bigint")
+    cells = spark.createDataFrame([(1, [0] * 32), (2, [0] * 32)], "node bigint, cells array<bigint>")
+    assert [tuple(r) for r in jaccard.unconnected(rows, cells, 50).collect()] == [(1, 2)]
+
+
+def test_odd_classes_never_pass_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 3_000, rng.integers(0, 3_000)).astype("u8")) for _ in "ab")
+        differ = int(np.unpackbits((jaccard.odd_cells(a) ^ jaccard.odd_cells(b)).view("u1")).sum())
+        assert differ <= len(np.setxor1d(a, b))

@@ -27,6 +27,8 @@ whose last ``BEFORE`` n-grams tell that there was one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
@@ -41,6 +43,8 @@ PERCENT = 85
 SHINGLE = 4
 #: classes of the suffix filter, a multiple of 64
 CELLS = 2048
+#: words of 64 bits of classes that a row of the lists brings
+FOLDED = 8
 #: n-grams before its own that a row of the last join carries
 BEFORE = 8
 #: bits of a hash that an n-gram has as a key; lists may hold others, sets are compared by whole hashes
@@ -166,9 +170,15 @@ def _fits(percent: int) -> Column:
     return _near(percent) & (rest >= _overlap(F.col("xn"), F.col("yn"), percent))
 
 
-def _suffix(percent: int) -> Column:
+def folded(cells: Column) -> Column:
+    """Fewer classes, of several each: they differ in at most as many as ``cells``."""
+    words = [[F.get(cells, F.lit(k)) for k in range(j, CELLS // 64, FOLDED)] for j in range(FOLDED)]
+    return F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), w) for w in words])
+
+
+def _suffix(percent: int, classes: str = "cells") -> Column:
     """Suffix filter: the classes of two sets x and y tell how many n-grams only one of them has, at least."""
-    differ = F.aggregate(F.zip_with("xcells", "ycells", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    differ = F.aggregate(F.zip_with(f"x{classes}", f"y{classes}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
     return differ <= F.col("xn") + F.col("yn") - 2 * _overlap(F.col("xn"), F.col("yn"), percent)
 
 
@@ -218,6 +228,25 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def starred(placed: DataFrame, open_: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of the lists of ``open_`` with the members chosen there, as far as they may be similar.
+
+    Both sides bring their classes, folded, so that the join of the lists makes
+    few rows for pairs that the suffix filter drops: a large group of near
+    copies has about as many chosen members as lists, and each would meet each
+    of its members. Where the n-gram stands plays no part: any member may do.
+    """
+    bits = cells.select("node", folded(F.col("cells")).alias("bits"))
+    x = placed.join(open_.select("h").distinct(), "h", "left_semi").join(bits, "node")
+    x = x.select("h", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "root", "bits")])
+    y = open_.join(bits.select(F.col("node").alias("ynode"), F.col("bits").alias("ybits")), "ynode")
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("xroot") != F.col("yroot")) & _near(percent) & _suffix(percent, "bits"))
+    met = met.select("xnode", "xn", "ynode", "yn").distinct()
+    for side in "xy":
+        met = met.join(cells.select(F.col("node").alias(f"{side}node"), F.col("cells").alias(f"{side}cells")), f"{side}node")
+    return met.filter(_suffix(percent)).select(*_pair("xnode", "ynode")).distinct()
+
+
 def unconnected(rows: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different roots in ``rows`` (h, node, n, pos, root) that the filters let through, few of them twice.
 
@@ -251,7 +280,7 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, hints: Data
     held = through_table(_of_sets(docs, sets.join(wanted, "node", "left_semi"), _whole(F.col("text"), size), ["hashes", "cells"])
                          .dropDuplicates(["node"]), "held")
     postings = through_table(postings.drop("held").join(weights, "node"), "weighted")
-    cells = lambda x: held.select(F.col("node").alias(f"{x}node"), F.col("cells").alias(f"{x}cells"))
+    cells = held.select("node", "cells")
     found, turn, more = _verified(tested, held, percent), 0, True
     known = found.count()
     while True:
@@ -263,18 +292,13 @@ def links(docs: DataFrame, sets: DataFrame, size: int, percent: int, hints: Data
         open_ = through_table(open_.select("h", "c.ynode", "c.yn", "c.yroot"), "open")
         if not more:
             break
-        x = placed.select("h", *[F.col(c).alias(f"x{c}") for c in ("node", "n", "pos", "root")])
-        # wherever the n-gram stands: any member may do
-        stars = x.join(open_, "h").filter((F.col("xroot") != F.col("yroot")) & _near(percent))
-        stars = stars.select("xnode", "xn", "ynode", "yn").distinct().join(cells("x"), "xnode").join(cells("y"), "ynode")
-        stars = stars.filter(_suffix(percent)).select(*_pair("xnode", "ynode")).distinct()
-        stars = through_table(stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        stars = through_table(starred(placed, open_, cells, percent).join(tested, ["a", "b"], "left_anti"), "stars")
         new = _verified(stars, held, percent)
         tested, found, turn = tested.union(stars), found.union(new), turn + 1
         # what a turn finds: as long as it is much, the lists still hold large groups that belong together
         more = new.count() * WORTH > known
         known += new.count()
-    rest = unconnected(placed.join(open_, "h", "left_semi"), held.select("node", "cells"), percent)
+    rest = unconnected(placed.join(open_, "h", "left_semi"), cells, percent)
     rest = through_table(rest.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
     return found.union(_verified(rest, held, percent))
 

@@ -122,3 +122,27 @@ def test_odd_classes_never_pass_the_difference():
         a, b = (np.unique(rng.integers(0, 3_000, rng.integers(0, 3_000)).astype("u8")) for _ in "ab")
         differ = int(np.unpackbits((jaccard.odd_cells(a) ^ jaccard.odd_cells(b)).view("u1")).sum())
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_members_meet_the_chosen_ones_behind_the_suffix_filter(spark):
+    """8 members in 8 lists, another one chosen in each: only the pair that may be similar leaves the join, once a list at most."""
+    many, members = 2 ** 63 - 1, range(8)
+    placed = spark.createDataFrame([(h, x, 100, h, x) for h in members for x in members], "h bigint, node bigint, n int, pos int, root bigint")
+    open_ = spark.createDataFrame([(h, h, 100, h) for h in members], "h bigint, ynode bigint, yn int, yroot bigint")
+    # a word of classes of its own each, but for 0 and 1
+    own = {x: max(x, 1) for x in members}
+    cells = spark.createDataFrame([(x, [many if k == own[x] else 0 for k in range(32)]) for x in members], "node bigint, cells array<bigint>")
+    done = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = done()
+    near = {tuple(r) for r in jaccard.starred(placed, open_, cells, 85).collect()}
+    assert near == {(0, 1)}
+    store = spark._jsparkSession.sharedState().statusStore()
+    made = []
+    for run in range(before, done()):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            if "Join" in node.name() and "xroot" in node.desc():
+                made += [values.get(node.metrics().apply(m).accumulatorId()).get() for m in range(node.metrics().size())
+                         if node.metrics().apply(m).name() == "number of output rows"]
+    assert made and all(int(n.replace(",", "")) <= 2 for n in made)

@@ -125,7 +125,7 @@ def collapse(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Python's str.split(): never an empty word."""
-    return F.filter(F.split(text, WS + "+"), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(text, WS + "+"), "")
 
 
 def word_count(text: Column) -> Column:

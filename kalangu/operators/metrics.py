@@ -71,10 +71,12 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def error_rates(pairs: DataFrame, by: list[str] = (), ref: str = "ref", hyp: str = "hyp") -> DataFrame:
     """Micro WER and CER without the split into kinds."""
-    scored = pairs.select(
-        *by, M.word_distance(X.words(F.col(ref)), X.words(F.coalesce(F.col(hyp), F.lit("")))).alias("we"),
-        X.word_count(F.col(ref)).alias("wn"),
-        E.errors(F.col(ref), F.coalesce(F.col(hyp), F.lit(""))).alias("ce"), F.length(ref).alias("cn"))
+    # every text is split into words once
+    split = pairs.select(*by, F.col(ref).alias("_r"), F.coalesce(F.col(hyp), F.lit("")).alias("_h")).withColumns(
+        {"_rw": X.words(F.col("_r")), "_hw": X.words(F.col("_h"))})
+    scored = split.select(
+        *by, M.word_distance(F.col("_rw"), F.col("_hw")).alias("we"), F.coalesce(F.size("_rw"), F.lit(0)).alias("wn"),
+        E.errors(F.col("_r"), F.col("_h")).alias("ce"), F.length("_r").alias("cn"))
     return scored.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum("we").alias("word_errors"), F.sum("wn").alias("ref_words"),
         F.sum("ce").alias("char_errors"), F.sum("cn").alias("ref_chars")).withColumns({

@@ -305,3 +305,21 @@ def test_tone_stripping_normalises_each_text_once(spark, capsys):
     R.word_error_report(df, mode="tone_stripped").select("substitutions", "deletions", "insertions").explain()
     plan = capsys.readouterr().out
     assert plan.count(X.WS + "+,  , 1") == 2
+
+
+def test_each_text_is_split_into_words_once(spark, capsys):
+    """Distances and counts name the words of a step before; no lambda runs over them."""
+    from kalangu.plans import catalog
+
+    catalog.load()
+    blank = "　a \x1c b\n\nc "
+    df = spark.createDataFrame([(blank, "a b"), (None, "x"), ("", None), ("a", None)], "ref string, hyp string")
+    rates = R.error_rates(df).select("n", "word_errors", "ref_words")
+    assert tuple(rates.first()) == (4, 3, 4)
+    assert [r.w for r in df.select(X.words(F.col("ref")).alias("w")).collect()] == [["a", "b", "c"], None, [], ["a"]]
+    rates.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("split(") == 2 and "lambda" not in plan
+    catalog.QUERIES["clip_wer"](spark, "/root/testdata/sf0.001").explain()
+    # the documents, the reference and the hypothesis
+    assert capsys.readouterr().out.count("split(") == 3

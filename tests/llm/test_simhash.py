@@ -76,6 +76,19 @@ def test_links_of_dense_and_chained_prints(spark):
     assert {v: found.get(v, v) for v in values} == brute_groups(values)
 
 
+def test_joins_of_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, simhash.through_table
+
+    def kept(df, label="cut"):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "through_table", kept)
+    found = simhash.links(spark.range(50).selectExpr("xxhash64(id) AS fp"))
+    for plan in (plans["stars"], found._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_query(spark, docs):
     check([(r.doc_id, r.text) for r in docs.collect()], queries.op3_simhash(spark, "/root/testdata/sf0.001").collect())
 

@@ -36,3 +36,12 @@ def decimals(x: Column, places: int, ties_up: bool = False) -> Column:
     exact = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / scale).cast("string"), F.lit("."),
                      F.lpad((n % 10 ** places).cast("string"), places, "0"))
     return F.when(near_tie, exact).otherwise(F.format_string(f"%.{places}f", x))
+
+
+def on_product(x: Column, places: int) -> Column:
+    """A double rounded by its units of the last place, halves away from zero, as SQL's round() of a double does in DuckDB.
+
+    The units may be a half where the shortest decimal is not, or the other way round.
+    """
+    scale = float(10 ** places)
+    return F.round(x * scale) / scale

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kalangu.functions import text as X
+from kalangu.functions.rounding import on_product
 from kalangu.operators import metrics as R
 from kalangu.plans import views as V
 from kalangu.plans.catalog import query
@@ -52,7 +53,7 @@ def _(spark, sf):
     df = texts(spark, sf)
     n, wps, _ = X.speech_rates(F.col("t"), F.length("t") / 14.0)
     _, _, cps = X.speech_rates(F.col("t"), (F.col("doc_id") % 50).cast("double"))
-    return df.select("doc_id", n.alias("words"), F.round(wps, 6).alias("wps"), F.round(cps, 6).alias("cps"))
+    return df.select("doc_id", n.alias("words"), on_product(wps, 6).alias("wps"), on_product(cps, 6).alias("cps"))
 
 
 @query("path_parts", r"""SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS base,

@@ -38,3 +38,13 @@ def test_displayed_wer_that_is_a_half(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     message, *_ = compare(spark, con, str(tmp_path), "wer_display")
     assert message is None, message
+
+
+def test_rates_near_a_half(spark, tmp_path):
+    con = duckdb.connect()
+    # 191 words and 1,280 characters are 2.0890625 words a second, its product with a million is below the half
+    con.execute(f"""COPY (SELECT v AS doc_id, 'en' AS lang, repeat('a ', w - 1) || repeat('b', n - 2 * w + 2) AS text
+        FROM (SELECT v * 3 + 1 AS v, 2 + v % 250 AS w, 128 * (4 + v // 250) AS n FROM range(4000) t(v))) TO '{tmp_path}/documents.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    message, *_ = compare(spark, con, str(tmp_path), "speech_rates")
+    assert message is None, message

@@ -56,3 +56,17 @@ def test_a_batch_needs_one_step_a_column(monkeypatch):
         words = [[f"w{k}" for k in rng.integers(0, 50, 24)] for _ in range(rows)]
         edits.batch_distances(pa.array(words), pa.array([w[:20] for w in words]))
         assert 0 < sum(steps) <= 24
+
+
+def test_a_long_pair_needs_the_diagonals_between_its_ends(monkeypatch):
+    """A text and one with a fifth of it dropped: bits of columns, of one band or two, are less than half the table."""
+    bits, sweep = [], edits._sweep
+    monkeypatch.setattr(edits, "_sweep", lambda masks, hyp, low, width, *a: (bits.append(width * len(hyp)), sweep(masks, hyp, low, width, *a))[1])
+    rng = random.Random(3)
+    ref = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    hyp = "".join(x for k, x in enumerate(ref) if k // 10 % 5 != 2)
+    assert edits.distance(ref, hyp) == edits.distance(hyp, ref) == len(ref) - len(hyp)
+    assert 0 < sum(bits) < len(ref) * len(hyp)
+    bits.clear()
+    assert edits.align(list(ref), list(hyp)) == (len(hyp), 0, len(ref) - len(hyp), 0)
+    assert 0 < sum(bits) < len(ref) * len(hyp)
